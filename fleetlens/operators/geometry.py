@@ -146,13 +146,9 @@ def project_points(points: DataFrame, paths: DataFrame, on: list[str], keep: lis
     extra = [c for c in (keep or ["length_m"]) if c not in on]
     joined = points.join(small(paths.select(*on, "segs", *extra)), on)
     hit = geo.nearest_on_path(F.col("lat"), F.col("lon"), F.col("segs"))
-    return (
-        joined.withColumn("_hit", hit)
-        .drop("segs")
-        .withColumn("along_m", F.col("_hit.along_m"))
-        .withColumn("offset_m", F.sqrt("_hit.err2"))
-        .drop("_hit")
-    )
+    # generated, not projected: a later filter on the offset must not evaluate the search a second time
+    found = joined.select(*[c for c in joined.columns if c != "segs"], F.inline(F.array(hit)))
+    return found.withColumn("offset_m", F.sqrt("err2")).drop("err2", "seg_no")
 
 
 def near_path(projected: DataFrame, max_offset_m: float = geo.MAX_OFFSET_M) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.operators.scale import HOUR_S, bucket, small, with_previous
+from fleetlens.operators.scale import HOUR_S, bucket, number_rows, small, with_previous
 
 GAP_S = 600
 MIN_POINTS = 5
@@ -26,9 +26,9 @@ def segment_trips(
     """Add trip_no, point_no, n_points and the first point's route, direction and time.
 
     A trip ends on a gap longer than ``gap_s``, or when the start time, start
-    date or direction changes. Each (vehicle, hour) is ordered on its own; one
-    summary row per (vehicle, hour) carries the last point, the cut count and
-    the trip sizes over the borders, so a vehicle is never sorted in one task.
+    date or direction changes. Each (vehicle, hour) is ordered on its own and
+    split in pieces; one summary row per piece decides which pieces of adjacent
+    hours form one trip, so a vehicle's points are never sorted in one task.
     """
     order = ["ts", tie]
     cur = F.struct("ts", "direction_id", "start_date", "start_time")
@@ -38,48 +38,44 @@ def segment_trips(
         obs.withColumn("_b", bucket(F.col("ts"), bucket_s))
         .withColumn("_p", F.lag(cur).over(local))
         .withColumn("_cut", F.when(F.col("_p").isNull(), 0).otherwise(_is_cut(F.col("_p"), cur, gap_s)))
-        .withColumn("_local", F.sum("_cut").over(running))
-        .drop("_p")
-    )
-    hours = rows.groupBy("vehicle_id", "_b").agg(
-        F.min_by(cur, F.struct(*order)).alias("_head"),
-        F.max_by(cur, F.struct(*order)).alias("_tail"),
-        F.sum("_cut").alias("_cuts"),
-    )
-    by_hour = Window.partitionBy("vehicle_id").orderBy("_b")
-    hours = (
-        hours.withColumn("_last", F.lag("_tail").over(by_hour))
-        .withColumn(
-            "_head_cut", F.when(F.col("_last").isNull(), 0).otherwise(_is_cut(F.col("_last"), F.col("_head"), gap_s))
-        )
-        .withColumn("_earlier", F.coalesce(F.sum(F.col("_cuts") + F.col("_head_cut")).over(by_hour.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select("vehicle_id", "_b", (F.col("_earlier") + F.col("_head_cut")).alias("_base"))
-    )
-    rows = (
-        rows.join(hours, ["vehicle_id", "_b"])
-        .withColumn("trip_no", (F.col("_base") + F.col("_local")).cast("long"))
-        .drop("_base", "_local", "_cut")
+        .withColumns({"_piece": F.sum("_cut").over(running), "_row": F.row_number().over(local)})
+        .drop("_p", "_cut")
     )
     header = F.struct(
         F.col("route_id").alias("trip_route_id"), F.col("direction_id").alias("trip_direction_id"), F.col("ts").alias("trip_start_ts")
     )
-    pieces = rows.groupBy("vehicle_id", "trip_no", "_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.min_by(header, F.struct(*order)).alias("_header")
+    pieces = rows.groupBy("vehicle_id", "_b", "_piece").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_row").alias("_first_row"),
+        F.min_by(cur, F.struct(*order)).alias("_head"),
+        F.max_by(cur, F.struct(*order)).alias("_tail"),
+        F.min_by(header, F.struct(*order)).alias("_header"),
     )
-    by_piece = Window.partitionBy("vehicle_id", "trip_no").orderBy("_b")
-    whole = by_piece.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_vehicle = Window.partitionBy("vehicle_id").orderBy("_b", "_piece")
+    by_trip = Window.partitionBy("vehicle_id", "trip_no").orderBy("_b", "_piece")
+    whole = by_trip.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = by_trip.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.col("_last")
     pieces = (
-        pieces.withColumn("n_points", F.sum("_n").over(whole))
-        .withColumn("_first", F.first("_header").over(whole))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(by_piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        pieces.withColumn("_last", F.lag("_tail").over(by_vehicle))
+        .withColumn("_new", F.when(last.isNull(), 0).when(F.col("_piece") > 0, 1).otherwise(_is_cut(last, F.col("_head"), gap_s)))
+        .withColumn("trip_no", F.sum("_new").over(by_vehicle).cast("long"))
+        .withColumns(
+            {
+                "n_points": F.sum("_n").over(whole),
+                "_start": F.first("_header").over(whole),
+                "_offset": F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first_row"),
+            }
+        )
         .where(F.col("n_points") >= min_points)
-        .select("vehicle_id", "trip_no", "_b", "n_points", "_offset", "_first.*")
+        .select("vehicle_id", "_b", F.col("_piece").alias("_own"), "trip_no", "n_points", "_offset", "_start.*")
     )
-    inside = Window.partitionBy("vehicle_id", "trip_no", "_b").orderBy(*order)
+    # joined on the partitioning the rows already have; the piece is matched as a residual condition
     return (
-        rows.join(pieces, ["vehicle_id", "trip_no", "_b"])
-        .withColumn("point_no", (F.col("_offset") + F.row_number().over(inside) - 1).cast("long"))
-        .drop("_offset", "_b")
+        rows.join(pieces, ["vehicle_id", "_b"])
+        .where("_own - _piece = 0")
+        .withColumn("point_no", (F.col("_offset") + F.col("_row")).cast("long"))
+        .drop("_offset", "_own", "_piece", "_row", "_b")
     )
 
 
@@ -104,8 +100,6 @@ def trip_summary(projected: DataFrame) -> DataFrame:
 
 def trip_sequence(obs: DataFrame, trip_key: str = "trip_id", tie: str = "event_id", bucket_s: int = HOUR_S) -> DataFrame:
     """1-based position and seconds since the previous ping inside (vehicle, trip id)."""
-    from fleetlens.operators.scale import number_rows
-
     keyed = obs.withColumn("_b", bucket(F.col("ts"), bucket_s))
     keys = ["vehicle_id", trip_key]
     numbered = number_rows(keyed, keys, "_b", ["ts", tie], "seq_in_trip")
