@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.calendar import day_angle, monday_weekday
 from fleetlens.functions.values import clip, finite_or_zero, stable_order
-from fleetlens.operators.scale import HOUR_S, bracketing_neighbours, bucket, exact_quantiles, number_rows, small
+from fleetlens.operators.scale import HOUR_S, bracketing_neighbours, bucket, exact_quantiles, number_rows, running_total, small
 
 # fixed values
 SEGMENT_M = 500.0
@@ -162,8 +162,6 @@ def passage_history(points: DataFrame, trips: DataFrame, keep: int = KEEP_TRIPS,
     marked = every.join(trips.select("shape_id", *TRIP, F.lit(1).alias("_e")), ["shape_id", *TRIP], "left").withColumn(
         "_e", F.coalesce("_e", F.lit(0))
     )
-    from fleetlens.operators.scale import running_total
-
     placed = running_total(
         marked.withColumn("_b", bucket(F.col("trip_start_ts"), bucket_s)), ["shape_id"], "_b", ["trip_start_ts", *TRIP], "_e", "_upto"
     ).withColumn("_before", F.col("_upto") - F.col("_e"))
@@ -398,6 +396,10 @@ def dist_remaining_norm(train: DataFrame, lengths: DataFrame) -> DataFrame:
     )
 
 
+def _named(name: str):
+    return lambda s: F.struct(F.lit(name).alias("name"), s["x"].alias("x"))
+
+
 def profile(train: DataFrame, cols: list[str], arrays: dict[str, tuple[str, int, int]] | None = None, p: float = 0.99, width: float = 0.01) -> DataFrame:
     """Per column or array component: count, NaN, infinite, min, max, mean and p99 of finite values.
 
@@ -406,7 +408,7 @@ def profile(train: DataFrame, cols: list[str], arrays: dict[str, tuple[str, int,
     parts = [F.array(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x"))) for c in cols]
     for name, (col, stride, k) in (arrays or {}).items():
         picked = F.filter(F.transform(col, lambda x, i: F.struct(x.cast("double").alias("x"), (i % stride == k).alias("on"))), lambda s: s["on"])
-        parts.append(F.transform(picked, lambda s, name=name: F.struct(F.lit(name).alias("name"), s["x"].alias("x"))))
+        parts.append(F.transform(picked, _named(name)))
     long = train.select(F.explode(F.concat(*parts)).alias("e")).select("e.*")
     bad = F.isnan("x") | (F.abs("x") == float("inf"))
     ok = F.when(~bad, F.col("x"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators.filters import resolve_line
 from fleetlens.operators.geometry import assign_shape, near_path, prepared_paths, project_points
 from fleetlens.operators.trips import segment_trips
+from fleetlens.session import shared_dir
 from fleetlens.sources import shapes as shape_source
 
 # fixed values: end points of the straight test path
@@ -113,16 +114,27 @@ def _doc(spark: SparkSession, value: dict) -> DataFrame:
     return spark.range(1).select(F.lit(json.dumps(value, ensure_ascii=False)).alias("text"))
 
 
+_PLANS: dict[tuple[int, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, name: str, build) -> DataFrame:
+    """Reuse the (lazy) plan of a dimension inside one session; no data is kept."""
+    key = (id(spark), name)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def shapes(spark: SparkSession) -> DataFrame:
-    return shape_source.parse_shapes(_doc(spark, shapes_json()))
+    return _once(spark, "shapes", lambda: shape_source.parse_shapes(_doc(spark, shapes_json())))
 
 
 def paths(spark: SparkSession) -> DataFrame:
-    return prepared_paths(shapes(spark))
+    return _once(spark, "paths", lambda: prepared_paths(shapes(spark)))
 
 
 def label_map(spark: SparkSession) -> DataFrame:
-    return shape_source.parse_label_map(label_map_doc(spark))
+    return _once(spark, "label_map", lambda: shape_source.parse_label_map(label_map_doc(spark)))
 
 
 def label_map_doc(spark: SparkSession) -> DataFrame:
@@ -139,11 +151,12 @@ def branch_map_json() -> dict:
 
 
 def branch_map(spark: SparkSession) -> DataFrame:
-    return shape_source.parse_branch_map(_doc(spark, branch_map_json()))
+    return _once(spark, "branch_map", lambda: shape_source.parse_branch_map(_doc(spark, branch_map_json())))
 
 
 def families(spark: SparkSession) -> DataFrame:
-    return shape_source.parse_families(_doc(spark, {"line": "39", "description": "test", "families": FAMILIES}))
+    doc = {"line": "39", "description": "test", "families": FAMILIES}
+    return _once(spark, "families", lambda: shape_source.parse_families(_doc(spark, doc)))
 
 
 def lined_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +168,17 @@ def trip_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_trips(lined_pings(spark, sf_dir))
 
 
+def projected_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projected points written once to shared storage, for jobs that read them several times."""
+    return stored(projected(spark, sf_dir), "projected")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def projected(spark: SparkSession, sf_dir: str, near: bool = True) -> DataFrame:
     """Trip points on their assigned shape; by default only those within the limit."""
     p = paths(spark)
