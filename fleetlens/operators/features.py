@@ -7,6 +7,8 @@ of consecutive points, so a very long trip spreads over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,24 +45,40 @@ def segment_index(dist: Column, size: float = SEGMENT_M) -> Column:
 
 
 def renumber(points: DataFrame, bucket_s: int = HOUR_S, tie: str = "event_id") -> DataFrame:
-    """Dense ``pos`` of the points left in each trip, and ``n_pos``, their count."""
+    """Dense ``pos`` of the points left in each trip, ``n_pos`` their count and ``start_ts`` the first time.
+
+    Numbered per (trip, hour); one summary row per (trip, hour) chains the hours.
+    """
     keyed = points.withColumn("_b", bucket(F.col("ts"), bucket_s))
-    numbered = number_rows(keyed, TRIP, "_b", ["ts", tie], "pos").drop("_b")
-    sizes = points.groupBy(*TRIP).agg(F.count(F.lit(1)).alias("n_pos"))
-    return numbered.join(sizes, TRIP)
+    local = Window.partitionBy(*TRIP, "_b").orderBy("ts", tie)
+    hours = keyed.groupBy(*TRIP, "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_t0"))
+    by_trip = Window.partitionBy(*TRIP).orderBy("_b")
+    whole = by_trip.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hours = hours.select(
+        *TRIP,
+        "_b",
+        F.coalesce(F.sum("_n").over(by_trip.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+        F.sum("_n").over(whole).alias("n_pos"),
+        F.min("_t0").over(whole).alias("start_ts"),
+    )
+    return (
+        keyed.withColumn("_row", F.row_number().over(local))
+        .join(hours, [*TRIP, "_b"])
+        .withColumn("pos", (F.col("_base") + F.col("_row") - 1).cast("long"))
+        .drop("_base", "_row", "_b")
+    )
 
 
 def point_scalars(points: DataFrame) -> DataFrame:
-    """dist_along_norm, ts_age_s, time_since_start (from the first point kept) and seg_idx."""
-    starts = points.groupBy(*TRIP).agg(F.min("ts").alias("_start"))
+    """dist_along_norm, ts_age_s, time_since_start (from the first point kept) and seg_idx; needs start_ts."""
     length = F.when(F.col("length_m") > 0, F.col("length_m")).otherwise(1.0)
-    return (
-        points.join(starts, TRIP)
-        .withColumn("dist_along_norm", F.col("along_m") / length)
-        .withColumn("ts_age_s", F.least(F.col("frame_ts") - F.col("ts"), F.lit(MAX_AGE_S)).cast("double"))
-        .withColumn("time_since_start", (F.col("ts") - F.col("_start")).cast("double"))
-        .withColumn("seg_idx", segment_index(F.col("along_m")))
-        .drop("_start")
+    return points.withColumns(
+        {
+            "dist_along_norm": F.col("along_m") / length,
+            "ts_age_s": F.least(F.col("frame_ts") - F.col("ts"), F.lit(MAX_AGE_S)).cast("double"),
+            "time_since_start": (F.col("ts") - F.col("start_ts")).cast("double"),
+            "seg_idx": segment_index(F.col("along_m")),
+        }
     )
 
 
@@ -257,18 +275,29 @@ def future_pairs(points: DataFrame, p_cols: list[str], f_cols: list[str], min_m:
 
 
 def point_features(
-    projected: DataFrame, fleet_obs: DataFrame | None = None, match: str = "frame", mapped_only: bool = True, arrays: bool = True
+    projected: DataFrame,
+    fleet_obs: DataFrame | None = None,
+    match: str = "frame",
+    mapped_only: bool = True,
+    arrays: bool = True,
+    store: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
-    """All per-point features of trips on a mapped shape."""
+    """All per-point features of trips on a mapped shape.
+
+    The point table is read three times when the passages of earlier buses are
+    looked up; ``store`` writes it out once (a table on shared storage) instead
+    of deriving it again.
+    """
+    keep = store or (lambda df, _name: df)
     src = projected.where("mapped") if mapped_only else projected
     pts = encode_time(point_scalars(renumber(src)))
+    pts = keep(previous_trip(pts, passage_history(src, eligible_trips(src))), "points")
+    with_passages = pts.join(passage_neighbours(pts), [*TRIP, "pos"], "left")
     if arrays:
-        pts = trajectory(pts)
+        with_passages = trajectory(with_passages)
         if fleet_obs is not None:
-            pts = fleet_context(pts, fleet_table(fleet_obs), match=match)
-    trips = eligible_trips(src)
-    pts = previous_trip(pts, passage_history(src, trips))
-    return pts.join(passage_neighbours(pts), [*TRIP, "pos"], "left")
+            with_passages = fleet_context(with_passages, fleet_table(fleet_obs), match=match)
+    return with_passages
 
 
 SCALARS = [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetlens.plans import feature_queries, geometry_queries, model_queries, trip_queries  # noqa: F401
+from fleetlens.plans import feature_queries, geometry_queries, model_queries, route_queries, trip_queries  # noqa: F401
 from fleetlens.plans.registry import ORACLE, QUERIES
 
 flagship = None

@@ -28,12 +28,12 @@ def timed(points):
     sql(f"select event_id, {rq('sin(angle)', 'hour_sin')}, {rq('cos(angle)', 'hour_cos')}, cast(dow as integer) as dow from timed", "timed"),
 )
 def encode_time(spark, sf):
-    return timed(tb.projected(spark, sf)).select("event_id", r("hour_sin").alias("hour_sin"), r("hour_cos").alias("hour_cos"), "dow")
+    return timed(tb.projected_table(spark, sf)).select("event_id", r("hour_sin").alias("hour_sin"), r("hour_cos").alias("hour_cos"), "dow")
 
 
 @query("segment_index", sql("select event_id, cast(floor(along_m/500.0) as integer) as seg_idx from proj", "proj"))
 def segment_index(spark, sf):
-    return tb.projected(spark, sf).select("event_id", fx.segment_index(F.col("along_m")).alias("seg_idx"))
+    return tb.projected_table(spark, sf).select("event_id", fx.segment_index(F.col("along_m")).alias("seg_idx"))
 
 
 cte(
@@ -53,7 +53,7 @@ cte(
     ),
 )
 def point_scalars(spark, sf):
-    return fx.point_scalars(fx.renumber(tb.projected(spark, sf).where("mapped"))).select(
+    return fx.point_scalars(fx.renumber(tb.projected_table(spark, sf).where("mapped"))).select(
         "event_id", "pos", "n_pos", r("dist_along_norm").alias("dist_along_norm"), "ts_age_s", "time_since_start", "seg_idx"
     )
 
@@ -67,7 +67,7 @@ def point_scalars(spark, sf):
     ),
 )
 def future_pairs(spark, sf):
-    pts = fx.renumber(tb.projected(spark, sf).where("mapped"))
+    pts = fx.renumber(tb.projected_table(spark, sf).where("mapped"))
     # small blocks here, so that the blocked join path is exercised
     return fx.future_pairs(pts, ["event_id"], ["event_id"], block=4).select(
         "event_id", "f_event_id", r("dist_remaining_m", 4).alias("dist_remaining_m"), "observed_eta_s"
@@ -92,7 +92,7 @@ def checksum(col):
 
 @query("trajectory", sql(f"select event_id, traj_len, {rq('traj_check', None, 4)}, 30 as width from traj", "traj"))
 def trajectory(spark, sf):
-    pts = fx.point_scalars(fx.renumber(tb.projected(spark, sf).where("mapped")))
+    pts = fx.point_scalars(fx.renumber(tb.projected_table(spark, sf).where("mapped")))
     return fx.trajectory(pts, block=16).select(
         "event_id", "traj_len", r(checksum("traj_flat"), 4).alias("traj_check"), F.size("traj_flat").alias("width")
     )
@@ -117,12 +117,12 @@ cte(
 )
 
 
-@query("fleet_context", sql(f"select event_id, n_fleet, {rq('fleet_check', None, 4)}, 15 as width from fleet_ctx", "fleet_ctx"))
+@query("fleet_context", sql(f"select event_id, n_fleet, {rq('fleet_check', None, 8)}, 15 as width from fleet_ctx", "fleet_ctx"))
 def fleet_context(spark, sf):
-    pts = tb.projected(spark, sf).where("mapped")
+    pts = tb.projected_table(spark, sf).where("mapped")
     table = fx.fleet_table(tb.lined_pings(spark, sf), cap=3)
     return fx.fleet_context(pts, table, cap=3).select(
-        "event_id", "n_fleet", r(checksum("fleet_flat"), 4).alias("fleet_check"), F.size("fleet_flat").alias("width")
+        "event_id", "n_fleet", r(checksum("fleet_flat"), 8).alias("fleet_check"), F.size("fleet_flat").alias("width")
     )
 
 
@@ -137,7 +137,7 @@ cte(
 @query("fleet_context_exact", sql("select event_id, n_fleet from fleet_exact", "fleet_exact"))
 def fleet_context_exact(spark, sf):
     table = fx.fleet_table(tb.lined_pings(spark, sf))
-    return fx.fleet_context(tb.projected(spark, sf).where("mapped"), table, match="exact").select("event_id", "n_fleet")
+    return fx.fleet_context(tb.projected_table(spark, sf).where("mapped"), table, match="exact").select("event_id", "n_fleet")
 
 
 cte(
@@ -230,12 +230,12 @@ cte(
 def features(spark, sf, arrays=False, fleet=False):
     """Point features with civil time on the uncompressed clock."""
     pts = tb.projected_table(spark, sf)
-    feats = fx.point_features(pts, tb.lined_pings(spark, sf) if fleet else None, arrays=arrays)
-    return timed(feats)
+    return timed(fx.point_features(pts, tb.lined_pings(spark, sf) if fleet else None, arrays=arrays, store=tb.stored))
 
 
 def eta(spark, sf):
-    return fx.eta_rows(features(spark, sf), arrays=False)
+    """The training table (without arrays), built once per application as daily training files would be."""
+    return tb.stage(spark, sf, "eta", lambda: fx.eta_rows(features(spark, sf), arrays=False))
 
 
 @query(
@@ -254,7 +254,7 @@ def interp_passage(spark, sf):
     sql(
         f"""select e.vehicle_id, e.trip_no, e.p_pos, e.f_pos, e.ramal_id, e.seg_idx, {rq('e.dist_remaining_m', 'dist_remaining_m', 4)}, {rq('e.dist_along_norm', 'dist_along_norm')}, {rq('e.speed_mps', 'speed_mps')},
         {rq('e.hour_sin', 'hour_sin')}, {rq('e.hour_cos', 'hour_cos')}, cast(e.dow as integer) as dow, true as has_active_bus, e.observed_eta_s, e.time_since_start, e.ts_age_s,
-        {rq('t.traj_check', 'traj_check', 4)}, t.traj_len, {rq('c.fleet_check', 'fleet_check', 4)}, c.n_fleet, {rq('e.time_since_last_bus_s', 'time_since_last_bus_s', 4)}, e.last_bus_found
+        {rq('t.traj_check', 'traj_check', 4)}, t.traj_len, {rq('c.fleet_check', 'fleet_check', 8)}, c.n_fleet, {rq('e.time_since_last_bus_s', 'time_since_last_bus_s', 4)}, e.last_bus_found
         from eta e join traj t on t.event_id = e.event_id join (select p.event_id, cast(count(x.k) as integer) as n_fleet,
           coalesce(sum((5*k+1)*a + (5*k+2)*b + (5*k+3)*x.speed + (5*k+4)*x.direction_id + (5*k+5)*same), 0.0) as fleet_check
           from feat p left join (select * from ({FLEET_SQL.format(at='frame_ts')}) where k < 60) x using (event_id) group by p.event_id) c on c.event_id = e.event_id""",
@@ -272,7 +272,7 @@ def eta_rows(spark, sf):
         "traj_len", "n_fleet", "last_bus_found",
         *[r(c, n).alias(c) for c, n in digits.items()],
         r(checksum("traj_flat"), 4).alias("traj_check"),
-        r(checksum("fleet_flat"), 4).alias("fleet_check"),
+        r(checksum("fleet_flat"), 8).alias("fleet_check"),
     )
 
 
@@ -312,7 +312,7 @@ cte(
 
 @query("schedule_deviation", sql(f"select vehicle_id, trip_no, p_pos, f_pos, {rq('schedule_dev_norm', None, 5)} from deviation", "deviation"))
 def schedule_deviation(spark, sf):
-    train = tb.stored(eta(spark, sf), "eta")
+    train = eta(spark, sf)
     return fx.schedule_deviation(train, fx.schedule_medians(train)).select(
         "vehicle_id", "trip_no", "p_pos", "f_pos", r("schedule_dev_norm", 5).alias("schedule_dev_norm")
     )
@@ -352,7 +352,7 @@ cte(
 
 @query("normalize_traj", sql(f"select event_id, {rq('norm_check', None, 4)} from traj_norm", "traj_norm"))
 def normalize_traj(spark, sf):
-    pts = fx.trajectory(fx.point_scalars(fx.renumber(tb.projected(spark, sf).where("mapped"))))
+    pts = fx.trajectory(fx.point_scalars(fx.renumber(tb.projected_table(spark, sf).where("mapped"))))
     return fx.normalize_traj(pts).select("event_id", r(checksum("traj_norm"), 4).alias("norm_check"))
 
 
@@ -367,9 +367,9 @@ cte(
 )
 
 
-@query("cap_fleet", sql(f"select event_id, n_fleet, {rq('fleet_check', None, 4)} from fleet_capped", "fleet_capped"))
+@query("cap_fleet", sql(f"select event_id, n_fleet, {rq('fleet_check', None, 8)} from fleet_capped", "fleet_capped"))
 def cap_fleet(spark, sf):
-    return fx.cap_fleet(arrays_only(spark, sf), 2).select("event_id", "n_fleet", r(checksum("fleet_flat"), 4).alias("fleet_check"))
+    return fx.cap_fleet(arrays_only(spark, sf), 2).select("event_id", "n_fleet", r(checksum("fleet_flat"), 8).alias("fleet_check"))
 
 
 @query(
@@ -427,7 +427,7 @@ PROFILED = ["dist_remaining_m", "dist_along_norm", "observed_eta_s"]
 )
 def profile(spark, sf):
     pairs = fx.profile(eta(spark, sf), PROFILED)
-    pts = fx.trajectory(fx.point_scalars(fx.renumber(tb.projected(spark, sf).where("mapped"))))
+    pts = fx.trajectory(fx.point_scalars(fx.renumber(tb.projected_table(spark, sf).where("mapped"))))
     both = pairs.unionByName(fx.profile(pts, [], {"traj_speed": ("traj_flat", 3, 1)}))
     return both.select("name", "n", "n_nan", "n_inf", *[r(c, 4).alias(c) for c in ("min", "max", "mean", "p99")])
 

@@ -35,6 +35,10 @@ def lookup_sql(src: str) -> str:
 cte("lookup", lookup_sql("hours"), "hours")
 
 
+def lookup(spark, sf):
+    return tb.stage(spark, sf, "lookup", lambda: em.fit_speed_lookup(eta(spark, sf)))
+
+
 @query("speed_lookup", sql(f"select level, ramal_id, seg_idx, hour, dow, {rq('avg_speed')}, n from lookup", "lookup"))
 def speed_lookup(spark, sf):
     return em.fit_speed_lookup(eta(spark, sf)).select("level", "ramal_id", "seg_idx", "hour", "dow", r("avg_speed").alias("avg_speed"), "n")
@@ -42,7 +46,7 @@ def speed_lookup(spark, sf):
 
 @query("model_branches", sql("select distinct ramal_id from lookup", "lookup"))
 def model_branches(spark, sf):
-    return em.model_branches(em.fit_speed_lookup(eta(spark, sf)))
+    return em.model_branches(lookup(spark, sf))
 
 
 # probe keys: every part, spread over known and unknown branches, segments, hours and days
@@ -80,7 +84,7 @@ cte("probe_speed", speed_sql("probes", "lookup"), "probes", "lookup")
 
 @query("lookup_speed", sql(f"select probe_id, {rq('avg_speed')}, {CONF} as confidence from probe_speed", "probe_speed"))
 def lookup_speed(spark, sf):
-    return em.lookup_speed(probes(spark, sf), em.fit_speed_lookup(eta(spark, sf))).select("probe_id", r("avg_speed").alias("avg_speed"), "confidence")
+    return em.lookup_speed(probes(spark, sf), lookup(spark, sf)).select("probe_id", r("avg_speed").alias("avg_speed"), "confidence")
 
 
 def walk_sql(src: str, key: str, lookup: str) -> tuple[str, str]:
@@ -106,7 +110,7 @@ cte("probe_eta", _total.format(steps="probe_steps"), "probe_steps")
     ),
 )
 def predict_eta(spark, sf):
-    return em.predict_eta(probes(spark, sf), em.fit_speed_lookup(eta(spark, sf))).select("probe_id", r("eta_s", 4).alias("eta_s"), "confidence")
+    return em.predict_eta(probes(spark, sf), lookup(spark, sf)).select("probe_id", r("eta_s", 4).alias("eta_s"), "confidence")
 
 
 cte("split_days", "select day, row_number() over (order by day) as n, count(*) over () as total from (select distinct day from eta)", "eta")
@@ -121,13 +125,15 @@ cte("pred", "select v.*, e.eta_s, e.conf, abs(e.eta_s - v.observed_eta_s) as err
 
 
 def split(spark, sf):
-    rows = tb.stored(eta(spark, sf), "eta")
-    return temporal_split(rows)
+    return temporal_split(eta(spark, sf))
 
 
 def predicted(spark, sf):
-    train, val = split(spark, sf)
-    return em.predict_training_rows(val, em.fit_speed_lookup(train))
+    def build():
+        train, val = split(spark, sf)
+        return em.predict_training_rows(val, em.fit_speed_lookup(train))
+
+    return tb.stage(spark, sf, "predictions", build)
 
 
 IDX = "(list(err order by err))[cast(floor(count(*)*{q}) as bigint)+1]"
@@ -223,7 +229,7 @@ def _error_sql(by: str, col: str, edges: list[int]) -> str:
     sql(_error_sql("distance", "dist_remaining_m", em.DISTANCE_EDGES) + " union all " + _error_sql("eta", "eta_s", em.ETA_EDGES), "pred"),
 )
 def error_by_bucket(spark, sf):
-    p = tb.stored(predicted(spark, sf), "pred")
+    p = predicted(spark, sf)
     both = em.error_by_bucket(p).withColumn("kind", F.lit("distance")).unionByName(
         em.error_by_bucket(p, "eta_s", em.ETA_EDGES).withColumn("kind", F.lit("eta"))
     )

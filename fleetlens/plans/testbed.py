@@ -8,7 +8,9 @@ data; the same values are stated as SQL in ``oracle.py``.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,9 +170,21 @@ def trip_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_trips(lined_pings(spark, sf_dir))
 
 
-def projected_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The projected points written once to shared storage, for jobs that read them several times."""
-    return stored(projected(spark, sf_dir), "projected")
+_STAGES: dict[tuple[str, str, str], str] = {}
+
+
+def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """An intermediate table of the application, written once to shared storage and read by later jobs."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _STAGES:
+        try:
+            return spark.read.parquet(_STAGES[key])
+        except AnalysisException:
+            pass
+    path = shared_dir(spark, name)
+    build().write.parquet(path)
+    _STAGES[key] = path
+    return spark.read.parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -179,6 +193,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def projected_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projected trip points near their shape."""
+    return stage(spark, sf_dir, "projected", lambda: projected(spark, sf_dir))
+
+
 def projected(spark: SparkSession, sf_dir: str, near: bool = True) -> DataFrame:
     """Trip points on their assigned shape; by default only those within the limit."""
     p = paths(spark)
