@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from fleetlens.plans import feature_queries, geometry_queries, model_queries, route_queries, trip_queries  # noqa: F401
+from fleetlens.plans import (  # noqa: F401
+    arrival_queries,
+    feature_queries,
+    fleet_queries,
+    geometry_queries,
+    headway_queries,
+    model_queries,
+    route_queries,
+    trip_queries,
+)
 from fleetlens.plans.registry import ORACLE, QUERIES
 
 flagship = None
