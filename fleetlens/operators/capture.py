@@ -233,7 +233,7 @@ def vehicle_lives(events: DataFrame) -> DataFrame:
     marked = events.withColumn("_life", F.sum(F.when(F.col("op") == "upd", 0).otherwise(1)).over(run)).where("_life > 0")
     state = Window.partitionBy("reset_no", "id", "_life").orderBy("frame_no", "seq")
     known = state.rowsBetween(Window.unboundedPreceding, 0)
-    fields = [c for c in VEHICLE_FIELDS if c != "id"]
+    fields = [c for c in events.schema["vehicle"].dataType.names if c != "id"]
     rows = marked.select(
         "reset_no",
         "id",
@@ -270,7 +270,7 @@ def replay(frames: DataFrame, interval_s: int = 300, label_map: DataFrame | None
             F.col("_k.frame_no").alias("frame_no"),
             F.col("_k.frame_ts").alias("frame_ts"),
             "id",
-            *[F.col(c) for c in VEHICLE_FIELDS if c != "id"],
+            *[F.col(c) for c in events.schema["vehicle"].dataType.names if c != "id"],
         )
     )
 

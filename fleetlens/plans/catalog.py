@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from fleetlens.plans import (  # noqa: F401
     arrival_queries,
+    capture_queries,
     feature_queries,
     fleet_queries,
     geometry_queries,
     headway_queries,
     model_queries,
     route_queries,
+    source_queries,
     trip_queries,
 )
 from fleetlens.plans.registry import ORACLE, QUERIES

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import math
-
 from fleetlens.plans import testbed
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -30,7 +27,8 @@ def sql(select: str, *deps: str) -> str:
     if not done:
         return select
     body = ",\n".join(f"{n} as ({CTES[n][1]})" for n in done)
-    return f"with {body}\n{select}"
+    word = "with recursive" if any(n.startswith("rec_") for n in done) else "with"
+    return f"{word} {body}\n{select}"
 
 
 def _lit(v) -> str:
