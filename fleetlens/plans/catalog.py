@@ -12,6 +12,7 @@ from fleetlens.plans import (  # noqa: F401
     model_queries,
     route_queries,
     source_queries,
+    stream_queries,
     trip_queries,
 )
 from fleetlens.plans.registry import ORACLE, QUERIES

@@ -139,10 +139,10 @@ cte(
 )
 cte(
     "g_paths",
-    "select shape_id, count(*) as n_points, sum(lat*seq) as lat_check, arg_min(lat, seq) as lat0, arg_min(lon, seq) as lon0 from g_shapes group by shape_id",
+    "select shape_id, count(*) as n_points, sum(lat) as lat_check, arg_min(lat, (seq, lat, lon)) as lat0, arg_min(lon, (seq, lat, lon)) as lon0 from g_shapes group by shape_id",
     "g_shapes",
 )
-cte("g_halts", "select 't' || l_orderkey as trip_id, count(*) as n_stops, string_agg('p' || l_partkey, ',' order by l_linenumber) as stop_ids from lineitem where l_partkey % 3 <> 0 group by l_orderkey")
+cte("g_halts", "select 't' || l_orderkey as trip_id, count(*) as n_stops, string_agg('p' || l_partkey, ',' order by l_linenumber, 'p' || l_partkey) as stop_ids from lineitem where l_partkey % 3 <> 0 group by l_orderkey")
 
 
 @query(
@@ -184,7 +184,7 @@ def gtfs_branches(spark, sf):
     stops = part.where(pk % 3 != 0).select(name("p", pk).alias("stop_id"), F.col("p_name").alias("stop_name"), F.lit(-34.6).alias("stop_lat"), F.lit(-58.4).alias("stop_lon"))
     refs = orders.where(ok % 11 == 0).select(name("s", ok).alias("shape_id"), F.concat(F.lit("Xs"), ok).alias("ref"))
     b = rel.gtfs_branches(routes, trips, shapes, times, stops, refs, GTFS_LINES)
-    check = F.aggregate(F.transform("points", lambda p, i: p["lat"] * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    check = F.aggregate("points", F.lit(0.0), lambda a, p: a + p["lat"])
     return b.select(
         "line", "color", "name", "direction", "shape_id", "short_name", F.size("points").cast("long").alias("n_points"), r(check, 5).alias("lat_check"),
         F.size("stops").cast("long").alias("n_stops"), F.concat_ws(",", F.transform("stops", lambda s: s["id"])).alias("stop_ids"),
@@ -248,7 +248,7 @@ def relations_per_line(spark, sf):
 # ways: one per line item, three vertices along the order, some laid backwards or with a gap
 cte(
     "ways",
-    """select *, lat0 + 0.00005::double*(m % 3) as alat, lon0 + 0.0009::double as zlon, lat0 as zlat from (select l_orderkey as relation_id, l_linenumber as pos, l_partkey as m, l_suppkey % 2 = 1 as back,
+    """select *, lat0 + 0.00005::double*(m % 3) as alat, lon0 + 0.0009::double as zlon, lat0 as zlat from (select l_orderkey as relation_id, (l_linenumber*100000::bigint + l_partkey)*100000 + l_suppkey as pos, l_partkey as m, l_suppkey % 2 = 1 as back,
   -34.6::double + 0.0001::double*(l_orderkey % 7) as lat0, -58.4::double + 0.001::double*l_linenumber + case when l_partkey % 5 = 0 then 0.0005::double else 0.0 end as lon0 from lineitem)""",
 )
 cte(
@@ -273,7 +273,7 @@ def ways(spark, sf):
     at = lambda y, x: F.struct(y.alias("lat"), x.alias("lon"))
     pts = F.array(at(lat0 + F.lit(0.00005) * (F.col("l_partkey") % 3).cast("double"), lon0), at(lat0, lon0 + 0.0004), at(lat0, lon0 + 0.0009))
     return tb.table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("relation_id"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_suppkey") % 2 == 1, F.reverse(pts)).otherwise(pts).alias("points")
+        F.col("l_orderkey").alias("relation_id"), ((F.col("l_linenumber") * F.lit(100000).cast("long") + F.col("l_partkey")) * 100000 + F.col("l_suppkey")).alias("pos"), F.when(F.col("l_suppkey") % 2 == 1, F.reverse(pts)).otherwise(pts).alias("points")
     )
 
 
@@ -300,7 +300,7 @@ def stitch_ways(spark, sf):
 ROLES = ["stop", "platform", "", "forward", "stop_exit_only"]
 cte(
     "members",
-    """select o_custkey as relation_id, l_orderkey*10 + l_linenumber as pos, l_partkey % 200 as ref, case l_suppkey % 5 when 0 then 'stop' when 1 then 'platform' when 2 then '' when 3 then 'forward' else 'stop_exit_only' end as role,
+    """select o_custkey as relation_id, ((l_orderkey*10 + l_linenumber)*100000 + l_partkey)*100000 + l_suppkey as pos, l_partkey % 200 as ref, case l_suppkey % 5 when 0 then 'stop' when 1 then 'platform' when 2 then '' when 3 then 'forward' else 'stop_exit_only' end as role,
   case when l_partkey % 200 = 7 then null else -34.6::double + 0.00021::double*(l_partkey % 200 % 14) end as lat, -58.4::double + 0.00027::double*(l_partkey % 200 // 14) as lon from lineitem join orders on o_orderkey = l_orderkey""",
 )
 cte(
@@ -325,7 +325,7 @@ def extract_stops(spark, sf):
     s = F.col("l_suppkey") % 5
     members = items.join(orders, "l_orderkey").select(
         F.col("o_custkey").alias("relation_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")).alias("pos"),
         n.alias("ref"),
         F.when(s == 0, "stop").when(s == 1, "platform").when(s == 2, "").when(s == 3, "forward").otherwise("stop_exit_only").alias("role"),
         F.when(n != 7, F.lit(-34.6) + F.lit(0.00021) * (n % 14).cast("double")).alias("lat"),
