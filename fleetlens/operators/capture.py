@@ -191,15 +191,15 @@ def _frames_only(frames: DataFrame) -> DataFrame:
 
 
 def change_events(frames: DataFrame) -> DataFrame:
-    """(reset_no, frame_no, seq, op, id, vehicle): additions, then removals, then updates of a frame."""
+    """(reset_no, frame_no, _step, op, id, vehicle): additions, then removals, then updates of a frame."""
     f = _with_reset(_frames_only(frames))
     base = ["reset_no", "frame_no"]
-    adds = f.select(*base, F.lit(0).alias("seq"), F.lit("new").alias("op"), F.explode("new").alias("vehicle"))
+    adds = f.select(*base, F.lit(0).alias("_step"), F.lit("new").alias("op"), F.explode("new").alias("vehicle"))
     ups = f.where("not coalesce(keyframe, false)").select(
-        *base, F.lit(2).alias("seq"), F.lit("upd").alias("op"), F.explode("upd").alias("vehicle")
+        *base, F.lit(2).alias("_step"), F.lit("upd").alias("op"), F.explode("upd").alias("vehicle")
     )
     dels = f.where("not coalesce(keyframe, false)").select(
-        *base, F.lit(1).alias("seq"), F.lit("del").alias("op"), F.explode("del").alias("id")
+        *base, F.lit(1).alias("_step"), F.lit("del").alias("op"), F.explode("del").alias("id")
     )
     placed = adds.unionByName(ups).withColumn("id", F.col("vehicle.id"))
     return placed.unionByName(dels, allowMissingColumns=True)
@@ -228,23 +228,23 @@ def vehicle_lives(events: DataFrame) -> DataFrame:
     A life starts with an addition and ends with a removal or the reset's end;
     updates before any addition are ignored.
     """
-    by = Window.partitionBy("reset_no", "id").orderBy("frame_no", "seq")
+    by = Window.partitionBy("reset_no", "id").orderBy("frame_no", "_step")
     run = by.rowsBetween(Window.unboundedPreceding, 0)
     marked = events.withColumn("_life", F.sum(F.when(F.col("op") == "upd", 0).otherwise(1)).over(run)).where("_life > 0")
-    state = Window.partitionBy("reset_no", "id", "_life").orderBy("frame_no", "seq")
+    state = Window.partitionBy("reset_no", "id", "_life").orderBy("frame_no", "_step")
     known = state.rowsBetween(Window.unboundedPreceding, 0)
     fields = [c for c in events.schema["vehicle"].dataType.names if c != "id"]
     rows = marked.select(
         "reset_no",
         "id",
         "frame_no",
-        "seq",
         "op",
         "_life",
         F.first("op").over(state).alias("_start"),
+        F.lead("frame_no").over(by).alias("to_frame"),
         *[F.last(f"vehicle.{c}", ignorenulls=True).over(known).alias(c) for c in fields],
-    ).withColumn("to_frame", F.lead("frame_no").over(by))
-    return rows.where("_start = 'new' and op <> 'del'").withColumnRenamed("frame_no", "from_frame").drop("_start", "_life", "seq", "op")
+    )
+    return rows.where("_start = 'new' and op <> 'del'").withColumnRenamed("frame_no", "from_frame").drop("_start", "_life", "op")
 
 
 def replay(frames: DataFrame, interval_s: int = 300, label_map: DataFrame | None = None, lines: list[str] | None = None) -> DataFrame:

@@ -80,48 +80,77 @@ def lookup_speed(keys: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def speed_profiles(lookup: DataFrame) -> DataFrame:
-    """Per (branch, hour, weekday): map of segment → speed. A map holds one entry per 500 m of the branch."""
-    return (
+    """Per (branch, hour, weekday): speeds by segment and their running travel times.
+
+    ``speeds[i]`` is the speed of segment i (the level-2 speed where a segment
+    is unknown), ``cum[i]`` the time over the segments before i, ``gaps[i]`` the
+    number of unknown ones before i. An array has one entry per 500 m of the branch.
+    """
+    base = lookup.where("level = 2").select("ramal_id", "hour", "dow", F.col("avg_speed").alias("base"))
+    known = (
         lookup.where("level = 1")
         .groupBy("ramal_id", "hour", "dow")
-        .agg(F.map_from_entries(F.collect_list(F.struct("seg_idx", "avg_speed"))).alias("speeds"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("seg_idx", "avg_speed"))).alias("_m"), F.max("seg_idx").alias("_top"))
+    )
+    index = F.sequence(F.lit(0), F.col("_top"))
+    p = known.join(base, ["ramal_id", "hour", "dow"]).withColumns(
+        {
+            "speeds": F.transform(index, lambda i: F.coalesce(F.try_element_at("_m", i), F.col("base"))),
+            "_gap": F.transform(index, lambda i: F.when(F.map_contains_key("_m", i), 0).otherwise(1)),
+        }
+    )
+    grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    times = F.transform("speeds", lambda v: F.lit(SEGMENT_M) / F.greatest(v, F.lit(MIN_SPEED)))
+    return p.select(
+        "ramal_id",
+        "hour",
+        "dow",
+        "speeds",
+        F.aggregate(times, F.array(F.lit(0.0)), grow).alias("cum"),
+        F.aggregate("_gap", F.array(F.lit(0)), grow).alias("gaps"),
     )
 
 
 def predict_eta(requests: DataFrame, lookup: DataFrame) -> DataFrame:
     """Add eta_s and confidence to rows of (ramal_id, from_m, to_m, hour, dow).
 
-    Walks 500 m steps from the vehicle: step k lies in segment first + k. The
-    walk is one expression over the branch's speed map, so a request stays one
-    row and is joined once per level.
+    The way is walked in 500 m steps from the vehicle; step k lies in segment
+    first + k. Running times per branch turn the walk into two array lookups
+    and the last, partial step, so a request stays one row whatever its length.
     """
     j = requests.join(small(speed_profiles(lookup)), ["ramal_id", "hour", "dow"], "left")
     j = j.join(_level(lookup, 2, ["ramal_id", "hour", "dow"], "_2"), ["ramal_id", "hour", "dow"], "left")
     j = j.join(_level(lookup, 3, ["ramal_id", "hour"], "_3"), ["ramal_id", "hour"], "left")
     j = j.join(_level(lookup, 4, ["ramal_id"], "_4"), "ramal_id", "left")
-    base = F.coalesce("_2", "_3", "_4", F.lit(DEFAULT_SPEED))
-    base_rank = F.when(F.coalesce("_2", "_3").isNotNull(), 1).otherwise(2)
     dist = F.col("to_m") - F.col("from_m")
+    j = j.withColumns(
+        {
+            "_base": F.greatest(F.coalesce("_2", "_3", "_4", F.lit(DEFAULT_SPEED)), F.lit(MIN_SPEED)),
+            "_first": segment_index(F.col("from_m")),
+            "_full": (F.ceil(F.greatest(dist, F.lit(1.0)) / SEGMENT_M) - 1).cast("int"),
+            "_n": F.size("speeds"),
+        }
+    )
+    last = F.col("_first") + F.col("_full")
+
+    def running(arr: str, i: Column, per_step: Column) -> Column:
+        # beyond the known segments every step costs the same
+        return F.get(arr, F.least(i, F.col("_n"))) + F.greatest(i - F.col("_n"), F.lit(0)) * per_step
+
+    per_step = F.lit(SEGMENT_M) / F.col("_base")
+    rest = dist - F.col("_full") * SEGMENT_M
+    end_speed = F.greatest(F.coalesce(F.get("speeds", last), F.col("_base")), F.lit(MIN_SPEED))
+    walked = running("cum", last, per_step) - running("cum", F.col("_first"), per_step) + rest / end_speed
+    unknown = running("gaps", last + 1, F.lit(1)) - running("gaps", F.col("_first"), F.lit(1))
+    has = F.col("speeds").isNotNull()
+    coarse = F.when(F.coalesce("_2", "_3").isNotNull(), 1).otherwise(2)
+    rank = F.when(has, F.when(unknown > 0, 1).otherwise(0)).otherwise(coarse)
+    eta = F.when(has, walked).otherwise(dist / F.col("_base"))
     ahead = dist > 0
-    last = (F.ceil(F.greatest(dist, F.lit(1.0)) / SEGMENT_M) - 1).cast("int")
-    first = segment_index(F.col("from_m"))
-    known = F.col("speeds").isNotNull()
-
-    def step(acc: Column, k: Column) -> Column:
-        own = F.try_element_at("speeds", first + k)
-        length = F.least(dist - k * SEGMENT_M, F.lit(SEGMENT_M))
-        speed = F.greatest(F.coalesce(F.when(known, own), F.col("_base")), F.lit(MIN_SPEED))
-        rank = F.when(known & own.isNotNull(), 0).otherwise(F.col("_rank"))
-        return F.struct((acc["eta"] + length / speed).alias("eta"), F.greatest(acc["rank"], rank).alias("rank"))
-
-    walk = F.aggregate(F.sequence(F.lit(0), last), F.struct(F.lit(0.0).alias("eta"), F.lit(0).alias("rank")), step)
     return (
-        j.withColumn("_base", base)
-        .withColumn("_rank", base_rank)
-        .withColumn("_walk", F.when(ahead, walk))
-        .withColumn("eta_s", F.least(F.coalesce("_walk.eta", F.lit(0.0)), F.lit(MAX_ETA_S)))
-        .withColumn("confidence", F.get(F.array(*[F.lit(c) for c in CONFIDENCE]), F.coalesce("_walk.rank", F.lit(0))))
-        .drop("speeds", "_2", "_3", "_4", "_base", "_rank", "_walk")
+        j.withColumn("eta_s", F.when(ahead, F.least(eta, F.lit(MAX_ETA_S))).otherwise(0.0))
+        .withColumn("confidence", F.get(F.array(*[F.lit(c) for c in CONFIDENCE]), F.when(ahead, rank).otherwise(0)))
+        .drop("speeds", "cum", "gaps", "_2", "_3", "_4", "_base", "_first", "_full", "_n")
     )
 
 

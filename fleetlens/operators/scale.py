@@ -14,21 +14,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 64 << 20
+BROADCAST_LIMIT_ROWS = 200_000
 BUCKET_LIMIT = 1 << 20
 HOUR_S = 3600
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+_MEASURED: dict[tuple[str, int], bool] = {}
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES, max_rows: int = BROADCAST_LIMIT_ROWS) -> bool:
+    """Whether a table may be broadcast.
+
+    The optimizer's size is an upper bound for scans, filters, joins and
+    aggregates, but not behind an explode or a parsed document. Those are
+    measured: at most ``max_rows`` + 1 rows are counted and sized, once per plan.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) > limit:
+        return False
+    if "Generate " not in plan.toString():
+        return True
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    if key not in _MEASURED:
+        size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+        seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("b")).first()
+        _MEASURED[key] = seen["n"] <= max_rows and (seen["b"] or 0) <= limit
+    return _MEASURED[key]
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast when the planned size is under the limit.
+    """Hint a broadcast for a table checked to be under the limit.
 
     Beyond it the hint is left out: the join shuffles on its key and adaptive
     execution splits skewed partitions.
     """
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def bucket(col: Column, width: float) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import geo
 from fleetlens.operators import geometry
+from fleetlens.operators.scale import small
 from fleetlens.plans import testbed as tb
 from fleetlens.plans.oracle import cte, hav, nearest, sql
 from fleetlens.plans.registry import query, r, rq
@@ -77,7 +78,7 @@ def shape_segments(spark, sf):
     segs = geometry.shape_segments(tb.shapes(spark)).select("shape_id", "seg_no", "ab_x", "ab_y", "cum_m", "len_m")
     pts = tb.projected(spark, sf).select("shape_id", "event_id", "along_m")
     # the segment of a projected point is the last one starting at or before it
-    hit = pts.join(F.broadcast(segs.select("shape_id", "seg_no", "cum_m", "len_m")), "shape_id").where(
+    hit = pts.join(small(segs.select("shape_id", "seg_no", "cum_m", "len_m")), "shape_id").where(
         "along_m >= cum_m and along_m <= cum_m + len_m"
     )
     counts = hit.groupBy("shape_id", "event_id").agg(F.min("seg_no").alias("seg_no")).groupBy("shape_id", "seg_no").agg(F.count(F.lit(1)).alias("n_points"))
@@ -218,7 +219,7 @@ def best_branch_per_trip(spark, sf):
 )
 def shape_for_direction(spark, sf):
     first = geometry.shape_for(tb.shapes(spark)).select("line", F.col("direction").alias("trip_direction_id"), "shape_id")
-    return tb.trip_points(spark, sf).join(F.broadcast(first), ["line", "trip_direction_id"]).select("event_id", "shape_id")
+    return tb.trip_points(spark, sf).join(small(first), ["line", "trip_direction_id"]).select("event_id", "shape_id")
 
 
 cte(
@@ -273,7 +274,7 @@ cte(
 )
 def projection_quality(spark, sf):
     first = geometry.shape_for(tb.shapes(spark)).select("line", F.col("direction").alias("trip_direction_id"), "shape_id")
-    pts = tb.trip_points(spark, sf).join(F.broadcast(first), ["line", "trip_direction_id"])
+    pts = tb.trip_points(spark, sf).join(small(first), ["line", "trip_direction_id"])
     q = geometry.projection_quality(geometry.project_points(pts, tb.paths(spark), ["shape_id"]), ["line"])
     return q.select("line", "n_vehicles", "n_points", r("p50_m", 4).alias("p50_m"), r("p90_m", 4).alias("p90_m"), r("pct_over_150", 4).alias("pct_over_150"), "ok")
 

@@ -8,7 +8,6 @@ from fleetlens.operators import headway as hw
 from fleetlens.plans import testbed as tb
 from fleetlens.plans.oracle import cte, sql
 from fleetlens.plans.registry import query, r, rq
-from fleetlens.plans.route_queries import trip_points
 
 cte(
     "hpoints",
@@ -26,7 +25,7 @@ cte(
 
 
 def points(spark, sf):
-    return tb.stage(spark, sf, "headway_points", lambda: hw.headway_points(trip_points(spark, sf), tb.paths(spark)))
+    return tb.stage(spark, sf, "headway_points", lambda: hw.headway_points(tb.trip_points_table(spark, sf), tb.paths(spark)))
 
 
 def rounded(df, *ints, digits=4):

@@ -15,10 +15,6 @@ LOOSE = {"containment_min": 0.5, "vote_margin": 0.15, "quantile_margin": 0.05, "
 CONTAINED_M = 100.0
 
 
-def trip_points(spark, sf):
-    return tb.stage(spark, sf, "trip_points", lambda: tb.trip_points(spark, sf))
-
-
 @query(
     "scan_route_ids",
     sql("select day, line, route_id, min_by(direction_id, ts*1000000 + event_id) as direction_id from lined where line is not null group by all", "lined"),
@@ -38,7 +34,7 @@ cte(
 
 @query("route_evidence", sql("select line, route_id, n_trips, n_points, direction_id, first_day, last_day from evidence", "evidence"))
 def route_evidence(spark, sf):
-    return br.route_evidence(br.trip_days(trip_points(spark, sf)))
+    return br.route_evidence(br.trip_days(tb.trip_points_table(spark, sf)))
 
 
 cte(
@@ -57,7 +53,7 @@ cte(
 
 
 def evidence(spark, sf):
-    return br.route_evidence(br.trip_days(trip_points(spark, sf)))
+    return br.route_evidence(br.trip_days(tb.trip_points_table(spark, sf)))
 
 
 def cands(spark):
@@ -69,7 +65,7 @@ def projection(spark, sf):
         spark,
         sf,
         "candidate_projection",
-        lambda: br.candidate_projection(trip_points(spark, sf), evidence(spark, sf), cands(spark), contained_m=CONTAINED_M),
+        lambda: br.candidate_projection(tb.trip_points_table(spark, sf), evidence(spark, sf), cands(spark), contained_m=CONTAINED_M),
     )
 
 
@@ -81,7 +77,7 @@ def projection(spark, sf):
     ),
 )
 def candidate_projection(spark, sf):
-    p = br.candidate_projection(trip_points(spark, sf), evidence(spark, sf), cands(spark), contained_m=CONTAINED_M)
+    p = br.candidate_projection(tb.trip_points_table(spark, sf), evidence(spark, sf), cands(spark), contained_m=CONTAINED_M)
     return p.groupBy("line", "route_id", "shape_key").agg(
         F.count(F.lit(1)).alias("n"), r(F.sum("offset_m"), 3).alias("offset_sum"), r(F.sum("along_m"), 3).alias("along_sum")
     )
@@ -278,7 +274,7 @@ def resolve_lifecycle(spark, sf):
     from fleetlens.operators.temporal import ranked_days
 
     days = ranked_days(tb.pings(spark, sf)).select(F.col("day").alias("trip_day"), "day_no")
-    out = br.resolve_lifecycle(trip_points(spark, sf), days, tb.shapes(spark), tb.families(spark), tb.stored, contained_m=CONTAINED_M, **LOOSE)
+    out = br.resolve_lifecycle(tb.trip_points_table(spark, sf), days, tb.shapes(spark), tb.families(spark), tb.stored, contained_m=CONTAINED_M, **LOOSE)
     return out.select(
         "line", "route_id", "direction_id", "first_seen", "last_seen", "resolved_on", "status", "assignment_status", "shape_key", "method", r("confidence").alias("confidence")
     )

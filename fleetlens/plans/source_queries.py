@@ -8,6 +8,7 @@ from fleetlens.operators import eta_models as em
 from fleetlens.operators import features as fx
 from fleetlens.operators.temporal import temporal_split
 from fleetlens.operators.trips import trip_summary
+from fleetlens.operators.scale import small
 from fleetlens.plans import testbed as tb
 from fleetlens.plans.feature_queries import eta
 from fleetlens.plans.geometry_queries import own_shapes
@@ -38,7 +39,7 @@ def read_shapes(spark, sf):
     ss.shapes_document(own.withColumn("name", F.col("branch_pos").cast("string"))).select("line", F.col("text").alias("value")).repartition("line").write.partitionBy("line").text(path)
     back = ss.parse_shapes(spark.read.text(path).select(F.col("value").alias("text")), ["39", "26"])
     check = lambda f: F.aggregate(F.transform("points", lambda p, i: p[f] * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return back.withColumn("_k", F.lit(0)).join(F.broadcast(first), "_k").select(
+    return back.withColumn("_k", F.lit(0)).join(small(first), "_k").select(
         "line", "shape_id", (F.col("name").cast("int") - F.col("_h0")).alias("hour"), F.size("points").cast("long").alias("n_points"),
         r(check("lat"), 7).alias("lat_check"), r(check("lon"), 7).alias("lon_check"), F.size("stops").cast("long").alias("n_stops"),
     )
@@ -82,7 +83,7 @@ def label_map_from_shapes(spark, sf):
     e = F.col("event_id")
     suffix = F.when(e % 4 == 0, "39A").when(e % 4 == 1, "151").when(e % 4 == 2, "42A").otherwise("zz")
     m = ss.label_map_from_shapes(tb.shapes(spark))
-    return tb.pings(spark, sf).select("event_id", suffix.alias("suffix")).join(F.broadcast(m), "suffix", "left").select("event_id", F.coalesce("line", F.lit("none")).alias("line"))
+    return tb.pings(spark, sf).select("event_id", suffix.alias("suffix")).join(small(m), "suffix", "left").select("event_id", F.coalesce("line", F.lit("none")).alias("line"))
 
 
 def branch_docs(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.operators.filters import valid_requests, validate_requests
+from fleetlens.operators.scale import small
 from fleetlens.plans import testbed as tb
 from fleetlens.plans.capture_queries import EVERY, INTERVAL, recording, snap_table
 from fleetlens.plans.model_queries import lookup
@@ -14,6 +15,7 @@ from fleetlens.plans.trip_queries import requests
 from fleetlens.session import shared_dir
 from fleetlens.streaming import live
 
+
 def as_stream(spark, table, slices: list):
     """Write the slices one after the other and stream the files back, one per batch."""
     path = shared_dir(spark, "stream-in")
@@ -65,7 +67,7 @@ def stream_latest(spark, sf):
     finish(live.stream_latest(ping_slices(spark, sf), out, chk, ["ts", "event_id"]))
     every = spark.read.parquet(out)
     newest = every.agg(F.max("batch").alias("batch"))
-    return every.join(F.broadcast(newest), "batch", "left_semi").select("vehicle_id", "ts", r("lat", 8).alias("lat"), "line")
+    return every.join(small(newest), "batch", "left_semi").select("vehicle_id", "ts", r("lat", 8).alias("lat"), "line")
 
 
 cte(
@@ -103,7 +105,7 @@ def stream_arrivals(spark, sf):
     finish(live.stream_arrivals(ping_slices(spark, sf), asked, tb.shapes(spark), tb.paths(spark), lookup(spark, sf), out, state, chk, now=tb.NOW))
     every = spark.read.parquet(out)
     newest = every.agg(F.max("batch").alias("batch"))
-    return every.join(F.broadcast(newest), "batch", "left_semi").select("request_id", "rank", "line", "vehicle_id", r("eta_s", 3).alias("eta_s"))
+    return every.join(small(newest), "batch", "left_semi").select("request_id", "rank", "line", "vehicle_id", r("eta_s", 3).alias("eta_s"))
 
 
 @query(

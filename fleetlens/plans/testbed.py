@@ -195,11 +195,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def projected_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projected trip points near their shape."""
-    return stage(spark, sf_dir, "projected", lambda: projected(spark, sf_dir))
+    return stage(spark, sf_dir, "projected", lambda: near_path(on_assigned_shape(spark, trip_points_table(spark, sf_dir))))
+
+
+def trip_points_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trip points of all lines."""
+    return stage(spark, sf_dir, "trip_points", lambda: trip_points(spark, sf_dir))
+
+
+def on_assigned_shape(spark: SparkSession, points: DataFrame) -> DataFrame:
+    p = paths(spark)
+    return project_points(assign_shape(points, branch_map(spark), p), p, ["shape_id"])
 
 
 def projected(spark: SparkSession, sf_dir: str, near: bool = True) -> DataFrame:
     """Trip points on their assigned shape; by default only those within the limit."""
-    p = paths(spark)
-    on_shape = project_points(assign_shape(trip_points(spark, sf_dir), branch_map(spark), p), p, ["shape_id"])
+    on_shape = on_assigned_shape(spark, trip_points(spark, sf_dir))
     return near_path(on_shape) if near else on_shape
