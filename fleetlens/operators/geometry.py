@@ -141,14 +141,16 @@ def prepared_paths(shapes: DataFrame) -> DataFrame:
     )
 
 
-def project_points(points: DataFrame, paths: DataFrame, on: list[str], keep: list[str] | None = None) -> DataFrame:
-    """Join each point to the prepared path(s) sharing ``on`` and add along_m, offset_m."""
+def project_points(
+    points: DataFrame, paths: DataFrame, on: list[str], keep: list[str] | None = None, segment: bool = False
+) -> DataFrame:
+    """Join each point to the prepared path(s) sharing ``on`` and add along_m, offset_m (and seg_no)."""
     extra = [c for c in (keep or ["length_m"]) if c not in on]
     joined = points.join(small(paths.select(*on, "segs", *extra)), on)
     hit = geo.nearest_on_path(F.col("lat"), F.col("lon"), F.col("segs"))
     # generated, not projected: a later filter on the offset must not evaluate the search a second time
     found = joined.select(*[c for c in joined.columns if c != "segs"], F.inline(F.array(hit)))
-    return found.withColumn("offset_m", F.sqrt("err2")).drop("err2", "seg_no")
+    return found.withColumn("offset_m", F.sqrt("err2")).drop("err2", *([] if segment else ["seg_no"]))
 
 
 def near_path(projected: DataFrame, max_offset_m: float = geo.MAX_OFFSET_M) -> DataFrame:

@@ -76,12 +76,9 @@ def shape_lengths(spark, sf):
 )
 def shape_segments(spark, sf):
     segs = geometry.shape_segments(tb.shapes(spark)).select("shape_id", "seg_no", "ab_x", "ab_y", "cum_m", "len_m")
-    pts = tb.projected(spark, sf).select("shape_id", "event_id", "along_m")
-    # the segment of a projected point is the last one starting at or before it
-    hit = pts.join(small(segs.select("shape_id", "seg_no", "cum_m", "len_m")), "shape_id").where(
-        "along_m >= cum_m and along_m <= cum_m + len_m"
-    )
-    counts = hit.groupBy("shape_id", "event_id").agg(F.min("seg_no").alias("seg_no")).groupBy("shape_id", "seg_no").agg(F.count(F.lit(1)).alias("n_points"))
+    pts = tb.projected_table(spark, sf).select("shape_id", "event_id", "lat", "lon")
+    hit = geometry.project_points(pts, tb.paths(spark), ["shape_id"], segment=True)
+    counts = hit.groupBy("shape_id", "seg_no").agg(F.count(F.lit(1)).alias("n_points"))
     return segs.join(counts, ["shape_id", "seg_no"], "left").select(
         "shape_id", "seg_no", r("ab_x", 4).alias("ab_x"), r("ab_y", 4).alias("ab_y"), r("cum_m", 4).alias("cum_m"), r("len_m", 4).alias("len_m"),
         F.coalesce("n_points", F.lit(0)).alias("n_points"),

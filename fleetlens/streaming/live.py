@@ -49,7 +49,15 @@ def _write_batch(rows: DataFrame, out: str, batch_id: int) -> None:
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # a batch is read several times; a lost block is read again from the source
+        kept = batch.persist()
+        try:
+            each(kept, batch_id)
+        finally:
+            kept.unpersist()
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
 
 
