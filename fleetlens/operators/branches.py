@@ -128,12 +128,34 @@ def branch_table(cands: DataFrame) -> DataFrame:
     )
 
 
+SPREAD = {"p2": 0.02, "p98": 0.98, "high": HIGH_QUANTILE}
+SPREAD_WIDTH = 5.0
+
+
+def _measures(proj: DataFrame) -> DataFrame:
+    """Distance along and offset as (measure, value) rows, so that one quantile pass serves both."""
+    pair = lambda name: F.struct(F.lit(name).alias("measure"), F.col(name).alias("value"))
+    keys = [c for c in proj.columns if c in (*BY_SHAPE, "trip_day")]
+    return proj.select(*keys, F.inline(F.array(pair("along_m"), pair("offset_m"))))
+
+
+def _spread(q: DataFrame, keys: list[str], lengths: DataFrame) -> DataFrame:
+    """coverage and q_high_m per key from the quantiles of both measures."""
+    of = lambda name, c: F.max(F.when(F.col("measure") == name, c))
+    wide = q.groupBy(*keys).agg(
+        of("along_m", F.col("p98") - F.col("p2")).alias("_range"), of("offset_m", F.col("high")).alias("q_high_m")
+    )
+    full = F.when(F.col("planar_m") > 0, F.col("_range") / F.col("planar_m")).otherwise(0.0)
+    return wide.join(small(lengths), ["line", "shape_key"]).withColumn("coverage", full).drop("_range", "planar_m")
+
+
 def candidate_scores(proj: DataFrame, cands: DataFrame) -> DataFrame:
     """All four measures per (route, candidate)."""
     plain = proj.groupBy(*BY_SHAPE).agg(
         (F.sum("vote") / F.count(F.lit(1))).alias("vote_frac"), F.avg("contained").alias("containment")
     )
-    scored = plain.join(coverage(proj, branch_lengths(cands)), BY_SHAPE).join(error_quantile(proj), BY_SHAPE)
+    q = exact_quantiles(_measures(proj), [*BY_SHAPE, "measure"], "value", SPREAD, width=SPREAD_WIDTH)
+    scored = plain.join(_spread(q, BY_SHAPE, branch_lengths(cands)), BY_SHAPE)
     return scored.join(small(branch_table(cands)), ["line", "shape_key"])
 
 
@@ -321,15 +343,10 @@ def resolve_lifecycle(
         (F.sum("_v").over(by_shape) / F.sum("_n").over(by_shape)).alias("vote_frac"),
         (F.sum("_c").over(by_shape) / F.sum("_n").over(by_shape)).alias("containment"),
     )
-    along = exact_quantiles_by_day(proj, BY_SHAPE, "trip_day", "along_m", {"p2": 0.02, "p98": 0.98}, width=10.0)
-    errors = exact_quantiles_by_day(proj, BY_SHAPE, "trip_day", "offset_m", {"q_high_m": HIGH_QUANTILE}, width=1.0)
-    scores = (
-        plain.join(along.withColumnRenamed("trip_day", "day_no"), [*BY_SHAPE, "day_no"])
-        .join(errors.withColumnRenamed("trip_day", "day_no"), [*BY_SHAPE, "day_no"])
-        .join(small(branch_lengths(cands)), ["line", "shape_key"])
-        .withColumn("coverage", F.when(F.col("planar_m") > 0, (F.col("p98") - F.col("p2")) / F.col("planar_m")).otherwise(0.0))
-        .join(small(branch_table(cands).drop("direction_id")), ["line", "shape_key"])
-    )
+    q = exact_quantiles_by_day(_measures(proj), [*BY_SHAPE, "measure"], "trip_day", "value", SPREAD, width=SPREAD_WIDTH)
+    by_day = [*BY_SHAPE, "day_no"]
+    spread = _spread(q.withColumnRenamed("trip_day", "day_no"), by_day, branch_lengths(cands))
+    scores = plain.join(spread, by_day).join(small(branch_table(cands).drop("direction_id")), ["line", "shape_key"])
     verdicts = resolve_routes(evidence, scores, cands, [*ROUTE, "day_no"], **thresholds)
     solved = (
         verdicts.where("status = 'resolved'")

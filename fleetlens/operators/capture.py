@@ -153,14 +153,14 @@ def recording(frames: DataFrame, gaps: DataFrame) -> DataFrame:
     return numbered.withColumn("frame_no", F.col("frame_no") - 1).drop("_b", "_rank", "_start")
 
 
-def sample_frames(frames: DataFrame, interval_s: int) -> DataFrame:
+def sample_frames(frames: DataFrame, interval_s: int, per_file: bool = False) -> DataFrame:
     """frame_no of the frames that yield a snapshot.
 
     Keyframes always do and restart the clock; other frames do when at least
     ``interval_s`` passed since the last one. The clock restarts at every
     keyframe, so each keyframe interval is walked on its own.
     """
-    f = _with_reset(_frames_only(frames)).where("part = 0")
+    f = _with_reset(_frames_only(frames), per_file).where("part = 0")
     walk = F.array_sort(F.collect_list(F.struct("frame_no", "t", F.coalesce("keyframe", F.lit(False)).alias("k"))))
     start = F.struct(
         F.lit(0).cast("long").alias("last"), F.expr("cast(array() as array<struct<frame_no:bigint,t:bigint>>)").alias("kept")
@@ -177,12 +177,19 @@ def sample_frames(frames: DataFrame, interval_s: int) -> DataFrame:
     return kept.select("reset_no", F.explode("kept").alias("s")).select("reset_no", "s.frame_no", F.col("s.t").alias("frame_ts"))
 
 
-def _with_reset(frames: DataFrame) -> DataFrame:
-    """reset_no: number of keyframes up to and including the frame (parts of a keyframe share it)."""
-    light = frames.withColumn("_b", bucket(F.col("frame_no"), CYCLES_PER_BUCKET)).withColumn(
-        "_k", F.when(F.coalesce("keyframe", F.lit(False)) & (F.col("part") == 0), 1).otherwise(0)
-    )
-    return running_total(light, [], "_b", ["frame_no", "part"], "_k", "reset_no").drop("_b", "_k")
+def _with_reset(frames: DataFrame, per_file: bool = False) -> DataFrame:
+    """reset_no: number of state resets up to and including the frame (parts of a frame share it).
+
+    A keyframe resets; with ``per_file`` the first frame of a file does too.
+    """
+    resets = F.coalesce("keyframe", F.lit(False))
+    light = frames.withColumn("_b", bucket(F.col("frame_no"), CYCLES_PER_BUCKET))
+    if per_file:
+        starts = frames.groupBy("file").agg(F.min("frame_no").alias("frame_no")).select("frame_no", F.lit(True).alias("_first"))
+        light = light.join(small(starts), "frame_no", "left")
+        resets = resets | F.coalesce("_first", F.lit(False))
+    light = light.withColumn("_k", F.when(resets & (F.col("part") == 0), 1).otherwise(0))
+    return running_total(light, [], "_b", ["frame_no", "part"], "_k", "reset_no").drop("_b", "_k", "_first")
 
 
 def _frames_only(frames: DataFrame) -> DataFrame:
@@ -190,9 +197,9 @@ def _frames_only(frames: DataFrame) -> DataFrame:
     return kept.withColumn("part", F.coalesce("part", F.lit(0))) if "part" in kept.columns else kept.withColumn("part", F.lit(0))
 
 
-def change_events(frames: DataFrame) -> DataFrame:
+def change_events(frames: DataFrame, per_file: bool = False) -> DataFrame:
     """(reset_no, frame_no, _step, op, id, vehicle): additions, then removals, then updates of a frame."""
-    f = _with_reset(_frames_only(frames))
+    f = _with_reset(_frames_only(frames), per_file)
     base = ["reset_no", "frame_no"]
     adds = f.select(*base, F.lit(0).alias("_step"), F.lit("new").alias("op"), F.explode("new").alias("vehicle"))
     ups = f.where("not coalesce(keyframe, false)").select(
@@ -247,16 +254,23 @@ def vehicle_lives(events: DataFrame) -> DataFrame:
     return rows.where("_start = 'new' and op <> 'del'").withColumnRenamed("frame_no", "from_frame").drop("_start", "_life", "op")
 
 
-def replay(frames: DataFrame, interval_s: int = 300, label_map: DataFrame | None = None, lines: list[str] | None = None) -> DataFrame:
+def replay(
+    frames: DataFrame,
+    interval_s: int = 300,
+    label_map: DataFrame | None = None,
+    lines: list[str] | None = None,
+    per_file: bool = False,
+) -> DataFrame:
     """One row per (kept frame, vehicle): frame_no, frame_ts, id and the vehicle's fields.
 
-    With ``lines`` only vehicles of those lines are replayed.
+    With ``lines`` only vehicles of those lines are replayed. The state runs on
+    over file borders; ``per_file`` starts every file empty.
     """
-    events = change_events(frames)
+    events = change_events(frames, per_file)
     if lines is not None:
         events = keep_lines(events, label_map, lines)
     lives = vehicle_lives(events).where("to_frame is null or to_frame > from_frame")
-    kept = sample_frames(frames, interval_s)
+    kept = sample_frames(frames, interval_s, per_file)
     # a reset holds at most the frames between two keyframes; the list is bounded by their spacing
     ticks = kept.groupBy("reset_no").agg(F.array_sort(F.collect_list(F.struct("frame_no", "frame_ts"))).alias("_ticks"))
     inside = F.filter(

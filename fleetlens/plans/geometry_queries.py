@@ -364,3 +364,14 @@ def truncate_shapes(spark, sf):
         r(F.aggregate("points", F.lit(0.0), lambda a, p: a + p["lat"]), 8).alias("lat_sum"),
         r(F.aggregate(F.transform("points", lambda p, i: p["lon"] * (i + 1)), F.lit(0.0), lambda a, x: a + x), 8).alias("lon_check"),
     )
+
+
+@query(
+    "line_stats",
+    sql(
+        "select line, count(distinct shape_id) as n_branches, count(*) as n_points, cast(sum(case when i % 3 = 0 then 1 else 0 end) as bigint) as n_stops from own_vertices group by line",
+        "own_vertices",
+    ),
+)
+def line_stats(spark, sf):
+    return geometry.line_stats(geometry.shape_stats(own_shapes(spark, sf)))

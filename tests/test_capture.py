@@ -132,3 +132,13 @@ def test_written_frames_read_back(spark, tmp_path):
     again = fr.read_frames(spark, str(tmp_path / "out"))
     key = lambda df: [(r["frame_no"], r["t"], r["gap"], r["keyframe"], r["n"]) for r in df.select("*", F.size("new").alias("n")).orderBy("frame_no").collect()]
     assert key(first) == key(again)
+
+
+def test_state_crosses_files_unless_told_otherwise(spark, tmp_path):
+    lines = recording()
+    write(tmp_path, "2026-03-28.ndjson.gz", lines[:2])
+    write(tmp_path, "2026-03-29.ndjson.gz", [{"t": T0 + 90, "new": [], "del": [], "upd": [{"id": "a", "ts": T0 + 90, "lat": 7.0}]}, *lines[6:]])
+    frames = fr.read_frames(spark, str(tmp_path))
+    assert set(state(frames)[90]) == {"a", "b", "c"} and state(frames)[90]["a"] == (7.0, 5.0, 90)
+    alone = state(frames, per_file=True)
+    assert 90 not in alone and set(alone[760]) == {"a"}
