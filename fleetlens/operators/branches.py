@@ -72,9 +72,9 @@ def candidate_projection(points: DataFrame, evidence: DataFrame, cands: DataFram
     All candidates of a point are projected inside its row, so the vote needs
     no shuffle; only the aggregates that follow do.
     """
-    known = evidence.select(*ROUTE, "direction_id").join(small(cands), ["line", "direction_id"])
     rows = points.select("line", F.col("trip_route_id").alias("route_id"), *[c for c in ("trip_day",) if c in points.columns], "lat", "lon")
-    joined = rows.join(small(known), ROUTE)
+    # the route's direction first, then the candidates of (line, direction): paths are never copied per route
+    joined = rows.join(small(evidence.select(*ROUTE, "direction_id")), ROUTE).join(small(cands), ["line", "direction_id"])
 
     def hit(c: Column) -> Column:
         h = geo.nearest_on_path(F.col("lat"), F.col("lon"), c["segs"])

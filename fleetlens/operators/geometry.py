@@ -153,6 +153,43 @@ def project_points(
     return found.withColumn("offset_m", F.sqrt("err2")).drop("err2", *([] if segment else ["seg_no"]))
 
 
+CELL_DEG = 0.003
+
+
+def path_cells(paths: DataFrame, on: list[str], keep: list[str], limit_m: float, cell: float = CELL_DEG) -> DataFrame:
+    """Segments of each shape by grid cell: a cell lists every segment that can be within the limit of a point in it."""
+    extra = [c for c in dict.fromkeys(["shape_id", *keep]) if c not in on]
+    s = F.col("s")
+    lat1, lon1 = s["lat0"] + s["ab_y"] / geo.METRES_PER_DEGREE, s["lon0"] + s["ab_x"] / s["m_lon"]
+    # a hair of slack, so that rounding never loses a segment exactly on the limit
+    dy, dx = F.lit(limit_m / geo.METRES_PER_DEGREE + 1e-7), F.lit(limit_m) / s["m_lon"] + 1e-7
+    low = lambda a, b, d: F.floor((F.least(a, b) - d) / cell)
+    high = lambda a, b, d: F.floor((F.greatest(a, b) + d) / cell)
+    segs = paths.select(*on, *extra, F.explode("segs").alias("s"))
+    rows = segs.select(*on, *extra, "s", F.explode(F.sequence(low(s["lat0"], lat1, dy), high(s["lat0"], lat1, dy))).alias("_cy"))
+    cells = rows.select(*on, *extra, "s", "_cy", F.explode(F.sequence(low(s["lon0"], lon1, dx), high(s["lon0"], lon1, dx))).alias("_cx"))
+    return cells.groupBy(*on, *extra, "_cy", "_cx").agg(F.collect_list("s").alias("segs"))
+
+
+def project_near(
+    points: DataFrame, paths: DataFrame, on: list[str], keep: list[str] | None = None, limit_m: float = geo.MAX_OFFSET_M
+) -> DataFrame:
+    """``near_path(project_points(...))`` through a grid: points beyond the limit are not compared at all.
+
+    A point meets only the segments listed in its cell, a handful instead of
+    the whole path, and a shape used by many points is spread over its cells.
+    The nearest segment of a point within the limit is always in its cell.
+    """
+    extra = [c for c in (keep or ["length_m"]) if c not in on]
+    cells = path_cells(paths, on, extra, limit_m)
+    here = points.withColumns({"_cy": F.floor(F.col("lat") / CELL_DEG), "_cx": F.floor(F.col("lon") / CELL_DEG)})
+    listed = cells if "shape_id" in [*on, *extra] else cells.drop("shape_id")
+    joined = here.join(small(listed), [*on, "_cy", "_cx"])
+    hit = geo.nearest_on_path(F.col("lat"), F.col("lon"), F.col("segs"))
+    found = joined.select(*[c for c in joined.columns if c not in ("segs", "_cy", "_cx")], F.inline(F.array(hit)))
+    return near_path(found.withColumn("offset_m", F.sqrt("err2")).drop("err2", "seg_no"), limit_m)
+
+
 def near_path(projected: DataFrame, max_offset_m: float = geo.MAX_OFFSET_M) -> DataFrame:
     return projected.where(F.col("offset_m") <= max_offset_m)
 
@@ -195,22 +232,20 @@ def best_branch(locations: DataFrame, paths: DataFrame, keys: list[str], max_off
 
     ``keys`` identify a location together with its line.
     """
-    hits = project_points(locations, paths, ["line"], ["shape_id", "name", "direction", "branch_pos", "length_m"])
+    hits = project_near(locations, paths, ["line"], ["shape_id", "name", "direction", "branch_pos", "length_m"], max_offset_m)
     chosen = F.min_by(
         F.struct("shape_id", "name", F.coalesce("direction", F.lit(0)).alias("direction"), "along_m", "offset_m", "length_m"),
         F.struct("offset_m", "branch_pos"),
     )
     return (
-        hits.groupBy(*keys, "line").agg(chosen.alias("b")).select(*keys, "line", "b.*").where(F.col("offset_m") <= max_offset_m)
+        hits.groupBy(*keys, "line").agg(chosen.alias("b")).select(*keys, "line", "b.*")
     )
 
 
 def project_fleet(live: DataFrame, branches: DataFrame, paths: DataFrame, max_offset_m: float = geo.MAX_OFFSET_M) -> DataFrame:
     """Live vehicles on the given branches (line, shape_id) of their line."""
     wanted = branches.select("line", "shape_id").distinct()
-    return near_path(
-        project_points(live.join(small(wanted), "line"), paths, ["shape_id"], ["length_m"]), max_offset_m
-    )
+    return project_near(live.join(small(wanted), "line"), paths, ["shape_id"], ["length_m"], max_offset_m)
 
 
 def best_branch_per_trip(
@@ -221,8 +256,8 @@ def best_branch_per_trip(
     Candidates are the branches of the trip's direction. Only per-trip counters
     are shuffled, with partial aggregation.
     """
-    hits = project_points(
-        points.withColumn("direction", F.col("trip_direction_id")), paths, ["line", "direction"], ["shape_id", "branch_pos", "length_m"]
+    hits = project_near(
+        points.withColumn("direction", F.col("trip_direction_id")), paths, ["line", "direction"], ["shape_id", "branch_pos", "length_m"], max_offset_m
     ).where(F.col("offset_m") < max_offset_m)
     per_branch = hits.groupBy("vehicle_id", "trip_no", "shape_id", "branch_pos", "length_m").agg(
         F.count(F.lit(1)).alias("n_near"), (F.max("along_m") - F.min("along_m")).alias("span_m")

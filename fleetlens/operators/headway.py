@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.calendar import LOCAL_ZONE, local_hour
 from fleetlens.functions.values import share
-from fleetlens.operators.geometry import best_branch_per_trip, project_points
+from fleetlens.operators.geometry import best_branch_per_trip, project_near
 from fleetlens.operators.scale import HOUR_S, bracketing_neighbours, bucket, exact_quantiles, with_previous
 
 # fixed values
@@ -21,7 +21,7 @@ TRIP = ["vehicle_id", "trip_no"]
 def headway_points(points: DataFrame, paths: DataFrame, limit_m: float = 150.0) -> DataFrame:
     """Points of each trip on its best branch, strictly inside the limit."""
     chosen = best_branch_per_trip(points, paths, limit_m).select(*TRIP, "shape_id")
-    on = project_points(points.join(chosen, TRIP), paths, ["shape_id"], ["length_m"])
+    on = project_near(points.join(chosen, TRIP), paths, ["shape_id"], ["length_m"], limit_m)
     return on.where(F.col("offset_m") < limit_m).select(*TRIP, "shape_id", "length_m", "event_id", "ts", "along_m")
 
 

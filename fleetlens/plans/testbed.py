@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators.filters import resolve_line
-from fleetlens.operators.geometry import assign_shape, near_path, prepared_paths, project_points
+from fleetlens.operators.geometry import assign_shape, prepared_paths, project_near, project_points
 from fleetlens.operators.trips import segment_trips
 from fleetlens.session import shared_dir
 from fleetlens.sources import shapes as shape_source
@@ -195,7 +195,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def projected_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projected trip points near their shape."""
-    return stage(spark, sf_dir, "projected", lambda: near_path(on_assigned_shape(spark, trip_points_table(spark, sf_dir))))
+    return stage(spark, sf_dir, "projected", lambda: on_assigned_shape(spark, trip_points_table(spark, sf_dir)))
 
 
 def trip_points_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,12 +203,12 @@ def trip_points_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "trip_points", lambda: trip_points(spark, sf_dir))
 
 
-def on_assigned_shape(spark: SparkSession, points: DataFrame) -> DataFrame:
+def on_assigned_shape(spark: SparkSession, points: DataFrame, near: bool = True) -> DataFrame:
     p = paths(spark)
-    return project_points(assign_shape(points, branch_map(spark), p), p, ["shape_id"])
+    project = project_near if near else project_points
+    return project(assign_shape(points, branch_map(spark), p), p, ["shape_id"])
 
 
 def projected(spark: SparkSession, sf_dir: str, near: bool = True) -> DataFrame:
     """Trip points on their assigned shape; by default only those within the limit."""
-    on_shape = on_assigned_shape(spark, trip_points(spark, sf_dir))
-    return near_path(on_shape) if near else on_shape
+    return on_assigned_shape(spark, trip_points(spark, sf_dir), near)

@@ -46,6 +46,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         root = spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="fleetlens-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"

@@ -204,3 +204,14 @@ def test_profile_counts_bad_numbers(spark):
     row = fx.profile(spark.createDataFrame([(x,) for x in xs], "x double"), ["x"]).first()
     assert (row["n"], row["n_nan"], row["n_inf"], row["min"], row["max"]) == (6, 1, 1, 1.0, 10.0)
     assert row["p99"] == pytest.approx(np.percentile([1, 2, 3, 10], 99))
+
+
+def test_grid_projection_equals_full_projection(spark):
+    rng = random.Random(21)
+    pts = [(-34.6 + rng.random() / 30, -58.4 + i / 250) for i in range(25)]
+    pings = [(i, -34.61 + rng.random() / 20, -58.42 + rng.random() / 8) for i in range(1500)]
+    paths = geometry.prepared_paths(shape_df(spark, pts))
+    df = spark.createDataFrame(pings, "id long, lat double, lon double").withColumn("shape_id", F.lit("s"))
+    key = lambda d: sorted((r["id"], round(r["along_m"], 6), round(r["offset_m"], 6)) for r in d.collect())
+    full = key(geometry.near_path(geometry.project_points(df, paths, ["shape_id"])))
+    assert full and key(geometry.project_near(df, paths, ["shape_id"])) == full
