@@ -29,25 +29,33 @@ def equirect_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     return F.sqrt(dlat * dlat + dlon * dlon) * METRES_PER_DEGREE
 
 
-def point_to_segment(lat: Column, lon: Column, seg: Column) -> Column:
-    """struct(err2, seg_no, along) of a point against one prepared segment."""
-    ay = (lat - seg["lat0"]) * METRES_PER_DEGREE
-    ax = (lon - seg["lon0"]) * seg["m_lon"]
-    raw = F.when(seg["len2"] > MIN_SEGMENT_SQUARED_M, (ax * seg["ab_x"] + ay * seg["ab_y"]) / seg["safe_len2"]).otherwise(0.0)
-    t = F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
-    ey = ay - t * seg["ab_y"]
-    ex = ax - t * seg["ab_x"]
-    return F.struct(
-        (ex * ex + ey * ey).alias("err2"),
-        seg["seg_no"].alias("seg_no"),
-        (seg["cum_m"] + t * seg["len_m"]).alias("along_m"),
-    )
-
-
 def nearest_on_path(lat: Column, lon: Column, segs: Column) -> Column:
     """Closest position on a path: struct(err2, seg_no, along_m).
 
     The minimum of (error, segment number) keeps the earliest segment among
     equally near ones. No shuffle: the path travels as an array in the row.
+    Lambdas share no subexpressions, so each step binds its result for the next.
     """
-    return F.array_min(F.transform(segs, lambda s: point_to_segment(lat, lon, s)))
+    dy = lambda s: (lat - s["lat0"]) * METRES_PER_DEGREE
+    dx = lambda s: (lon - s["lon0"]) * s["m_lon"]
+    share = lambda s: F.when(
+        s["len2"] > MIN_SEGMENT_SQUARED_M, (dx(s) * s["ab_x"] + dy(s) * s["ab_y"]) / s["safe_len2"]
+    ).otherwise(0.0)
+    placed = F.transform(
+        segs, lambda s: F.struct(s.alias("s"), F.least(F.greatest(share(s), F.lit(0.0)), F.lit(1.0)).alias("t"))
+    )
+    missed = F.transform(
+        placed,
+        lambda p: F.struct(
+            (dx(p["s"]) - p["t"] * p["s"]["ab_x"]).alias("ex"),
+            (dy(p["s"]) - p["t"] * p["s"]["ab_y"]).alias("ey"),
+            p["s"]["seg_no"].alias("seg_no"),
+            (p["s"]["cum_m"] + p["t"] * p["s"]["len_m"]).alias("along_m"),
+        ),
+    )
+    return F.array_min(
+        F.transform(
+            missed,
+            lambda m: F.struct((m["ex"] * m["ex"] + m["ey"] * m["ey"]).alias("err2"), m["seg_no"].alias("seg_no"), m["along_m"].alias("along_m")),
+        )
+    )

@@ -153,7 +153,7 @@ def project_points(
     return found.withColumn("offset_m", F.sqrt("err2")).drop("err2", *([] if segment else ["seg_no"]))
 
 
-CELL_DEG = 0.003
+CELL_DEG = 0.002
 
 
 def path_cells(paths: DataFrame, on: list[str], keep: list[str], limit_m: float, cell: float = CELL_DEG) -> DataFrame:
