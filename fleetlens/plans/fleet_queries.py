@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import fleet_age as fa
 from fleetlens.plans import testbed as tb
 from fleetlens.plans.oracle import cte, sql
-from fleetlens.plans.registry import query, r, rq
+from fleetlens.plans.registry import query
 
 cte(
     "fleet_labels",

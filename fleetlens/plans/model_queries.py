@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.operators import eta_models as em
-from fleetlens.operators.filters import valid_rows
 from fleetlens.operators.temporal import temporal_split
 from fleetlens.plans import testbed as tb
 from fleetlens.plans.feature_queries import eta
 from fleetlens.plans.oracle import cte, sql
 from fleetlens.plans.registry import query, r, rq
 
-WRAP = "case when {x} < 0 then {x} + 24 else {x} end"
 cte(
     "hours",
     """select * exclude (dow), cast(dow as integer) as dow, cast(round(case when a < 0 then a + 24 else a end) as integer) % 24 as hour, ((cast(round_even(a2, 0) as integer) % 24) + 24) % 24 as eval_hour from (
