@@ -16,13 +16,18 @@ def sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
 
 
-def _run_lengths(words: Column) -> Column:
+def _once(value: Column) -> Column:
+    """A column that later expressions read instead of working it out again for every element."""
+    return F.explode(F.array(value))
+
+
+def _lengths(words: Column) -> Column:
     """For each sentence, how many sentences its run takes to reach both minima (0: the text ends before)."""
-    longest = max(MIN_SENTENCES, MIN_WORDS)  # every sentence has a word
+    ahead = lambda i: F.sequence(i, F.least(i + max(MIN_SENTENCES, MIN_WORDS), F.size(words)) - 1)  # noqa: E731  every sentence has a word
     done = lambda a: (a["n"] >= MIN_SENTENCES) & (a["w"] >= MIN_WORDS)
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"))
-    step = lambda a, w: F.when(done(a), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["w"] + w).alias("w")))
-    run = lambda i: F.aggregate(F.slice(words, i + 1, longest), start, step, lambda a: F.when(done(a), a["n"]).otherwise(0))
+    step = lambda a, k: F.when(done(a), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["w"] + F.get(words, k)).alias("w")))
+    run = lambda i: F.aggregate(ahead(i), start, step, lambda a: F.when(done(a), a["n"]).otherwise(0))
     return F.transform(words, lambda _, i: run(i))
 
 
@@ -36,14 +41,17 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Shorter texts have no run. Rows that share an id are one document. A null id or text takes no part.
     """
     ws = ws or Workspace(docs.sparkSession, "spans")
-    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), sentences(F.lower(text_col)).alias("s"))
-    plain = docs.select("doc_id", F.transform("s", lambda s: F.btrim(s, F.lit(" \t\r\n"))).alias("s"))
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _once(sentences(F.lower(text_col))).alias("s"))
+    plain = docs.select("doc_id", _once(F.transform("s", lambda s: F.btrim(s, F.lit(" \t\r\n")))).alias("s"))
     words = F.transform("s", lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
     hashes = [F.transform("s", lambda s: F.xxhash64(s)).alias("h1"), F.transform("s", lambda s: F.xxhash64(s, F.lit(1))).alias("h2")]
-    units = plain.select("doc_id", words.alias("words"), *hashes)
-    runs = units.select("doc_id", "h1", "h2", F.posexplode(_run_lengths(F.col("words"))).alias("pos", "n")).where("n > 0")
-    part = lambda c: F.xxhash64(F.slice(c, F.col("pos") + 1, F.col("n")))
-    runs = ws.store(runs.select("doc_id", "pos", "n", part("h1").alias("k1"), part("h2").alias("k2")), "runs")
+    units = plain.select("doc_id", _once(F.struct(words.alias("words"), *hashes)).alias("u"))
+    units = units.select("doc_id", "u", _once(_lengths(F.col("u.words"))).alias("lengths"))
+    fold = lambda c, i, n: F.aggregate(F.sequence(i, i + n - 1), F.lit(0).cast("long"), lambda h, k: F.xxhash64(h, F.get(F.col(c), k)))
+    part = lambda c, i, n: F.when(n > 0, fold(c, i, n))
+    keyed = lambda n, i: F.struct(n.alias("n"), part("u.h1", i, n).alias("k1"), part("u.h2", i, n).alias("k2"))
+    runs = units.select("doc_id", F.posexplode(F.transform("lengths", keyed)).alias("pos", "r")).select("doc_id", "pos", "r.*").where("n > 0")
+    runs = ws.store(runs, "runs")
     known = runs.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("times"))
     known = ws.store(known.where("times > 1").select("k1", "k2", "first"), "known")
     late = runs.join(known, ["k1", "k2"]).where(F.struct("doc_id", "pos") > F.col("first"))
@@ -61,7 +69,7 @@ def drop_repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: s
     drop = repeated_sentences(docs, id_col, text_col, ws).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
     docs = docs.drop("n_sentences", "n_dropped")
     out = docs.join(drop, docs[id_col].cast("long") == drop["__id"], "left")
-    out = out.withColumn("__s", F.coalesce(sentences(F.col(text_col)), F.array().cast("array<string>")))
+    out = out.withColumn("__s", _once(F.coalesce(sentences(F.col(text_col)), F.array().cast("array<string>"))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__s") - 1), F.col("__drop"))
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__s", i)), ""))
     counts = {"n_sentences": F.size("__s").cast("long"), "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long")}
