@@ -37,6 +37,12 @@ def _level(n: Column) -> Column:
     return F.greatest(F.floor(F.log2(n / SAMPLE)), F.lit(0)).cast("int")
 
 
+def _shingles(line: Column) -> Column:
+    """The set of a line. The bytes are a variable of the outer function: reading a column would copy them for every shingle."""
+    cut = lambda u: F.transform(F.sequence(F.lit(1), _count(u)), lambda i: F.xxhash64(F.substring(u, 2 * i - 1, F.lit(2 * SIZE))))
+    return F.array_distinct(F.flatten(F.transform(F.array(_units(line)), cut)))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, h1, h2) of every line that isn't blank, trimmed."""
     line = F.posexplode(F.split("text", "\n")).alias("line_no", "raw")
@@ -91,18 +97,16 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = at.groupBy("h1").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("h2").alias("low"), F.max("h2").alias("high"))
     nodes = ws.store(nodes.where("low = high").select("h1", "first.doc_id", "first.line_no"), "nodes")
 
-    def grams(ids: DataFrame) -> DataFrame:
+    def fetch(ids: DataFrame) -> DataFrame:
         where = nodes.join(ids, nodes["h1"] == ids["id"], "left_semi")
         where = where.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "line_no")).alias("wanted"))
         found = docs.join(where, "doc_id").select("wanted", F.explode(F.array(F.split("text", "\n"))).alias("raw"))
         found = found.select(F.explode(F.transform("wanted", lambda w: F.struct(w["h1"], F.get("raw", w["line_no"]).alias("line")))).alias("w"))
-        found = found.select(F.col("w.h1").alias("id"), F.btrim("w.line", F.lit(" \t\r")).alias("line"))
-        found = found.where(F.xxhash64("line") == F.col("id")).select("id", _units(F.col("line")).alias("units"))
-        # the bytes are a variable of the outer function: reading a column would copy them for every shingle
-        cut = lambda u: F.transform(F.sequence(F.lit(1), _count(u)), lambda i: F.xxhash64(F.substring(u, 2 * i - 1, F.lit(2 * SIZE))))
-        return found.select("id", F.array_distinct(F.flatten(F.transform(F.array("units"), cut))).alias("grams"))
+        found = found.select(F.col("w.h1").alias("id"), F.btrim("w.line", F.lit(" \t\r")).alias("body"))
+        return found.where(F.xxhash64("body") == F.col("id"))
 
-    linked = link(table.select(F.explode("bands").alias("key"), F.col("h1").alias("id")), grams, ws, num, den)
+    buckets = table.select(F.explode("bands").alias("key"), F.col("h1").alias("id"))
+    linked = link(buckets, fetch, ws, num, den, expand=_shingles)
     at = at.distinct().join(nodes.select("h1"), "h1", "left_semi")
     at = at.join(linked.withColumnRenamed("id", "h1"), "h1", "left").select("doc_id", "line_no", F.coalesce("component", "h1").alias("component"))
     at = ws.store(at, "placed")

@@ -53,11 +53,20 @@ def similar(a: str, b: str, num: int, den: int) -> Column:
     return near & F.expr(f"({den}L + {num}L) * {common} >= {num}L * (size({a}) + size({b}))")
 
 
-def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], ws: Workspace, num: int = 80, den: int = 100, block: int = 256) -> DataFrame:
+def link(
+    buckets: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    ws: Workspace,
+    num: int = 80,
+    den: int = 100,
+    block: int = 256,
+    expand: Callable[[Column], Column] = lambda body: body,
+) -> DataFrame:
     """Components (id, component) of the links between ids that share a bucket.
 
-    ``buckets``: (key, id). ``grams`` maps a table of ids to (id, grams), grams an
-    array of distinct elements. Two ids are linked if den * |A & B| >= num * |A | B|.
+    ``buckets``: (key, id). ``fetch`` maps a table of ids to (id, body), the short form
+    that is dealt out, and ``expand`` a body to an array of distinct elements.
+    Two ids are linked if den * |A & B| >= num * |A | B|.
 
     1. Every member of a bucket is compared with the bucket's smallest id, its
        leader: linear in the members. That settles nearly every bucket.
@@ -74,14 +83,14 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], ws: Worksp
     multi = ws.store(multi.select("key", "leader"), "multi")
     hits = ws.store(buckets.join(multi, "key").select("key", "id", "leader"), "hits")
     ws.drop("multi")
-    sets = ws.store(grams(hits.select("id").distinct()).where(F.size("grams") > 0), "grams")
+    bodies = ws.store(fetch(hits.select("id").distinct()), "bodies")
 
     pairs = hits.where("id <> leader").select("id", "leader").distinct()
-    leaders = sets.select(F.col("id").alias("leader"), F.col("grams").alias("leader_grams"))
-    star = pairs.join(sets, "id").join(leaders, "leader")
-    common, n, m = F.size(F.array_intersect("grams", "leader_grams")).cast("long"), F.size("grams"), F.size("leader_grams")
-    star = star.select("id", "leader", common.alias("common"), (n + m).cast("long").alias("both"))
-    star = ws.store(star, "star")
+    leaders = bodies.select(F.col("id").alias("leader"), F.col("body").alias("leader_body"))
+    star = pairs.join(bodies, "id").join(leaders, "leader")
+    star = star.select("id", "leader", expand(F.col("body")).alias("a"), expand(F.col("leader_body")).alias("b"))
+    common = F.size(F.array_intersect("a", "b")).cast("long")
+    star = ws.store(star.select("id", "leader", common.alias("common"), (F.size("a") + F.size("b")).cast("long").alias("both")), "star")
     linked = star.where(F.expr(f"({den}L + {num}L) * common >= {num}L * both")).select(F.col("id").alias("a"), F.col("leader").alias("b"))
     found = ws.store(components(linked, ws), "found")
 
@@ -94,7 +103,7 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], ws: Worksp
     ws.drop("hits")
     if rest.isEmpty():
         return found
-    rest = rest.join(sets, "id")
+    rest = ws.store(rest.join(bodies.select("id", expand(F.col("body")).alias("grams")), "id"), "open-sets")
     left = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.select("key", "part", *(F.col(c).alias(f"a_{c}") for c in ("id", "far", "component", "grams")))
     right = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

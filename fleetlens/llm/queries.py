@@ -53,8 +53,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", "text")
+    docs = table(spark, sf_dir, "documents")
+    late = line_dedup.duplicate_lines(docs)
+    dropped = F.coalesce("drop", F.array().cast("array<int>"))
+    return docs.select("doc_id").join(late, "doc_id", "left").select("doc_id", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped_lines"))
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

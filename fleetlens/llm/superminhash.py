@@ -99,7 +99,7 @@ def _grams(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.view(np.int64) for s in _sets(batch.column(1).to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "body"])
 
     return run
 
@@ -124,11 +124,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sketch.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("first"))
     classes = ws.store(classes.select("set_key", F.col("first.doc_id").alias("id"), F.col("first.bands").alias("bands")), "classes")
 
-    def grams(ids: DataFrame) -> DataFrame:
+    def fetch(ids: DataFrame) -> DataFrame:
         wanted = rows.join(ids, rows["doc_id"] == ids["id"], "left_semi")
-        return wanted.mapInArrow(_grams(words), "id long, grams array<long>")
+        return wanted.mapInArrow(_grams(words), "id long, body array<long>")
 
-    linked = link(classes.select(F.explode("bands").alias("key"), "id"), grams, ws, num, den)
+    linked = link(classes.select(F.explode("bands").alias("key"), "id"), fetch, ws, num, den)
     node = classes.select("set_key", "id").join(linked, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     # rows without shingles get keys of their own, lest all of them meet in one task
     key = F.coalesce("set_key", F.encode(F.col("doc_id").cast("string"), "UTF-8"))

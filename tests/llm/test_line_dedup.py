@@ -78,5 +78,8 @@ def test_native_plan(llm, sf):
 def test_whole_table_against_brute_force(llm, sf):
     from fleetlens.llm.queries import op7_line_dedup
 
-    rows = [(r["doc_id"], r["text"]) for r in llm.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert {r[0]: tuple(r[1:]) for r in op7_line_dedup(llm, sf).collect()} == brute(rows)
+    docs = llm.read.parquet(f"{sf}/documents.parquet")
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in dedup_lines(docs).collect()} == want
+    got = op7_line_dedup(llm, sf).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in got} == {i: w[1] for i, w in want.items()} and all(len(r["dropped_lines"]) == r["n_dropped"] for r in got)

@@ -42,7 +42,7 @@ def test_links_between_members_that_their_leader_does_not_hold(llm):
     """One bucket: 0 is unlike all others; 1-2 and 3-4-5 are alike; 6 is alone."""
     base = list(range(100))
     sets = {0: list(range(1000, 1100)), 1: base, 2: base[:90], 3: base[:60] + list(range(200, 240)), 4: base[:60] + list(range(200, 236)), 5: base[:56] + list(range(200, 236)), 6: base[:50] + list(range(300, 350))}
-    grams = llm.createDataFrame(list(sets.items()), "id long, grams array<long>")
+    grams = llm.createDataFrame(list(sets.items()), "id long, body array<long>")
     buckets = llm.createDataFrame([(9, i) for i in sets], "key long, id long")
     want = roots([(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})])
     for block in (256, 2):
