@@ -43,6 +43,12 @@ def _shingles(line: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(_units(line)), cut)))
 
 
+def _compare(pairs: DataFrame) -> DataFrame:
+    sets = pairs.select("a", "b", _shingles(F.col("a_body")).alias("x"), _shingles(F.col("b_body")).alias("y"))
+    common, both = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return sets.select("a", "b", common.cast("long").alias("common"), both.cast("long").alias("both"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, h1, h2) of every line that isn't blank, trimmed."""
     line = F.posexplode(F.split("text", "\n")).alias("line_no", "raw")
@@ -106,7 +112,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return found.where(F.xxhash64("body") == F.col("id"))
 
     buckets = table.select(F.explode("bands").alias("key"), F.col("h1").alias("id"))
-    linked = link(buckets, fetch, ws, num, den, expand=_shingles)
+    linked = link(buckets, fetch, _compare, ws, num, den)
     at = at.distinct().join(nodes.select("h1"), "h1", "left_semi")
     at = at.join(linked.withColumnRenamed("id", "h1"), "h1", "left").select("doc_id", "line_no", F.coalesce("component", "h1").alias("component"))
     at = ws.store(at, "placed")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.workspace import Workspace
@@ -46,56 +46,49 @@ def components(edges: DataFrame, ws: Workspace, name: str = "components") -> Dat
     )
 
 
-def similar(a: str, b: str, num: int, den: int) -> Column:
-    """den * |A & B| >= num * |A | B| for two columns of distinct elements; sizes are compared first."""
-    near = F.expr(f"{den}L * least(size({a}), size({b})) >= {num}L * greatest(size({a}), size({b}))")
-    common = f"size(array_intersect({a}, {b}))"
-    return near & F.expr(f"({den}L + {num}L) * {common} >= {num}L * (size({a}) + size({b}))")
-
-
 def link(
     buckets: DataFrame,
     fetch: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame], DataFrame],
     ws: Workspace,
     num: int = 80,
     den: int = 100,
     block: int = 256,
-    expand: Callable[[Column], Column] = lambda body: body,
 ) -> DataFrame:
     """Components (id, component) of the links between ids that share a bucket.
 
-    ``buckets``: (key, id). ``fetch`` maps a table of ids to (id, body), the short form
-    that is dealt out, and ``expand`` a body to an array of distinct elements.
-    Two ids are linked if den * |A & B| >= num * |A | B|.
+    ``buckets``: (key, id). ``fetch`` maps a table of ids to (id, body). ``verify`` maps
+    (a, b, a_body, b_body) to (a, b, common, both): the size of the intersection of the
+    two sets, and the sum of their sizes. Two ids are linked if den * |A & B| >= num * |A | B|.
 
     1. Every member of a bucket is compared with the bucket's smallest id, its
        leader: linear in the members. That settles nearly every bucket.
-    2. Buckets whose other members still lie in different components are compared
-       member by member, but for pairs in one component and pairs that the
+    2. Of buckets whose other members still lie in different components, these are compared with
+       each other, once for each pair, but for pairs in one component and pairs that the
        leader's distances rule out: Jaccard distance is a metric, so two members
        whose distances to the leader differ by more than 1 - num/den aren't linked.
-       Large buckets are dealt out in blocks. Only links leave the join.
+       Large buckets are dealt out in blocks.
 
     No bucket, member or pair is dropped, so the components are those of all
     links between ids with a common bucket.
     """
     multi = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last")
     multi = ws.store(multi.select("key", "leader"), "multi")
-    hits = ws.store(buckets.join(multi, "key").select("key", "id", "leader"), "hits")
+    hits = ws.store(buckets.join(multi, "key").select("key", "id", "leader").distinct(), "hits")
     ws.drop("multi")
     bodies = ws.store(fetch(hits.select("id").distinct()), "bodies")
 
-    pairs = hits.where("id <> leader").select("id", "leader").distinct()
-    leaders = bodies.select(F.col("id").alias("leader"), F.col("body").alias("leader_body"))
-    star = pairs.join(bodies, "id").join(leaders, "leader")
-    star = star.select("id", "leader", expand(F.col("body")).alias("a"), expand(F.col("leader_body")).alias("b"))
-    common = F.size(F.array_intersect("a", "b")).cast("long")
-    star = ws.store(star.select("id", "leader", common.alias("common"), (F.size("a") + F.size("b")).cast("long").alias("both")), "star")
-    linked = star.where(F.expr(f"({den}L + {num}L) * common >= {num}L * both")).select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    found = ws.store(components(linked, ws), "found")
-
-    distance = star.select("id", "leader", (1 - F.col("common") / (F.col("both") - F.col("common"))).alias("far"))
-    member = hits.where("id <> leader").join(distance, ["id", "leader"]).join(found, "id", "left")
+    def compare(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("a_body")), "a")
+        both = both.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("b_body")), "b")
+        return ws.store(verify(both.select("a", "b", "a_body", "b_body")), name)
+
+    linked = F.expr(f"({den}L + {num}L) * common >= {num}L * both")
+    star = compare(hits.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "star")
+    found = ws.store(components(star.where(linked), ws), "found")
+
+    far = (1 - F.col("common") / (F.col("both") - F.col("common"))).alias("far")
+    member = hits.join(star.select(F.col("a").alias("id"), F.col("b").alias("leader"), far), ["id", "leader"]).join(found, "id", "left")
     member = member.select("key", "id", "far", F.coalesce("component", "id").alias("component"))
     split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
     split = split.where("low <> high").select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
@@ -103,14 +96,15 @@ def link(
     ws.drop("hits")
     if rest.isEmpty():
         return found
-    rest = ws.store(rest.join(bodies.select("id", expand(F.col("body")).alias("grams")), "id"), "open-sets")
+    rest = rest.join(rest.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")  # an id has a key for each band
     left = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = left.select("key", "part", *(F.col(c).alias(f"a_{c}") for c in ("id", "far", "component", "grams")))
+    left = left.select("key", "part", *(F.col(c).alias(f"a_{c}") for c in ("id", "far", "component", "keys")))
     right = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.select("key", "part", *(F.col(c).alias(f"b_{c}") for c in ("id", "far", "component", "grams")))
-    near = F.abs(F.col("a_far") - F.col("b_far")) <= 1 - num / den + 1e-9
+    right = right.select("key", "part", *(F.col(c).alias(f"b_{c}") for c in ("id", "far", "component", "keys")))
     same = (left["key"] == right["key"]) & (left["part"] == right["part"]) & (F.col("a_id") < F.col("b_id"))
-    more = left.join(right, same & (F.col("a_component") != F.col("b_component")) & near & similar("a_grams", "b_grams", num, den))
-    more = more.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    near = (F.col("a_component") != F.col("b_component")) & (F.abs(F.col("a_far") - F.col("b_far")) <= 1 - num / den + 1e-9)
+    here = F.array_min(F.array_intersect("a_keys", "b_keys")) == left["key"]
+    pairs = ws.store(left.join(right, same & near & here).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "pairs")
+    more = compare(pairs, "more").where(linked).select("a", "b")
     known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     return ws.store(components(known.unionByName(more), ws, "joined"), "linked")

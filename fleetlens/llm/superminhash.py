@@ -95,11 +95,18 @@ def _sketch(words: int):
     return run
 
 
-def _grams(words: int):
+def _compare(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # sets of the batch
         for batch in batches:
-            sets = [s.view(np.int64) for s in _sets(batch.column(1).to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "body"])
+            a, b = (batch.column(k).to_numpy() for k in (0, 1))
+            held.clear()
+            common, both = [], []
+            for k in range(len(batch)):
+                x, y = (held[i] if (i := int(ids[k])) in held else held.setdefault(i, _sets([batch.column(c)[k].as_py()], words)[0]) for ids, c in ((a, 2), (b, 3)))
+                common.append(len(np.intersect1d(x, y, assume_unique=True)))
+                both.append(len(x) + len(y))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(both, pa.int64())], ["a", "b", "common", "both"])
 
     return run
 
@@ -125,10 +132,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = ws.store(classes.select("set_key", F.col("first.doc_id").alias("id"), F.col("first.bands").alias("bands")), "classes")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = rows.join(ids, rows["doc_id"] == ids["id"], "left_semi")
-        return wanted.mapInArrow(_grams(words), "id long, body array<long>")
+        return rows.join(ids, rows["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
 
-    linked = link(classes.select(F.explode("bands").alias("key"), "id"), fetch, ws, num, den)
+    def verify(pairs: DataFrame) -> DataFrame:
+        return pairs.mapInArrow(_compare(words), "a long, b long, common long, both long")
+
+    linked = link(classes.select(F.explode("bands").alias("key"), "id"), fetch, verify, ws, num, den)
     node = classes.select("set_key", "id").join(linked, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     # rows without shingles get keys of their own, lest all of them meet in one task
     key = F.coalesce("set_key", F.encode(F.col("doc_id").cast("string"), "UTF-8"))

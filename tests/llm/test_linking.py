@@ -45,6 +45,7 @@ def test_links_between_members_that_their_leader_does_not_hold(llm):
     grams = llm.createDataFrame(list(sets.items()), "id long, body array<long>")
     buckets = llm.createDataFrame([(9, i) for i in sets], "key long, id long")
     want = roots([(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})])
+    sizes = "size(array_intersect(a_body, b_body)) as common", "size(a_body) + size(b_body) as both"
     for block in (256, 2):
-        got = found(link(buckets, lambda ids: grams.join(ids, "id", "left_semi"), Workspace(llm, "t"), block=block))
+        got = found(link(buckets, lambda ids: grams.join(ids, "id", "left_semi"), lambda p: p.selectExpr("a", "b", *sizes), Workspace(llm, "t"), block=block))
         assert got == want and want == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}
