@@ -11,9 +11,9 @@ from fleetlens.llm.linking import link
 from fleetlens.llm.workspace import Workspace
 
 SIZE = 8  # characters in a shingle
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 8, 3
 SAMPLE = 32  # a signature is taken of SAMPLE to 2 * SAMPLE shingles, chosen by their hash
-MARGIN = 1.5  # lines whose lengths differ by less have a sampling level in common
+MARGIN = 1.3  # lines whose lengths differ by less have a sampling level in common
 # Fixed random words, one a band. The shingle whose hash is nearest to a word in XOR distance is the
 # first of a random order; each row of a band hashes anew, so a band's rows don't depend on each other.
 PROBES = [random.Random(20240229 + b).getrandbits(64) - (1 << 63) for b in range(BANDS)]
@@ -59,7 +59,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _signatures(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, h1, h2, bands) per line and sampling level.
 
-    A line takes the level of its length and that of a length half as long again,
+    A line takes the level of its length and that of a length 1.3 times as long,
     so that lines of similarity 0.8 have a level in common. A line that repeats itself has far
     fewer different shingles than its length tells; it takes all levels up to these.
     The first shingle is part of every sample, so none is empty.
@@ -89,8 +89,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared nor dropped. Rows that share an id are one document, so a line dropped from
     one is dropped from all; a null id or text takes no part.
 
-    Candidates share one of 12 bands of 3 minima, which two lines at similarity 0.8 miss
-    with a probability of about 0.002 and at 0.9 below 1e-5. Minima are taken of the shingles
+    Candidates share one of 8 bands of 3 minima, which two lines miss with a probability of
+    about 0.01 at similarity 0.8, 0.002 at 0.85 and 0.0002 at 0.9. Minima are taken of the shingles
     whose hash ends in a number of zero bits that grows with the line, which leaves
     32 to 64 of them; verification is on the full sets. Lines whose first hash
     meets another text's are left alone (their second hash tells).
