@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.linking import components
+from fleetlens.llm.linking import components, roots
 from fleetlens.llm.text_hash import GOLDEN, mix
 from fleetlens.llm.workspace import Workspace
 
@@ -132,20 +132,6 @@ def _first_meeting(at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable over the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _verify(threshold: float):
     """Groups (cell, i, j) of rows that arrive together: the pairs between block i and block j, verified."""
 
@@ -159,13 +145,13 @@ def _verify(threshold: float):
             return None
         ids, weight = rows["id"], rows["weight"]
         rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        roots = np.sort(ids, kind="stable")[_roots(len(ids), rank[a], rank[b])[rank]]
+        root = np.sort(ids, kind="stable")[roots(len(ids), rank[a], rank[b])[rank]]
         # a pair meets in several cells and tables; it counts where it meets first
         at = _labelled(cells(v), rows["label"], v.shape[1])
         here = _first_meeting(at, a, b) == cell
         links = np.bincount(a[here], weight[b[here]], len(ids)) + np.bincount(b[here], weight[a[here]], len(ids))
-        some = (links > 0) | (roots != ids)
-        return ids[some], links[some].astype(np.int64), roots[some]
+        some = (links > 0) | (root != ids)
+        return ids[some], links[some].astype(np.int64), root[some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None

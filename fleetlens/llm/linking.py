@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,20 @@ def components(edges: DataFrame, ws: Workspace, name: str = "components") -> Dat
     )
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index reachable over the pairs."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def link(
     buckets: DataFrame,
     fetch: Callable[[DataFrame], DataFrame],
@@ -54,6 +69,7 @@ def link(
     num: int = 80,
     den: int = 100,
     block: int = 256,
+    dense: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components (id, component) of the links between ids that share a bucket.
 
@@ -67,7 +83,9 @@ def link(
        each other, once for each pair, but for pairs in one component and pairs that the
        leader's distances rule out: Jaccard distance is a metric, so two members
        whose distances to the leader differ by more than 1 - num/den aren't linked.
-       Large buckets are dealt out in blocks.
+       Large buckets are dealt out in blocks. Where ``dense`` is given, it gets pairs of
+       blocks as sorted rows (key, i, j, block, id, body) and returns links (a, b) that connect
+       whatever the links between block i and block j connect; no pair leaves it else.
 
     No bucket, member or pair is dropped, so the components are those of all
     links between ids with a common bucket.
@@ -96,6 +114,14 @@ def link(
     ws.drop("hits")
     if rest.isEmpty():
         return found
+    if dense is not None:
+        spread = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        spread = spread.select("key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id").join(bodies, "id")
+        spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "id", "body")
+        more = dense(spread)
+        known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return ws.store(components(known.unionByName(more), ws, "joined"), "linked")
     rest = rest.join(rest.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")  # an id has a key for each band
     left = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.select("key", "part", *(F.col(c).alias(f"a_{c}") for c in ("id", "far", "component", "keys")))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.linking import link
+from fleetlens.llm.linking import link, roots
 from fleetlens.llm.text_hash import GOLDEN, WORDS, ascii_words, mix, shingles, stride
 from fleetlens.llm.workspace import Workspace
 
@@ -111,6 +111,61 @@ def _compare(words: int):
     return run
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections: products of 0/1 columns, one for each element that two sets hold, some thousand at a time."""
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    keep = times[column] > 1
+    owner, column = owner[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[a:b], column[a:b] - start] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _dense(words: int, num: int, den: int):
+    """Links between two blocks of a bucket, as a forest."""
+
+    def forest(ids: list, block: np.ndarray, i: int, j: int, texts: list) -> list[tuple]:
+        sets = _sets(texts, words)
+        common, n = _common(sets), np.array([len(s) for s in sets])
+        linked = (den + num) * common >= num * (n[:, None] + n[None, :])
+        linked &= (block[:, None] == i) & (block[None, :] == j) | (block[:, None] == j) & (block[None, :] == i)
+        a, b = np.nonzero(np.triu(linked, 1))
+        root = roots(len(ids), a, b)
+        return [(ids[k], ids[r]) for k, r in enumerate(root) if k != r]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, block, texts, out = None, [], [], [], []
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            for at, own, doc_id, text in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+                if at != key and ids:
+                    out += forest(ids, np.array(block), key[1], key[2], texts)
+                    ids, block, texts = [], [], []
+                key = at
+                ids.append(doc_id)
+                block.append(own)
+                texts.append(text.as_py())
+            if out:
+                yield _edges(out)
+                out = []
+        if ids:
+            yield _edges(forest(ids, np.array(block), key[1], key[2], texts))
+
+    return run
+
+
+def _edges(pairs: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -137,7 +192,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.mapInArrow(_compare(words), "a long, b long, common long, both long")
 
-    linked = link(classes.select(F.explode("bands").alias("key"), "id"), fetch, verify, ws, num, den)
+    def dense(blocks: DataFrame) -> DataFrame:
+        return blocks.mapInArrow(_dense(words, num, den), "a long, b long")
+
+    linked = link(classes.select(F.explode("bands").alias("key"), "id"), fetch, verify, ws, num, den, 512, dense)
     node = classes.select("set_key", "id").join(linked, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     # rows without shingles get keys of their own, lest all of them meet in one task
     key = F.coalesce("set_key", F.encode(F.col("doc_id").cast("string"), "UTF-8"))
