@@ -33,25 +33,23 @@ UNITS = frozenset(
 )
 
 
-class Tokens:
-    """Numbers for raw tokens, and what a token is by itself: its hash, value and kinds."""
+class Tokens(dict):
+    """Numbers for raw tokens, and what a token is by itself: its hash and kinds (bits: 1 number, 2 unit, 4 capital, 8 ends a sentence)."""
 
     def __init__(self) -> None:
-        self.clear()
+        super().__init__()
+        self.word, self.kind = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
 
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.word: list[int] = []
-        self.kind: list[int] = []  # bits: 1 number, 2 unit, 4 capital, 8 ends a sentence
-
-    def add(self, raw: str) -> int:
+    def __missing__(self, raw: str) -> int:
+        at = len(self)
+        if at == len(self.word):
+            self.word, self.kind = np.concatenate([self.word] * 2), np.concatenate([self.kind] * 2)
         bare = EDGES.sub("", raw) or raw
         low = bare.lower()
         number = bool(DIGITS.match(bare))
-        kind = number | 2 * (low in UNITS) | 4 * (not number and bare[:1].isupper()) | 8 * bool(END.search(raw))
-        self.word.append(xxhash.xxh64_intdigest(low) | 8)  # never the number of a placeholder
-        self.kind.append(kind)
-        self.index[raw] = at = len(self.word) - 1
+        self.kind[at] = number | 2 * (low in UNITS) | 4 * (not number and bare[:1].isupper()) | 8 * bool(END.search(raw))
+        self.word[at] = xxhash.xxh64_intdigest(low) | 8  # never the number of a placeholder
+        self[raw] = at
         return at
 
     def canonical(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,13 +58,11 @@ class Tokens:
         Numbers are <number>; a unit behind a number is <unit>; a word with a
         capital that doesn't open the text or a sentence is <name>. Case and outer marks don't count.
         """
-        if len(self.index) > KNOWN:
+        if len(self) > KNOWN:
             self.clear()
         raw = (text or "").split()
-        known = self.index.get
-        at = [i if (i := known(t)) is not None else self.add(t) for t in raw]
-        word = np.array([self.word[i] for i in at], np.uint64)
-        kind = np.array([self.kind[i] for i in at], np.uint8)
+        at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+        word, kind = self.word[at], self.kind[at]
         number = (kind & 1) > 0
         behind = np.concatenate([[False], number[:-1]]) if len(at) else number
         opens = np.concatenate([[True], (kind[:-1] & 8) > 0]) if len(at) else number
