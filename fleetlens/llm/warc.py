@@ -94,8 +94,10 @@ def write_archives(pages: DataFrame, ws: Workspace, folder: str, date: str = "19
     last = large.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first")).where("first < refers_to")
     revisits = large.join(last.drop("first"), ["digest", "size"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
     revisits = ws.store(revisits, "revisits")
-    sample = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("page_id", "url")).limit(SAMPLES)
-    dictionary = train_dictionary([r["html"].encode("utf-8", "surrogatepass") for r in sample.select("html").collect()])
+    short = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES) & F.col("page_id").isNotNull())
+    drawn = short.select("page_id").distinct().orderBy(F.xxhash64("page_id")).limit(SAMPLES)
+    sample = short.join(F.broadcast(drawn), "page_id", "left_semi").select("html").limit(SAMPLES).collect()  # ids may repeat
+    dictionary = train_dictionary([r["html"].encode("utf-8", "surrogatepass") for r in sample])
     rows = pages.join(revisits.withColumnRenamed("digest", "__digest"), "page_id", "left")
     same = F.col("__digest").isNull() | (F.col("__digest") == F.sha1(payload))
     one = F.coalesce(same, F.lit(False))
