@@ -13,15 +13,17 @@ from fleetlens.session import shared_dir
 from fleetlens.sources import frames as fr
 
 CYCLE_S = 300
+PAUSE_S = 900
 EVERY = 20
 FIELDS = ["label", "route_id", "direction_id", "start_date", "start_time", "lat", "lon", "speed", "ts"]
 
-# a vehicle is listed in the cycle of its ping and, unless it reports again, in the next one
+# a vehicle is listed in the cycle of its ping and, unless it reports again, in the next one;
+# every 31 cycles the recorder pauses for PAUSE_S
 cte(
     "snap",
-    f"""select * exclude (rn) from (select frame_ts, id, {', '.join(FIELDS)}, row_number() over (partition by frame_ts, id order by ts desc, event_id desc) as rn from (
+    f"""select * exclude (rn) replace (frame_ts + frame_ts // {31 * CYCLE_S} * {PAUSE_S} as frame_ts, ts + frame_ts // {31 * CYCLE_S} * {PAUSE_S} as ts) from (select frame_ts, id, {', '.join(FIELDS)}, row_number() over (partition by frame_ts, id order by ts desc, event_id desc) as rn from (
   select p.ts - p.ts % {CYCLE_S} + d.d as frame_ts, p.vehicle_id as id, p.event_id, p.label, p.route_id, p.direction_id, p.start_date, p.start_time, p.lat, p.lon, p.speed, p.ts
-  from pings p, (select unnest([0, {CYCLE_S}]) as d) d)) where rn = 1 and (frame_ts // {CYCLE_S}) % 31 not in (5, 6, 7)""",
+  from pings p, (select unnest([0, {CYCLE_S}]) as d) d)) where rn = 1""",
     "pings",
 )
 cte("cyc0", "select frame_ts, row_number() over (order by frame_ts) - 1 as cycle_no, max(ts) as t from snap group by frame_ts", "snap")
@@ -35,7 +37,8 @@ cte(
 def snapshots(spark, sf):
     p = tb.pings(spark, sf).withColumn("frame_ts", F.explode(F.array(*[F.col("ts") - F.col("ts") % CYCLE_S + d for d in (0, CYCLE_S)])))
     last = p.groupBy("frame_ts", F.col("vehicle_id").alias("id")).agg(F.max_by(F.struct(*FIELDS), F.struct("ts", "event_id")).alias("v"))
-    return last.select("frame_ts", "id", "v.*").where(~(F.floor(F.col("frame_ts") / CYCLE_S) % 31).isin(5, 6, 7))
+    late = F.floor(F.col("frame_ts") / (31 * CYCLE_S)) * PAUSE_S
+    return last.select("frame_ts", "id", "v.*").withColumns({"frame_ts": F.col("frame_ts") + late, "ts": F.col("ts") + late})
 
 
 def snap_table(spark, sf):

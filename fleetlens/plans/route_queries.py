@@ -380,8 +380,8 @@ def dual_direction(spark, sf):
     return ri.dual_direction(ri.route_lifecycle(rid_obs(spark, sf)))
 
 
-# lines leave the feed one after the other
-cte("fading", "select * from rid_obs where day <= case line when '39' then '2024-01-30' when '42' then '2024-01-27' when '26' then '2024-01-12' else '2024-01-29' end", "rid_obs")
+# lines leave the feed one after the other; what still runs then belongs to another line
+cte("fading", "select * replace (case when day <= case line when '39' then '2024-01-30' when '42' then '2024-01-27' when '26' then '2024-01-12' else '2024-01-29' end then line else 'late' end as line) from rid_obs", "rid_obs")
 
 
 @query(
@@ -395,7 +395,7 @@ cte("fading", "select * from rid_obs where day <= case line when '39' then '2024
 )
 def line_last_seen(spark, sf):
     end = F.when(F.col("line") == "39", "2024-01-30").when(F.col("line") == "42", "2024-01-27").when(F.col("line") == "26", "2024-01-12").otherwise("2024-01-29")
-    return ri.line_last_seen(rid_obs(spark, sf).where(F.col("day") <= end))
+    return ri.line_last_seen(rid_obs(spark, sf).withColumn("line", F.when(F.col("day") <= end, F.col("line")).otherwise("late")))
 
 
 @query(

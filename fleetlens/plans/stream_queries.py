@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators.filters import valid_requests, validate_requests
 from fleetlens.operators.scale import small
 from fleetlens.plans import testbed as tb
-from fleetlens.plans.capture_queries import EVERY, INTERVAL, recording, snap_table
+from fleetlens.plans.capture_queries import CYCLE_S, EVERY, INTERVAL, PAUSE_S, recording, snap_table
 from fleetlens.plans.model_queries import lookup
 from fleetlens.plans.oracle import cte, sql
 from fleetlens.plans.registry import query, r, rq
@@ -16,12 +16,15 @@ from fleetlens.session import shared_dir
 from fleetlens.streaming import live
 
 
+SLICE_FILES = 4  # rows are dealt out evenly, so every file of a slice has some
+
+
 def as_stream(spark, table, slices: list):
     """Write the slices one after the other and stream the files back, one per batch."""
     path = shared_dir(spark, "stream-in")
     for cond in slices:
-        table.where(cond).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        table.where(cond).repartition(SLICE_FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(path)
 
 
 def finish(q):
@@ -41,7 +44,7 @@ def ping_slices(spark, sf):
 
 
 def snap_stream(spark, sf):
-    edges = [17_049_000, 17_058_000]
+    edges = [e + e // (31 * CYCLE_S) * PAUSE_S for e in (17_049_000, 17_058_000)]
     c = F.col("frame_ts")
     return as_stream(spark, snap_table(spark, sf), [c < edges[0], (c >= edges[0]) & (c < edges[1]), c >= edges[1]])
 

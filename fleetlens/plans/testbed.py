@@ -121,7 +121,7 @@ _PLANS: dict[tuple[int, str], DataFrame] = {}
 
 def _once(spark: SparkSession, name: str, build) -> DataFrame:
     """Reuse the (lazy) plan of a dimension inside one session; no data is kept."""
-    key = (id(spark), name)
+    key = (spark.sparkContext.applicationId, name)
     if key not in _PLANS:
         _PLANS[key] = build()
     return _PLANS[key]

@@ -9,6 +9,8 @@ from fleetlens import schemas
 from fleetlens.operators.filters import FEED_BOX, in_box
 from fleetlens.operators.scale import running_total, small
 
+# the day of a file is in its own name or in the folder that holds it, never further up
+DAY = r"/(?:day=)?(\d{4}-\d{2}-\d{2})(?:\.ndjson(?:\.gz)?|/[^/]*)$"
 DAY_FILE = r"(\d{4}-\d{2}-\d{2})\.ndjson(?:\.gz)?$"
 LOCAL_OFFSET_S = -3 * 3600
 
@@ -28,7 +30,7 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
             F.monotonically_increasing_id().alias("line_id"),
             F.col("value").alias("text"),
         )
-        .withColumn("day", F.regexp_extract("file", r"(\d{4}-\d{2}-\d{2})", 1))
+        .withColumn("day", F.regexp_extract("file", DAY, 1))
         .where(F.col("day") != "")
     )
 
@@ -143,13 +145,15 @@ def write_frames(frames: DataFrame, path: str, offset_s: int = LOCAL_OFFSET_S, o
 
     A day is one sorted gzip member: rows are range-partitioned by (day, order)
     and sorted inside, so a large day spans several part files in name order.
+    The lines of one frame stay together, in the order of their parts.
     """
     day = F.date_format(F.timestamp_seconds(F.col("t") + F.lit(offset_s)), "yyyy-MM-dd")
-    lines = frame_lines(frames.withColumn("day", day).select("day", order, *[c for c in frames.columns if c not in ("day", order)]))
+    rows = frames.withColumns({"day": day, "_part": F.coalesce("part", F.lit(0)) if "part" in frames.columns else F.lit(0)})
+    lines = frame_lines(rows.select("day", order, "_part", *[c for c in frames.columns if c not in ("day", order)]))
     (
-        lines.select("day", order, "value")
+        lines.select("day", order, "_part", "value")
         .repartitionByRange("day", order)
-        .sortWithinPartitions("day", order)
+        .sortWithinPartitions("day", order, "_part")
         .select("day", "value")
         .write.mode("overwrite")
         .partitionBy("day")
