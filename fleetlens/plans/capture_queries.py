@@ -213,7 +213,7 @@ def with_carry(spark, sf):
 
 MID = 17_053_000
 RATE_FIELDS = ["route_id", "direction_id", "start_date", "speed", "lat"]
-SIDE = """select * from (select vehicle_id as id, {f}, row_number() over (partition by vehicle_id order by ts desc, event_id desc) as rn from pings where ts {op} {mid} and cast(vehicle_id as bigint) % {m} <> 0) where rn = 1"""
+SIDE = """select * from (select case when cast(vehicle_id as bigint) % {m} = 0 then '{m}-' || vehicle_id else vehicle_id end as id, {f}, row_number() over (partition by vehicle_id order by ts desc, event_id desc) as rn from pings where ts {op} {mid}) where rn = 1"""
 cte("side_prev", SIDE.format(f=", ".join(RATE_FIELDS), op="<", mid=MID, m=7), "pings")
 cte("side_curr", SIDE.format(f=", ".join(RATE_FIELDS), op=">=", mid=MID, m=11), "pings")
 
@@ -235,9 +235,11 @@ cte("side_curr", SIDE.format(f=", ".join(RATE_FIELDS), op=">=", mid=MID, m=11),
 )
 def change_rates(spark, sf):
     p = tb.pings(spark, sf)
-    last = lambda d: d.groupBy(F.col("vehicle_id").alias("id")).agg(F.max_by(F.struct(*RATE_FIELDS), F.struct("ts", "event_id")).alias("v")).select("id", "v.*")
+    # some vehicles bear another id on each side, so that ids come and go
+    named = lambda m: F.when(k % m == 0, F.concat(F.lit(f"{m}-"), "vehicle_id")).otherwise(F.col("vehicle_id")).alias("id")
+    last = lambda d, m: d.groupBy(named(m)).agg(F.max_by(F.struct(*RATE_FIELDS), F.struct("ts", "event_id")).alias("v")).select("id", "v.*")
     k = F.col("vehicle_id").cast("long")
-    rates = cp.change_rates(last(p.where((F.col("ts") < MID) & (k % 7 != 0))), last(p.where((F.col("ts") >= MID) & (k % 11 != 0))), RATE_FIELDS)
+    rates = cp.change_rates(last(p.where(F.col("ts") < MID), 7), last(p.where(F.col("ts") >= MID), 11), RATE_FIELDS)
     return rates.withColumn("pct_changed", r("pct_changed", 4))
 
 
