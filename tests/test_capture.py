@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from fleetlens.operators import capture as cp
 from fleetlens.sources import frames as fr
 
-T0 = 1_773_583_200
+T0 = 1_699_963_200  # 2023-11-14 12:00 UTC
 
 
 def car(i, lat=-34.6, ts=T0, **kw):
     base = {
-        "id": i, "label": f"{i}-39", "license_plate": "AA000AA", "route_id": "1", "trip_id": "t", "direction_id": 0, "start_date": "20260328",
+        "id": i, "label": f"{i}-39", "license_plate": "AA000AA", "route_id": "1", "trip_id": "t", "direction_id": 0, "start_date": "20231114",
         "start_time": "08:00:00", "lat": lat, "lon": -58.4, "speed": 5.0, "odo": 0, "stop_id": "", "seq": 0, "status": 0, "ts": ts,
     }
     return {**base, **kw}
@@ -44,8 +44,8 @@ def recording():
 
 @pytest.fixture()
 def frames(spark, tmp_path):
-    write(tmp_path, "2026-03-28.ndjson.gz", recording())
-    write(tmp_path, "other_file.txt", ["noise"])
+    write(tmp_path, "2023-11-14.ndjson.gz", recording())
+    write(tmp_path, "notes.md", ["noise"])
     return fr.read_frames(spark, str(tmp_path))
 
 
@@ -78,19 +78,19 @@ def test_sampling_keeps_keyframes_and_interval(frames):
 def test_line_filter(spark, tmp_path):
     lines = recording()
     lines[4]["new"].append(car("a", label="a-42"))
-    write(tmp_path, "2026-03-28.ndjson.gz", lines)
+    write(tmp_path, "2023-11-14.ndjson.gz", lines)
     m = spark.createDataFrame([("39", "39", ""), ("42", "42", "")], "suffix string, line string, agency string")
     got = state(fr.read_frames(spark, str(tmp_path)), label_map=m, lines=["39"])
     assert set(got[30]) == {"a", "b", "c"} and set(got[60]) == {"c", "d"} and set(got[760]) == {"a"}
 
 
 def test_days_are_selected_in_order(spark, tmp_path):
-    for d in ("2026-03-20", "2026-03-10", "2026-03-15", "2026-03-12"):
+    for d in ("2024-02-27", "2024-02-28", "2024-02-29", "2024-03-01", "2024-03-02"):
         write(tmp_path, f"{d}.ndjson.gz", recording())
     f = fr.read_frames(spark, str(tmp_path))
-    kept = fr.select_days(f, skip_first=1, max_days=2, exclude="2026-03-20")
-    assert [r["day"] for r in kept.select("day").distinct().orderBy("day").collect()] == ["2026-03-12", "2026-03-15"]
-    assert fr.count_days(f).first()["n_days"] == 4
+    kept = fr.select_days(f, skip_first=1, max_days=2, exclude="2024-02-28")
+    assert [r["day"] for r in kept.select("day").distinct().orderBy("day").collect()] == ["2024-02-29", "2024-03-01"]
+    assert fr.count_days(f).first()["n_days"] == 5
     with pytest.raises(ValueError):
         fr.require_days(f, 90)
 
@@ -126,7 +126,7 @@ def test_gap_forces_keyframe(spark):
 
 
 def test_written_frames_read_back(spark, tmp_path):
-    write(tmp_path, "2026-03-28.ndjson.gz", recording())
+    write(tmp_path, "2023-11-14.ndjson.gz", recording())
     first = fr.read_frames(spark, str(tmp_path))
     fr.write_frames(first.drop("day", "file"), str(tmp_path / "out"))
     again = fr.read_frames(spark, str(tmp_path / "out"))
@@ -136,8 +136,8 @@ def test_written_frames_read_back(spark, tmp_path):
 
 def test_state_crosses_files_unless_told_otherwise(spark, tmp_path):
     lines = recording()
-    write(tmp_path, "2026-03-28.ndjson.gz", lines[:2])
-    write(tmp_path, "2026-03-29.ndjson.gz", [{"t": T0 + 90, "new": [], "del": [], "upd": [{"id": "a", "ts": T0 + 90, "lat": 7.0}]}, *lines[6:]])
+    write(tmp_path, "2023-11-14.ndjson.gz", lines[:2])
+    write(tmp_path, "2023-11-15.ndjson.gz", [{"t": T0 + 90, "new": [], "del": [], "upd": [{"id": "a", "ts": T0 + 90, "lat": 7.0}]}, *lines[6:]])
     frames = fr.read_frames(spark, str(tmp_path))
     assert set(state(frames)[90]) == {"a", "b", "c"} and state(frames)[90]["a"] == (7.0, 5.0, 90)
     alone = state(frames, per_file=True)

@@ -18,7 +18,7 @@ OBS = "vehicle_id string, event_id long, ts long, direction_id int, route_id str
 
 def obs(spark, stamps, directions=None, times=None):
     n = len(stamps)
-    rows = [("v", i, t, (directions or [0] * n)[i], "r", "20260328", (times or ["08:00:00"] * n)[i]) for i, t in enumerate(stamps)]
+    rows = [("v", i, t, (directions or [0] * n)[i], "r", "20231114", (times or ["08:00:00"] * n)[i]) for i, t in enumerate(stamps)]
     return spark.createDataFrame(rows, OBS)
 
 
@@ -26,18 +26,27 @@ def n_trips(df):
     return df.select("trip_no").distinct().count()
 
 
-BASE = 1_773_583_200
+BASE = 1_699_963_200  # 2023-11-14 12:00 UTC
+
+
+def steps(*gaps):
+    """Times from BASE on with these gaps between them."""
+    return [BASE + sum(gaps[:k]) for k in range(len(gaps) + 1)]
 
 
 @pytest.mark.parametrize(
     "stamps, directions, times, want",
     [
-        ([BASE + 30 * i for i in range(10)], None, None, 1),
-        ([BASE + 30 * i for i in range(5)] + [BASE + 120 + 610 + 30 * i for i in range(5)], None, None, 2),
-        ([BASE + 30 * i for i in range(5)] + [BASE + 120 + 600 + 30 * i for i in range(5)], None, None, 1),
-        ([BASE + 30 * i for i in range(10)], [0] * 5 + [1] * 5, None, 2),
-        ([BASE + 30 * i for i in range(10)], None, ["08:00:00"] * 5 + ["09:00:00"] * 5, 2),
-        ([BASE, BASE + 30, BASE + 60], None, None, 0),
+        (steps(*[45] * 3), None, None, 0),  # one point under the least
+        (steps(*[45] * 4), None, None, 1),
+        (steps(*[45] * 5, 599, *[45] * 6), None, None, 1),  # around the longest gap within a trip
+        (steps(*[45] * 5, 600, *[45] * 6), None, None, 1),
+        (steps(*[45] * 5, 601, *[45] * 6), None, None, 2),
+        (steps(*[45] * 5, 601, *[45] * 3), None, None, 1),  # what follows is too short
+        (steps(*[45] * 12), [1] * 6 + [0] * 7, None, 2),
+        (steps(*[45] * 12), [1] * 12 + [0], None, 1),  # the change leaves a single point
+        (steps(*[45] * 12), [1] + [0] * 12, None, 1),
+        (steps(*[45] * 12), None, ["06:15:00"] * 7 + ["07:40:00"] * 6, 2),
     ],
 )
 def test_cuts(spark, stamps, directions, times, want):
@@ -105,14 +114,14 @@ def test_haversine(spark):
 
 
 def test_time_encoding_at_noon(spark):
-    noon = 1_773_586_800  # 2026-03-15 12:00 in Buenos Aires, a Sunday
+    noon = 1_699_974_000  # 2023-11-14 12:00 in Buenos Aires, a Tuesday
     row = fx.encode_time(spark.createDataFrame([(noon,)], "ts long")).first()
-    assert row["hour_sin"] == pytest.approx(0, abs=1e-9) and row["hour_cos"] == pytest.approx(-1) and row["dow"] == 6
+    assert row["hour_sin"] == pytest.approx(0, abs=1e-9) and row["hour_cos"] == pytest.approx(-1) and row["dow"] == 1
 
 
 def test_segment_index(spark):
-    got = spark.createDataFrame([(0.0,), (499.0,), (500.0,), (1200.0,)], "d double").select(fx.segment_index(F.col("d")).alias("s")).collect()
-    assert [r["s"] for r in got] == [0, 0, 1, 2]
+    got = spark.createDataFrame([(0.5,), (999.5,), (1000.0,), (2750.0,)], "d double").select(fx.segment_index(F.col("d")).alias("s")).collect()
+    assert [r["s"] for r in got] == [0, 1, 2, 5]
 
 
 @pytest.mark.parametrize("block", [3, 7, 512])
