@@ -1,15 +1,23 @@
-"""Substring dedup by sliding sentence spans, with DataFrame functions only."""
+"""Substring dedup by sliding sentence spans: runs are cut and hashed inside tasks, then joined over all documents."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.workspace import Workspace
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
+CHUNK = 100_000  # runs after which a task hands them on
 # Up to the white space behind a closing mark, or up to line ends. The matches add up to the text.
 SENTENCE = r"(?s).+?(?:[.!?]\s+|\n\s*|\z)"
+PIECE = re.compile(SENTENCE.replace(r"\z", r"\Z"), re.ASCII)  # the same in Python's notation
 
 
 def sentences(text: Column) -> Column:
@@ -21,14 +29,41 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _lengths(words: Column) -> Column:
-    """For each sentence, how many sentences its run takes to reach both minima (0: the text ends before)."""
-    ahead = lambda i: F.sequence(i, F.least(i + max(MIN_SENTENCES, MIN_WORDS), F.size(words)) - 1)  # noqa: E731  every sentence has a word
-    done = lambda a: (a["n"] >= MIN_SENTENCES) & (a["w"] >= MIN_WORDS)
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"))
-    step = lambda a, k: F.when(done(a), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["w"] + F.get(words, k)).alias("w")))
-    run = lambda i: F.aggregate(ahead(i), start, step, lambda a: F.when(done(a), a["n"]).otherwise(0))
-    return F.transform(words, lambda _, i: run(i))
+def _keys(text: str | None) -> Iterator[tuple[int, int, bytes]]:
+    """(pos, n, key): for each sentence that has one, its run of n sentences and the run's 128-bit hash."""
+    whole = [s.strip(" \t\r\n") for s in PIECE.findall((text or "").lower())]
+    words = [s.count(" ") + 1 for s in whole]
+    end = held = 0
+    for i in range(len(whole)):
+        while end < len(whole) and (held < MIN_WORDS or end - i < MIN_SENTENCES):
+            held += words[end]
+            end += 1
+        if held < MIN_WORDS or end - i < MIN_SENTENCES:
+            break  # later runs are shorter still
+        yield i, end - i, xxhash.xxh3_128_digest("\n".join(whole[i:end]).encode("utf-8", "surrogatepass"))
+        held -= words[i]
+
+
+def _table(ids: list[int], counts: list[int], runs: list[tuple]) -> pa.RecordBatch:
+    at, sizes, keys = zip(*runs)
+    halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+    columns = [pa.array(np.repeat(ids, counts)), pa.array(at, pa.int32()), pa.array(sizes, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "n", "k1", "k2"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, counts, runs = [], [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            before = len(runs)
+            runs.extend(_keys(text.as_py()))
+            ids.append(doc_id)
+            counts.append(len(runs) - before)
+            if len(runs) >= CHUNK:
+                yield _table(ids, counts, runs)
+                ids, counts, runs = [], [], []
+        if runs:
+            yield _table(ids, counts, runs)
 
 
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
@@ -41,16 +76,8 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Shorter texts have no run. Rows that share an id are one document. A null id or text takes no part.
     """
     ws = ws or Workspace(docs.sparkSession, "spans")
-    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _once(sentences(F.lower(text_col))).alias("s"))
-    plain = docs.select("doc_id", _once(F.transform("s", lambda s: F.btrim(s, F.lit(" \t\r\n")))).alias("s"))
-    words = F.transform("s", lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
-    hashes = [F.transform("s", lambda s: F.xxhash64(s)).alias("h1"), F.transform("s", lambda s: F.xxhash64(s, F.lit(1))).alias("h2")]
-    units = plain.select("doc_id", _once(F.struct(words.alias("words"), *hashes)).alias("u"))
-    units = units.select("doc_id", "u", _once(_lengths(F.col("u.words"))).alias("lengths"))
-    fold = lambda c, i, n: F.aggregate(F.sequence(i, i + n - 1), F.lit(0).cast("long"), lambda h, k: F.xxhash64(h, F.get(F.col(c), k)))
-    part = lambda c, i, n: F.when(n > 0, fold(c, i, n))
-    keyed = lambda n, i: F.struct(n.alias("n"), part("u.h1", i, n).alias("k1"), part("u.h2", i, n).alias("k2"))
-    runs = units.select("doc_id", F.posexplode(F.transform("lengths", keyed)).alias("pos", "r")).select("doc_id", "pos", "r.*").where("n > 0")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    runs = rows.mapInArrow(_runs, "doc_id long, pos int, n int, k1 long, k2 long")
     runs = ws.store(runs, "runs")
     known = runs.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("times"))
     known = ws.store(known.where("times > 1").select("k1", "k2", "first"), "known")
