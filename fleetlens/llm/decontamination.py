@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.text_hash import shingles
+from fleetlens.llm.text_hash import GOLDEN, mix, shingles
 from fleetlens.llm.workspace import Workspace
 
 WINDOW = 5  # tokens
@@ -75,43 +75,69 @@ class Tokens(dict):
 TOKENS = Tokens()
 
 
-def _windows(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Hashes of the windows that hold enough words, their positions, all tokens' hashes and placeholders, the window's size."""
+def _hashes(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """What ``shingles`` gives for the runs that start at the given positions."""
+    out = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        out = mix(out * GOLDEN + codes[at + k])
+    return out
+
+
+def _windows(text: str | None) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray, int]:
+    """Up to three forms of each window, all tokens' hashes and placeholders, the window's size.
+
+    A form is the windows' hashes, their positions and the tokens that are placeholders in it: none (every window), numbers and units, names too
+    (windows that have such tokens and enough others).
+    """
     code, word, slot = TOKENS.canonical(text)
     size = min(WINDOW, len(code))
-    hashes = shingles(code, WINDOW)
-    slots = np.concatenate([[0], np.cumsum(slot)])
-    at = np.flatnonzero(size - (slots[size:] - slots[: len(slots) - size]) >= min(LITERALS, size)) if size else np.zeros(0, np.int64)
-    return hashes[at], at, word, slot, size
+    if not size:
+        return [], word, slot, size
+    name = code == NAME
+    amount = slot & ~name
+
+    def held(marks: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(marks)])
+        return total[size:] - total[: len(total) - size]
+
+    slots, names, least = held(slot), held(name), min(LITERALS, size)
+    plain = shingles(word, WINDOW)
+    forms = [(plain, np.arange(len(plain)), np.zeros(len(word), bool))]
+    at = np.flatnonzero((slots > 0) & (size - slots >= least))
+    forms.append((_hashes(code, at, size), at, slot))
+    at = np.flatnonzero((names > 0) & (slots > names) & (size - slots + names >= least))
+    forms.append((_hashes(np.where(amount, code, word), at, size), at, amount))
+    return forms, word, slot, size
 
 
 def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], names)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)], names)
 
 
 def _emit(names: list[str], wanted: np.ndarray | None):
-    """Windows of the texts, with the hashes of what stands in their slots; only those that pass the filter, if there is one."""
+    """Windows of the texts, with the hashes of what stands in their slots and of slot values that they hold as words; only those that pass the filter, if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None if wanted is None else np.unpackbits(wanted).view(bool)
         for batch in batches:
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hashes, at, word, slot, size = _windows(text.as_py())
-                if table is not None:
-                    keep = table[hashes & np.uint64((1 << FILTER_BITS) - 1)]
-                    hashes, at = hashes[keep], at[keep]
-                for h, p in zip(hashes.view(np.int64).tolist(), at.tolist()):
-                    values = word[p : p + size][slot[p : p + size]].view(np.int64).tolist()
-                    out.append((key, p, h, values, len(word)))
+                forms, word, slot, size = _windows(text.as_py())
+                for hashes, at, open_ in forms:
+                    if table is not None:
+                        keep = table[hashes & np.uint64((1 << FILTER_BITS) - 1)]
+                        hashes, at = hashes[keep], at[keep]
+                    for h, p in zip(hashes.view(np.int64).tolist(), at.tolist()):
+                        here, free = word[p : p + size].view(np.int64), open_[p : p + size]
+                        out.append((key, p, h, here[free].tolist(), len(word), here[slot[p : p + size] & ~free].tolist()))
             yield _rows(names, out)
 
     return run
 
 
 def _schema(names: list[str]) -> str:
-    return ", ".join(f"{n} {t}" for n, t in zip(names, ("long", "long", "long", "array<long>", "long")))
+    return ", ".join(f"{n} {t}" for n, t in zip(names, ("long", "long", "long", "array<long>", "long", "array<long>")))
 
 
 def best_match(doc_at: list[int], item_at: list[int], doc_values: list, item_values: list, tokens: int) -> tuple[int, int, int]:
@@ -143,6 +169,9 @@ def best_match(doc_at: list[int], item_at: list[int], doc_values: list, item_val
 
 def _match(rows: pd.DataFrame) -> pd.DataFrame:
     tokens = int(rows["tokens"].iloc[0])
+    # a window that matched in several forms gives the same values in each, and votes once
+    same = [(p, q, frozenset(zip(a, b))) for p, q, a, b in zip(rows["doc_at"], rows["item_at"], rows["item_values"], rows["doc_values"])]
+    rows = rows.loc[~pd.Series(same, index=rows.index).duplicated()]
     covered, first, anew = best_match(*(rows[c].tolist() for c in ("doc_at", "item_at", "doc_values", "item_values")), tokens)
     out = pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "item_id": [rows["item_id"].iloc[0]], "coverage": [covered / tokens], "word": [first], "slots_changed": [anew]})
     return out if DEN * covered >= NUM * tokens else out.iloc[:0]
@@ -152,7 +181,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, word, slots_changed) for each document that holds a benchmark item, re-parameterised or not.
 
     Texts are split at white space; numbers, units behind them and names become
-    placeholders. Windows of 5 tokens, at least 2 of them words, are joined by hash. An item is found
+    placeholders. Windows of 5 tokens are joined by hash in three forms: with placeholders
+    and with placeholders for numbers and units alone, either with at least 2 words, and as
+    plain lower-cased words. So texts in capitals or without any, and windows of nothing but numbers and names, are
+    joined by their own words. An item is found
     if windows that fill its slots consistently cover 0.8 of its tokens or more within
     two item lengths. A text of fewer tokens is one window, so a short item is
     found in a text that consists of it and nothing else. ``word`` is where the stretch
@@ -165,16 +197,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ws = Workspace(spark, "leaks")
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    names = ["item_id", "item_at", "h", "item_values", "tokens"]
+    names = ["item_id", "item_at", "h", "item_values", "tokens", "same"]
     items = ws.store(items.mapInArrow(_emit(names, None), _schema(names)).distinct(), "items")
     slots = items.select(F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("slot")).distinct().toPandas()["slot"]
     table = np.zeros(1 << FILTER_BITS, bool)
     table[slots.to_numpy(np.int64)] = True
 
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = ["doc_id", "doc_at", "h", "doc_values", "doc_tokens"]
-    seen = docs.mapInArrow(_emit(names, np.packbits(table)), _schema(names)).drop("doc_tokens")
-    pairs = ws.store(seen.join(items, "h").drop("h"), "pairs")
+    names = ["doc_id", "doc_at", "h", "doc_values", "doc_tokens", "doc_same"]
+    seen = docs.mapInArrow(_emit(names, np.packbits(table)), _schema(names)).drop("doc_tokens", "doc_same")
+    # slot values of the item that a form holds as words stand in the document, too
+    both = seen.join(items, "h").withColumns({c: F.concat(c, "same") for c in ("doc_values", "item_values")})
+    pairs = ws.store(both.drop("h", "same"), "pairs")
     enough = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n"), F.max("tokens").alias("most"))
     enough = enough.where(F.col("n") * WINDOW * DEN >= F.col("most") * NUM).select("doc_id", "item_id")
     schema = "doc_id long, item_id long, coverage double, word long, slots_changed long"
