@@ -30,18 +30,26 @@ def _once(value: Column) -> Column:
 
 
 def _keys(text: str | None) -> Iterator[tuple[int, int, bytes]]:
-    """(pos, n, key): for each sentence that has one, its run of n sentences and the run's 128-bit hash."""
+    """(pos, n, key): the shortest run from each sentence and the shortest up to each, n sentences and their 128-bit hash.
+
+    Together they cover what any longer run covers, as its own shortest runs lie within it.
+    """
     whole = [s.strip(" \t\r\n") for s in PIECE.findall((text or "").lower())]
     words = [s.count(" ") + 1 for s in whole]
-    end = held = 0
+    run = lambda i, j: (i, j - i, xxhash.xxh3_128_digest("\n".join(whole[i:j]).encode("utf-8", "surrogatepass")))
+    end = held = last = 0
     for i in range(len(whole)):
         while end < len(whole) and (held < MIN_WORDS or end - i < MIN_SENTENCES):
             held += words[end]
             end += 1
+        if i:  # ends that the run from here reaches past: the shortest run up to them starts one sentence before
+            enough = held >= MIN_WORDS and end - i >= MIN_SENTENCES
+            for j in range(last + 1, end if enough else end + 1):
+                yield run(i - 1, j)
         if held < MIN_WORDS or end - i < MIN_SENTENCES:
             break  # later runs are shorter still
-        yield i, end - i, xxhash.xxh3_128_digest("\n".join(whole[i:end]).encode("utf-8", "surrogatepass"))
-        held -= words[i]
+        yield run(i, end)
+        held, last = held - words[i], end
 
 
 def _table(ids: list[int], counts: list[int], runs: list[tuple]) -> pa.RecordBatch:
@@ -69,8 +77,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
     """(doc_id, drop) for documents that lose sentences; drop holds sentence numbers, from 0.
 
-    A run starts at each sentence and takes the following ones until it has 2 sentences
-    and 20 words. Equal runs (lower case, outer white space aside) are joined over all
+    A run is 2 sentences and 20 words or more, one after the other; the shortest from each sentence
+    and the shortest up to each are compared, which drops what all runs would drop. Equal runs (lower case, outer white space aside) are joined over all
     documents by a 128-bit hash; the first by (doc_id, sentence number) stays, and
     every sentence that another one covers is dropped, whatever else covers it.
     Shorter texts have no run. Rows that share an id are one document. A null id or text takes no part.
