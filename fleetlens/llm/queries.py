@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import byte_bpe, decontamination, language_id, lattice, licenses, line_dedup, sentence_spans, superminhash, token_counts, warc
+from fleetlens.llm import byte_bpe, decontamination, language_id, lattice, licenses, line_dedup, sentence_spans, superminhash, token_counts, warc, word_runs
 from fleetlens.session import tune
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -72,9 +72,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = word_runs.find_runs(word_runs.repeat_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = word_runs.longest_first(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    text = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    out = runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_lattice, op3_licenses, op4_language_id, op5_superminhash, op6_byte_bpe, op7_line_dedup, op8_sentence_spans, op9_token_counts, op10_decontamination)
+    for f in (op1_warc, op2_lattice, op3_licenses, op4_language_id, op5_superminhash, op6_byte_bpe, op7_line_dedup, op8_sentence_spans, op9_token_counts, op10_decontamination, op13_word_runs)
 }
 
 ORACLE: dict[str, str] = {}
