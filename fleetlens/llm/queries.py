@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import byte_bpe, decontamination, language_id, lattice, licenses, line_dedup, sentence_spans, superminhash, token_counts, warc, word_runs
+from fleetlens.llm import best_position, byte_bpe, decontamination, language_id, lattice, licenses, line_dedup, sentence_spans, superminhash, token_counts, warc, word_runs
 from fleetlens.session import tune
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -72,6 +72,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_position.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = word_runs.find_runs(word_runs.repeat_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
     best = word_runs.longest_first(F.col("runs"))
@@ -84,7 +88,31 @@ def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_lattice, op3_licenses, op4_language_id, op5_superminhash, op6_byte_bpe, op7_line_dedup, op8_sentence_spans, op9_token_counts, op10_decontamination, op13_word_runs)
+    for f in (op1_warc, op2_lattice, op3_licenses, op4_language_id, op5_superminhash, op6_byte_bpe, op7_line_dedup, op8_sentence_spans, op9_token_counts, op10_decontamination, op12_best_position, op13_word_runs)
 }
 
-ORACLE: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+ORACLE: dict[str, str] = {
+    "op12_best_position": f"""
+with docs as (select row_number() over () as row_no, doc_id, {TERMS} as terms from documents),
+sizes as (select row_no, doc_id, len(terms)::bigint as n from docs),
+facts as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from sizes where n > 0),
+items as (select distinct item_id, unnest({TERMS}) as term from benchmark where item_id is not null),
+held as (
+    select row_no, term, count(*)::bigint as tf from (select row_no, unnest(terms) as term from docs) where term in (select term from items) group by all
+),
+weights as (
+    select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from held, facts group by term
+),
+scored as (
+    select item_id, doc_id, row_no, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::bigint as score
+    from items join held using (term) join weights using (term) join sizes using (row_no), facts
+    where doc_id is not null
+    group by all
+),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50
+""",
+}
