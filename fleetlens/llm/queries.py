@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import best_position, byte_bpe, decontamination, language_id, lattice, licenses, line_dedup, sentence_spans, superminhash, token_counts, warc, word_runs
+from fleetlens.llm import best_position, byte_bpe, decontamination, language_id, lattice, licenses, line_dedup, page_template, sentence_spans, superminhash, token_counts, warc, word_runs
 from fleetlens.session import tune
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -72,6 +72,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_page_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_template.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op12_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_position.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
 
@@ -88,7 +92,7 @@ def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_lattice, op3_licenses, op4_language_id, op5_superminhash, op6_byte_bpe, op7_line_dedup, op8_sentence_spans, op9_token_counts, op10_decontamination, op12_best_position, op13_word_runs)
+    for f in (op1_warc, op2_lattice, op3_licenses, op4_language_id, op5_superminhash, op6_byte_bpe, op7_line_dedup, op8_sentence_spans, op9_token_counts, op10_decontamination, op11_page_template, op12_best_position, op13_word_runs)
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
