@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 1_000_000  # pre-tokens whose ids a worker keeps
+CACHED = 1_000_000  # pre-tokens whose ids a worker keeps; those used since the last million new ones are kept longer
 LONG = 64  # longer pre-tokens, in bytes, aren't kept
 
 
@@ -74,16 +74,89 @@ class ByteBPE:
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left * self.width + right] = rank
+        self.start = [self.pairs.get(a * self.width + b, -1) for a in self.single for b in self.single]  # rank by two bytes
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.table = pa.array([self.bytes.get(k) for k in range(self.width)], pa.large_binary())
+
+    def _merge_short(self, piece: bytes) -> list[int]:
+        """As ``merge``, with a bitmap of positions for a bucket, so that the leftmost one is a find-first-set, too.
+
+        Positions of one rank are taken one after the other until a lower rank turns up.
+        """
+        pair, width, start = self.pairs.get, self.width, self.start
+        n, top, rows, buckets = len(piece), 0, {}, {}
+        ids = [self.single[b] for b in piece]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank_at = [start[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        rank_at.append(-1)
+        for i, rank in enumerate(rank_at):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank] |= 1 << i
+                else:
+                    buckets[rank] = 1 << i
+                    row = rank >> 8
+                    rows[row] = rows.get(row, 0) | 1 << (rank & 255)
+                    top |= 1 << row
+        while top:
+            row = (top & -top).bit_length() - 1
+            bits = rows[row]
+            low = (bits & -bits).bit_length() - 1
+            rank = row << 8 | low
+            places, lower = buckets[rank], False
+            while places and not lower:
+                i = (places & -places).bit_length() - 1
+                places &= places - 1
+                if rank_at[i] != rank:
+                    continue  # the pair has changed since
+                gone = after[i]
+                ids[i], right, rank_at[gone] = rank, after[gone], -1
+                after[i], left = right, before[i]
+                now = -1
+                if right < n:
+                    before[right] = i
+                    now = pair(rank * width + ids[right], -1)
+                rank_at[i] = now
+                at = i
+                while True:
+                    if now == rank:
+                        places |= 1 << at
+                    elif now >= 0:
+                        if now in buckets:
+                            buckets[now] |= 1 << at
+                        else:
+                            buckets[now] = 1 << at
+                            rows[now >> 8] = rows.get(now >> 8, 0) | 1 << (now & 255)
+                            top |= 1 << (now >> 8)
+                        lower |= now < rank
+                    if left < 0:
+                        break
+                    now = rank_at[left] = pair(ids[left] * width + rank, -1)
+                    at, left = left, -1
+            if places:
+                buckets[rank] = places
+            else:
+                del buckets[rank]
+                rows[row] &= ~(1 << low)
+                if not rows[row]:
+                    top &= ~(1 << row)
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return out
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the lowest rank first, the leftmost of equal ones first."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        if len(piece) <= LONG:
+            return self._merge_short(piece)
         n, pair, width, queue = len(piece), self.pairs.get, self.width, RankQueue()
         push, pop = queue.push, queue.pop
-        numbers = list if n <= LONG else partial(array, "i")  # lists are quicker, arrays take a tenth of the memory
+        numbers = partial(array, "i")  # a tenth of the memory that lists take
         ids = numbers(map(self.single.__getitem__, piece))
         after, before = numbers(range(1, n + 1)), numbers(range(-1, n - 1))
         rank_at = numbers([-1]) * n  # rank of the pair that starts here, -1 if none
@@ -115,13 +188,16 @@ class ByteBPE:
         return out
 
     def _packed(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        ids = self.merge(raw)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(raw) <= LONG:
-            if len(self.kept) >= CACHED:
-                self.kept.clear()
-            self.kept[piece] = packed
+        packed = self.kept.get(piece) or self.older.get(piece)
+        if not packed:
+            raw = piece.encode("utf-8", "surrogatepass")
+            ids = self.merge(raw)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+            if len(raw) > LONG:
+                return packed
+        if len(self.kept) >= CACHED:
+            self.kept, self.older = {}, self.kept
+        self.kept[piece] = packed
         return packed
 
     def encode(self, text: str | None) -> bytes:
@@ -130,7 +206,13 @@ class ByteBPE:
         return b"".join([kept(piece) or self._packed(piece) for piece in self.split(text or "")])
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, memoryview(packed).cast("I")))
+        """Bytes of packed ids, gathered from the vocabulary."""
+        if not packed:
+            return b""
+        found = self.table.take(pa.Array.from_buffers(pa.uint32(), len(packed) // 4, [None, pa.py_buffer(packed)]))
+        if found.null_count:
+            raise KeyError("an id that the vocabulary doesn't have")
+        return b"".join(found.buffers()[2:])
 
 
 @lru_cache(maxsize=4)
@@ -144,8 +226,8 @@ def _encode(path: str, pattern: str, with_ids: bool):
         bpe = encoder(path, pattern)
         for batch in batches:
             counts, digests, decoded, ids = [], [], [], []
-            for text in batch.column(1):
-                packed = bpe.encode(text.as_py())
+            for text in batch.column(1).to_pylist():
+                packed = bpe.encode(text)
                 counts.append(len(packed) // 4)
                 digests.append(hashlib.sha256(packed).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(packed)).hexdigest())

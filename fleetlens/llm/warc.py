@@ -39,13 +39,13 @@ def _record(page_id, url: str | None, html: bytes, refers_to, date: str) -> byte
     digest = hashlib.sha1(html).digest()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + html
-    own = f"urn:page:{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, digest.hex())}"
+    own = f"urn:page:{page_id}:{digest.hex()}" if page_id is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, digest.hex())}"
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{own}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~-._"))
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{b32encode(digest).decode()}"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}:{digest.hex()}>"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -82,7 +82,8 @@ def write_archives(pages: DataFrame, ws: Workspace, folder: str, date: str = "19
     The payload is the html in UTF-8, empty if null. Among equal payloads of at
     least 1000 bytes the largest page_id is the response and the others are
     revisits of it; rows that share the largest id are all responses. A row with a null
-    page_id is a response of its own, as is every smaller payload. A null url leaves the target out.
+    page_id is a response of its own, as is every smaller payload. Rows that share an id but not the payload
+    are pages of their own; a record's id is made of both. A null url leaves the target out.
 
     Every archive starts with a skippable frame that holds the dictionary, trained
     on a bounded sample of the records; every record is a frame of its own.
@@ -98,10 +99,8 @@ def write_archives(pages: DataFrame, ws: Workspace, folder: str, date: str = "19
     drawn = short.select("page_id").distinct().orderBy(F.xxhash64("page_id")).limit(SAMPLES)
     sample = short.join(F.broadcast(drawn), "page_id", "left_semi").select("html").limit(SAMPLES).collect()  # ids may repeat
     dictionary = train_dictionary([r["html"].encode("utf-8", "surrogatepass") for r in sample])
-    rows = pages.join(revisits.withColumnRenamed("digest", "__digest"), "page_id", "left")
-    same = F.col("__digest").isNull() | (F.col("__digest") == F.sha1(payload))
-    one = F.coalesce(same, F.lit(False))
-    rows = rows.select("page_id", "url", "html", F.when(one, F.col("refers_to")).alias("refers_to"))
+    rows = pages.withColumn("digest", F.when(F.length(payload) >= LEAST_REVISIT, F.sha1(payload)))
+    rows = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
     return ws.store(rows.mapInArrow(_write(folder, dictionary, date), MANIFEST), "manifest")
 
 
@@ -128,7 +127,7 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _page(urn: str | None) -> int | None:
-    return int(urn[10:-1]) if urn and urn.startswith("<urn:page:") else None
+    return int(urn[10:-1].partition(":")[0]) if urn and urn.startswith("<urn:page:") else None
 
 
 def _read(folder: str):
@@ -157,8 +156,6 @@ def _read(folder: str):
     return run
 
 
-
-
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """A row per record of the archives in ``manifest``, a task per archive.
 

@@ -40,6 +40,13 @@ def test_repeated_and_null_ids(llm):
     assert run(llm, []) == []
 
 
+def test_repeated_ids_with_different_payloads(llm):
+    a, b = "a" * 1200, "b" * 1200
+    got = run(llm, [(5, "u", a), (5, "u", b), (9, "u", a), (10, "u", b)])
+    digest = {x: hashlib.sha1(x.encode()).hexdigest() for x in (a, b)}
+    assert sorted((r[0], r[1], r[3], r[4]) for r in got) == sorted([(5, "revisit", digest[a], 9), (5, "revisit", digest[b], 10), (9, "response", digest[a], None), (10, "response", digest[b], None)])
+
+
 def test_archive_is_plain_zstd_behind_the_dictionary():
     pages = [f"<html>{k} some words that come back {k % 7}</html>".encode() * 20 for k in range(200)]
     dictionary = warc.train_dictionary(pages)
