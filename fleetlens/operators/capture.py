@@ -20,6 +20,7 @@ KEYFRAME_EVERY = 100
 GAP_S = 600
 CARRY_S = 900
 CYCLES_PER_BUCKET = 86_400
+FRAMES_PER_BUCKET = 1_024
 LINE_CHANGES = 20_000
 
 
@@ -87,9 +88,8 @@ def change_rows(snapshots: DataFrame, cycles: DataFrame, cycle: str = "frame_ts"
         .where("op is not null")
     )
     # a disappearance belongs to the following cycle, unless that is a keyframe or lies beyond the end
-    plain = small(cycles.where("not keyframe").select("cycle_no"))
-    dels = rows.where("op = 'del'").join(plain, "cycle_no", "left_semi")
-    out = rows.where("op <> 'del'").unionByName(dels)
+    plain = small(cycles.where("not keyframe").select("cycle_no", F.lit(True).alias("_plain")))
+    out = rows.join(plain, "cycle_no", "left").where((F.col("op") != "del") | F.col("_plain"))
     sparse = F.struct(
         *[
             (
@@ -114,30 +114,30 @@ def encode_deltas(
 ) -> DataFrame:
     """Frames with new, del and upd lists; an unchanged cycle yields an empty frame.
 
-    A frame of more than ``changes_per_line`` changes is written as several
-    lines with the same t and a growing ``part``, so no task gathers a whole
-    cycle of unlimited size.
+    A frame is one or more lines with the same t and ``part`` from 0. Their number follows from
+    the vehicles of the cycle and of the one before, which bound the changes, so that no task
+    gathers a whole cycle of unlimited size and the changes are derived once.
     """
+    tops = snapshots.groupBy(cycle).agg(F.max("ts").alias("t"), F.count(F.lit(1)).alias("_n"))
+    head = cycles.select(cycle, "cycle_no", "keyframe").join(small(tops), cycle, "left")
+    before = head.select((F.col("cycle_no") + 1).alias("cycle_no"), F.col("_n").alias("_m"))
+    most = F.coalesce("_n", F.lit(0)) + F.coalesce("_m", F.lit(0))
+    head = head.join(before, "cycle_no", "left").withColumn("_parts", F.greatest(F.ceil(most / F.lit(changes_per_line)), F.lit(1)).cast("int"))
     changes = change_rows(snapshots, cycles, cycle)
-    sizes = changes.groupBy("cycle_no").agg(F.count(F.lit(1)).alias("_n"))
-    parts = sizes.select("cycle_no", F.ceil(F.col("_n") / F.lit(changes_per_line)).cast("long").alias("_parts"))
-    tops = snapshots.groupBy(cycle).agg(F.max("ts").alias("t"))
-    placed = changes.join(small(parts), "cycle_no").withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")
-    )
+    placed = changes.join(small(head.select("cycle_no", "_parts")), "cycle_no").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
     listed = lambda op, what: F.array_sort(F.collect_list(F.when(F.col("op") == op, what)))
     lists = placed.groupBy("cycle_no", "part").agg(
         listed("new", F.col("vehicle")).alias("new"),
         listed("del", F.col("id")).alias("del"),
         listed("upd", F.col("vehicle")).alias("upd"),
     )
-    head = cycles.select(cycle, "cycle_no", "keyframe").join(small(tops), cycle, "left")
+    lines = head.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     empty = lambda c, like: F.coalesce(c, F.array().cast(like))
     types = {f.name: f.dataType for f in lists.schema.fields}
-    return head.join(lists, "cycle_no", "left").select(
+    return lines.join(lists, ["cycle_no", "part"], "left").select(
         "cycle_no",
         F.coalesce("t", F.lit(0)).alias("t"),
-        F.coalesce("part", F.lit(0)).alias("part"),
+        "part",
         "keyframe",
         *[empty(F.col(c), types[c]).alias(c) for c in ("new", "del", "upd")],
     )
@@ -153,18 +153,22 @@ def recording(frames: DataFrame, gaps: DataFrame) -> DataFrame:
     return numbered.withColumn("frame_no", F.col("frame_no") - 1).drop("_b", "_rank", "_start")
 
 
-def sample_frames(frames: DataFrame, interval_s: int, per_file: bool = False) -> DataFrame:
+def sample_frames(frames: DataFrame, interval_s: int, per_file: bool = False, clock: DataFrame | None = None) -> DataFrame:
     """frame_no of the frames that yield a snapshot.
 
     Keyframes always do and restart the clock; other frames do when at least
     ``interval_s`` passed since the last one. The clock restarts at every
-    keyframe, so each keyframe interval is walked on its own.
+    keyframe, so each keyframe interval is walked on its own. ``clock`` is a row (last) with
+    the time of the frame kept last before these, for frames ahead of the first keyframe.
     """
-    f = _with_reset(_frames_only(frames), per_file).where("part = 0")
+    light = _frames_only(frames).where("part = 0").select("frame_no", "part", "t", "keyframe", *(["file"] if per_file else []))
+    f = _with_reset(light, per_file, reset_index(frames, per_file))
     walk = F.array_sort(F.collect_list(F.struct("frame_no", "t", F.coalesce("keyframe", F.lit(False)).alias("k"))))
-    start = F.struct(
-        F.lit(0).cast("long").alias("last"), F.expr("cast(array() as array<struct<frame_no:bigint,t:bigint>>)").alias("kept")
-    )
+    begun = F.lit(0).cast("long")
+    if clock is not None:
+        f = f.join(small(clock.select(F.lit(0).cast("long").alias("reset_no"), "last")), "reset_no", "left")
+        begun = F.coalesce(F.max("last"), begun)
+    start = F.struct(begun.alias("last"), F.expr("cast(array() as array<struct<frame_no:bigint,t:bigint>>)").alias("kept"))
     take = lambda acc, x: x["k"] | ((x["t"] - acc["last"]) >= interval_s)
     fold = lambda acc, x: F.when(
         take(acc, x),
@@ -173,23 +177,40 @@ def sample_frames(frames: DataFrame, interval_s: int, per_file: bool = False) ->
             F.concat(acc["kept"], F.array(F.struct(x["frame_no"].alias("frame_no"), x["t"].alias("t")))).alias("kept"),
         ),
     ).otherwise(acc)
-    kept = f.groupBy("reset_no").agg(F.aggregate(walk, start, fold, lambda acc: acc["kept"]).alias("kept"))
+    lists = f.groupBy("reset_no").agg(walk.alias("walk"), start.alias("start"))
+    kept = lists.select("reset_no", F.aggregate("walk", F.col("start"), fold, lambda acc: acc["kept"]).alias("kept"))
     return kept.select("reset_no", F.explode("kept").alias("s")).select("reset_no", "s.frame_no", F.col("s.t").alias("frame_ts"))
 
 
-def _with_reset(frames: DataFrame, per_file: bool = False) -> DataFrame:
-    """reset_no: number of state resets up to and including the frame (parts of a frame share it).
+def reset_index(frames: DataFrame, per_file: bool = False) -> DataFrame:
+    """Keyframe intervals as frame ranges: reset_no, first, last, and the bucket of frames a part of the range lies in.
 
-    A keyframe resets; with ``per_file`` the first frame of a file does too.
+    Only the frames' numbers and marks are read. Interval 0 holds the frames ahead of the first reset.
     """
-    resets = F.coalesce("keyframe", F.lit(False))
-    light = frames.withColumn("_b", bucket(F.col("frame_no"), CYCLES_PER_BUCKET))
+    light = _frames_only(frames)
+    starts = light.where(F.coalesce("keyframe", F.lit(False)) & (F.col("part") == 0)).select("frame_no")
     if per_file:
-        starts = frames.groupBy("file").agg(F.min("frame_no").alias("frame_no")).select("frame_no", F.lit(True).alias("_first"))
-        light = light.join(small(starts), "frame_no", "left")
-        resets = resets | F.coalesce("_first", F.lit(False))
-    light = light.withColumn("_k", F.when(resets & (F.col("part") == 0), 1).otherwise(0))
-    return running_total(light, [], "_b", ["frame_no", "part"], "_k", "reset_no").drop("_b", "_k", "_first")
+        starts = starts.unionByName(light.groupBy("file").agg(F.min("frame_no").alias("frame_no")).select("frame_no"))
+    starts = starts.distinct().withColumn("_b", bucket(F.col("frame_no"), CYCLES_PER_BUCKET))
+    numbered = number_rows(starts, [], "_b", ["frame_no"], "_n").select((F.col("_n") + 1).alias("reset_no"), F.col("frame_no").alias("first"))
+    ends = light.agg(F.min("frame_no").alias("first"), F.max("frame_no").alias("_end")).where("first is not null")
+    every = numbered.unionByName(ends.select(F.lit(0).cast("long").alias("reset_no"), "first"))
+    following = numbered.select((F.col("reset_no") - 1).alias("reset_no"), (F.col("first") - 1).alias("last"))
+    ranges = every.join(following, "reset_no", "left").withColumn("_k", F.lit(0)).join(small(ends.select(F.lit(0).alias("_k"), "_end")), "_k")
+    ranges = ranges.select("reset_no", "first", F.coalesce("last", "_end").alias("last")).where("last >= first")
+    width = F.lit(FRAMES_PER_BUCKET)
+    return ranges.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
+
+
+def _with_reset(frames: DataFrame, per_file: bool = False, index: DataFrame | None = None) -> DataFrame:
+    """reset_no: number of state resets up to and including the frame (parts of a frame share it).
+
+    A keyframe resets; with ``per_file`` the first frame of a file does too. Frames look their interval up in
+    the index, so that what they carry is neither ordered nor moved.
+    """
+    index = small(reset_index(frames, per_file) if index is None else index)
+    inside = (F.floor(F.col("frame_no") / FRAMES_PER_BUCKET) == F.col("bucket")) & F.col("frame_no").between(F.col("first"), F.col("last"))
+    return frames.join(index, inside).drop("bucket", "first", "last")
 
 
 def _frames_only(frames: DataFrame) -> DataFrame:
@@ -200,16 +221,15 @@ def _frames_only(frames: DataFrame) -> DataFrame:
 def change_events(frames: DataFrame, per_file: bool = False) -> DataFrame:
     """(reset_no, frame_no, _step, op, id, vehicle): additions, then removals, then updates of a frame."""
     f = _with_reset(_frames_only(frames), per_file)
-    base = ["reset_no", "frame_no"]
-    adds = f.select(*base, F.lit(0).alias("_step"), F.lit("new").alias("op"), F.explode("new").alias("vehicle"))
-    ups = f.where("not coalesce(keyframe, false)").select(
-        *base, F.lit(2).alias("_step"), F.lit("upd").alias("op"), F.explode("upd").alias("vehicle")
-    )
-    dels = f.where("not coalesce(keyframe, false)").select(
-        *base, F.lit(1).alias("_step"), F.lit("del").alias("op"), F.explode("del").alias("id")
-    )
-    placed = adds.unionByName(ups).withColumn("id", F.col("vehicle.id"))
-    return placed.unionByName(dels, allowMissingColumns=True)
+    vehicle = f.schema["new"].dataType.elementType
+    row = lambda step, op, id_, v: F.struct(F.lit(step).alias("_step"), F.lit(op).alias("op"), id_.alias("id"), v.cast(vehicle).alias("vehicle"))
+    adds = F.transform("new", lambda v: row(0, "new", v["id"], v))
+    dels = F.transform("del", lambda v: row(1, "del", v, F.lit(None)))
+    ups = F.transform("upd", lambda v: row(2, "upd", v["id"], v))
+    none = F.array().cast("array<struct<_step:int,op:string,id:string,vehicle:" + vehicle.simpleString() + ">>")
+    plain = ~F.coalesce("keyframe", F.lit(False))
+    parts = [F.coalesce(adds, none)] + [F.when(plain, F.coalesce(x, none)).otherwise(none) for x in (dels, ups)]
+    return f.select("reset_no", "frame_no", F.explode(F.concat(*parts)).alias("e")).select("reset_no", "frame_no", "e._step", "e.op", "e.id", "e.vehicle")
 
 
 def keep_lines(events: DataFrame, label_map: DataFrame, lines: list[str]) -> DataFrame:
@@ -269,24 +289,45 @@ def replay(
     events = change_events(frames, per_file)
     if lines is not None:
         events = keep_lines(events, label_map, lines)
-    lives = vehicle_lives(events).where("to_frame is null or to_frame > from_frame")
-    kept = sample_frames(frames, interval_s, per_file)
+    return _at_frames(vehicle_lives(events), sample_frames(frames, interval_s, per_file))
+
+
+def _at_frames(lives: DataFrame, kept: DataFrame) -> DataFrame:
+    """The vehicles alive in each kept frame, with what is known of them by then."""
+    lives = lives.where("to_frame is null or to_frame > from_frame")
     # a reset holds at most the frames between two keyframes; the list is bounded by their spacing
     ticks = kept.groupBy("reset_no").agg(F.array_sort(F.collect_list(F.struct("frame_no", "frame_ts"))).alias("_ticks"))
     inside = F.filter(
         "_ticks",
         lambda k: (k["frame_no"] >= F.col("from_frame")) & (F.col("to_frame").isNull() | (k["frame_no"] < F.col("to_frame"))),
     )
-    return (
-        lives.join(small(ticks), "reset_no")
-        .withColumn("_k", F.explode(inside))
-        .select(
-            F.col("_k.frame_no").alias("frame_no"),
-            F.col("_k.frame_ts").alias("frame_ts"),
-            "id",
-            *[F.col(c) for c in events.schema["vehicle"].dataType.names if c != "id"],
-        )
-    )
+    fields = [c for c in lives.columns if c not in ("reset_no", "id", "from_frame", "to_frame")]
+    placed = lives.join(small(ticks), "reset_no").withColumn("_k", F.explode(inside))
+    return placed.select(F.col("_k.frame_no").alias("frame_no"), F.col("_k.frame_ts").alias("frame_ts"), "id", *fields)
+
+
+def replay_step(frames: DataFrame, interval_s: int, fleet: DataFrame | None, clock: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(snapshots, fleet, clock): frames that may begin anywhere, replayed on from the state that earlier ones left.
+
+    ``fleet`` holds the vehicles alive (id and fields), one row each; ``clock`` one row (last) with the time of the frame kept
+    last. Both are None at the start. The fleet enters as additions ahead of the first frame, in interval 0, which a
+    keyframe among these frames ends like any other. Without frames the state stays as it is.
+    """
+    f = _frames_only(frames)
+    events = change_events(frames)
+    kind = events.schema["vehicle"].dataType
+    if fleet is not None:
+        vehicle = F.struct(*[F.col(c).cast(kind[c].dataType).alias(c) for c in kind.names])
+        old = fleet.select(F.lit(0).cast("long").alias("reset_no"), F.lit(-1).cast("long").alias("frame_no"), F.lit(0).alias("_step"), F.lit("new").alias("op"), "id", vehicle.alias("vehicle"))
+        events = events.unionByName(old)
+    lives = vehicle_lives(events)
+    kept = sample_frames(frames, interval_s, clock=clock)
+    newest = reset_index(f).agg(F.coalesce(F.max("reset_no"), F.lit(0)).alias("reset_no"))
+    alive = lives.where("to_frame is null").join(small(newest), "reset_no", "left_semi").select("id", *[c for c in kind.names if c != "id"])
+    times = kept.select(F.col("frame_no"), F.col("frame_ts").alias("last"))
+    if clock is not None:
+        times = times.unionByName(clock.select(F.lit(-1).cast("long").alias("frame_no"), "last"))
+    return _at_frames(lives, kept), alive, times.agg(F.max_by("last", "frame_no").alias("last"))
 
 
 def observations(snapshots: DataFrame, dedupe: bool = True) -> DataFrame:
