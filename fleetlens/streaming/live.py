@@ -2,15 +2,18 @@
 
 State that spans micro-batches is a versioned table on shared storage: batch n
 reads version n-1 and writes version n, so a batch repeated after a failure
-starts from the same state and overwrites its own output. The per-batch work is
-the batch operator itself, distributed as usual.
+starts from the same state and overwrites its own output. Version n-2 is then
+removed. The per-batch work is the batch operator itself, distributed as usual.
+
+A feed is a sequence of cycles, each with all vehicles in sight. What is kept of a
+vehicle leaves with the first cycle that doesn't list it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,6 +24,7 @@ from fleetlens.operators.scale import small
 HISTORY = 10
 HISTORY_S = 300
 PREDICTION_TTL_S = 600
+SEEN_S = 86_400
 
 
 class Versions:
@@ -38,8 +42,22 @@ class Versions:
     def write(self, state: DataFrame, batch_id: int) -> DataFrame:
         path = f"{self.root}/v={batch_id}"
         state.write.mode("overwrite").parquet(path)
+        self._remove(state.sparkSession, batch_id - 2)  # the last batch may be repeated, the ones before it are committed
         return state.sparkSession.read.parquet(path)
 
+    def _remove(self, spark: SparkSession, version: int) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v={version}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def numbers(self, spark: SparkSession) -> list[int]:
+        """Versions that are there, in order."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        return sorted(int(f.getPath().getName()[2:]) for f in found if f.getPath().getName().startswith("v="))
+
+    def newest(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.root}/v={self.numbers(spark)[-1]}")
+
 
 def _write_batch(rows: DataFrame, out: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
@@ -107,16 +125,28 @@ def stream_gaps(stream: DataFrame, out: str, state: str, checkpoint: str, gap_s:
     return _start(stream, each, checkpoint, once)
 
 
-def stream_latest(stream: DataFrame, out: str, checkpoint: str, order: list[str], once: bool = True) -> StreamingQuery:
-    """Latest row per vehicle, kept by Spark's own streaming aggregation and rewritten each batch."""
-    rest = [c for c in stream.columns if c != "vehicle_id"]
-    latest = stream.groupBy("vehicle_id").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("v"))
+def live_fleet(rows: DataFrame, order: list[str], cycle: str = "frame_ts", vehicle: str = "vehicle_id") -> DataFrame:
+    """The vehicles of the newest cycle, one row each: the last by ``order``."""
+    newest = rows.agg(F.max(cycle).alias(cycle))
+    now = rows.join(small(newest), cycle, "left_semi")
+    rest = [c for c in rows.columns if c != vehicle]
+    return now.groupBy(vehicle).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("v")).select(vehicle, "v.*").select(*rows.columns)
+
+
+def refresh_fleet(batch: DataFrame, batch_id: int, state: Versions, order: list[str], cycle: str = "frame_ts") -> DataFrame:
+    """The cache after a batch. The state is the newest cycle, so a vehicle it doesn't list is gone, and a late cycle changes nothing."""
+    last = state.before(batch, batch_id)
+    return state.write(live_fleet(batch if last is None else last.unionByName(batch), order, cycle), batch_id)
+
+
+def stream_latest(stream: DataFrame, out: str, state: str, checkpoint: str, order: list[str], once: bool = True, cycle: str = "frame_ts") -> StreamingQuery:
+    """Latest row of every vehicle in sight, rewritten with each batch."""
+    versions = Versions(state)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch.select("vehicle_id", "v.*"), out, batch_id)
+        _write_batch(refresh_fleet(batch, batch_id, versions, order, cycle), out, batch_id)
 
-    writer = latest.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
+    return _start(stream, each, checkpoint, once)
 
 
 def recent_positions(rows: DataFrame, k: int = HISTORY, window_s: int = HISTORY_S, tie: str = "event_id") -> DataFrame:
@@ -138,52 +168,61 @@ def stream_history(stream: DataFrame, state: str, checkpoint: str, k: int = HIST
     return _start(stream, each, checkpoint, once)
 
 
-def stream_replay(stream: DataFrame, out: str, checkpoint: str, interval_s: int = 300, once: bool = True) -> StreamingQuery:
-    """Frames arriving by file (whole keyframe intervals per batch) replayed into observations."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(capture.observations(capture.replay(batch, interval_s)), out, batch_id)
+def replay_batch(batch: DataFrame, batch_id: int, out: str, state: str, interval_s: int = 300, keep_s: int = SEEN_S) -> None:
+    """Replay one batch of frames on from what the batches before it left, and write its observations.
 
-    return _start(stream, each, checkpoint, once)
+    Three tables are carried, each a row per vehicle at most: the vehicles alive with all that is known of them, the clock of the
+    sampling, and the time each vehicle was last reported with, for a vehicle that stands still is reported
+    once. The last is forgotten ``keep_s`` after.
+    """
+    fleet, clock, seen = (Versions(f"{state.rstrip('/')}/{n}") for n in ("fleet", "clock", "seen"))
+    reported = seen.before(batch, batch_id)
+    snapshots, alive, last = capture.replay_step(batch, interval_s, fleet.before(batch, batch_id), clock.before(batch, batch_id))
+    fresh = capture.observations(snapshots)
+    if reported is not None:
+        fresh = fresh.join(reported.select("vehicle_id", "ts"), ["vehicle_id", "ts"], "left_anti")
+    _write_batch(fresh, out, batch_id)
+    done = batch.sparkSession.read.parquet(f"{out.rstrip('/')}/batch={batch_id}").select("vehicle_id", "ts", "frame_ts")
+    fleet.write(alive, batch_id)
+    clock.write(last, batch_id)
+    every = done if reported is None else done.unionByName(reported)
+    newest = every.groupBy("vehicle_id").agg(F.max_by(F.struct("ts", "frame_ts"), F.struct("frame_ts", "ts")).alias("o")).select("vehicle_id", "o.*")
+    now = every.agg(F.max("frame_ts").alias("_now")).withColumn("_k", F.lit(0))
+    kept = newest.withColumn("_k", F.lit(0)).join(small(now), "_k").where(F.col("_now") - F.col("frame_ts") <= keep_s)
+    seen.write(kept.select("vehicle_id", "ts", "frame_ts"), batch_id)
+
+
+def stream_replay(stream: DataFrame, out: str, state: str, checkpoint: str, interval_s: int = 300, once: bool = True, keep_s: int = SEEN_S) -> StreamingQuery:
+    """Frames replayed into observations as they arrive. A batch may begin and end anywhere, also inside a keyframe interval."""
+    return _start(stream, lambda batch, batch_id: replay_batch(batch, batch_id, out, state, interval_s, keep_s), checkpoint, once)
 
 
 def stream_arrivals(
     stream: DataFrame, requests: DataFrame, shapes: DataFrame, paths: DataFrame, lookup: DataFrame, out: str, state: str, checkpoint: str,
-    now: int | None = None, once: bool = True,
+    now: int | None = None, once: bool = True, order: list[str] | None = None, cycle: str = "frame_ts",
 ) -> StreamingQuery:
-    """Arrival board over the latest positions, renewed with every batch."""
+    """Arrival board over the vehicles in sight, renewed with every batch."""
     versions = Versions(state)
-    rest = [c for c in stream.columns if c != "vehicle_id"]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        last = versions.before(batch, batch_id)
-        rows = batch if last is None else last.unionByName(batch)
-        latest = rows.groupBy("vehicle_id").agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("v")).select("vehicle_id", "v.*")
-        live = versions.write(latest.select(*stream.columns), batch_id)
+        live = refresh_fleet(batch, batch_id, versions, order or ["ts"], cycle)
         at = now if now is not None else int(live.agg(F.max("ts")).first()[0] or 0)
         _write_batch(arrival_board(requests, live, shapes, paths, lookup, at), out, batch_id)
 
     return _start(stream, each, checkpoint, once)
 
 
-def stream_predictions(stream: DataFrame, state: str, checkpoint: str, ttl_s: int = PREDICTION_TTL_S, once: bool = True, tie: str = "event_id") -> StreamingQuery:
-    """Latest prediction per vehicle; dropped when older than ``ttl_s`` against the newest one seen."""
+def stream_predictions(stream: DataFrame, out: str, state: str, checkpoint: str, ttl_s: int = PREDICTION_TTL_S, once: bool = True, order: list[str] | None = None, cycle: str = "frame_ts") -> StreamingQuery:
+    """Predictions in force after each batch: of vehicles in sight, and no more than ``ttl_s`` older than the newest cycle."""
     versions = Versions(state)
-    rest = [c for c in stream.columns if c != "vehicle_id"]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        last = versions.before(batch, batch_id)
-        rows = batch if last is None else last.unionByName(batch)
-        latest = rows.groupBy("vehicle_id").agg(F.max_by(F.struct(*rest), F.struct("ts", tie)).alias("v")).select("vehicle_id", "v.*")
-        clock = rows.agg(F.max("ts").alias("_now")).withColumn("_k", F.lit(0))
-        kept = latest.withColumn("_k", F.lit(0)).join(small(clock), "_k").where(F.col("_now") - F.col("ts") <= ttl_s).select(*stream.columns)
-        versions.write(kept, batch_id)
+        live = refresh_fleet(batch, batch_id, versions, order or ["ts"], cycle)
+        _write_batch(live.where(F.col(cycle) - F.col("ts") <= ttl_s), out, batch_id)
 
     return _start(stream, each, checkpoint, once)
 
 
-def newest_version(spark, root: str) -> DataFrame:
-    """The last state version: partition discovery adds v, the largest one is read."""
-    every = spark.read.parquet(root)
-    last = every.agg(F.max("v").alias("v"))
-    return every.join(small(last), "v", "left_semi").drop("v")
+def newest_version(spark: SparkSession, root: str) -> DataFrame:
+    """The last state version; only its folder is read."""
+    return Versions(root).newest(spark)
