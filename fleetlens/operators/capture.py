@@ -9,6 +9,8 @@ by the keyframe spacing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,7 +155,7 @@ def recording(frames: DataFrame, gaps: DataFrame) -> DataFrame:
     return numbered.withColumn("frame_no", F.col("frame_no") - 1).drop("_b", "_rank", "_start")
 
 
-def sample_frames(frames: DataFrame, interval_s: int, per_file: bool = False, clock: DataFrame | None = None) -> DataFrame:
+def sample_frames(frames: DataFrame, interval_s: int, per_file: bool = False, clock: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """frame_no of the frames that yield a snapshot.
 
     Keyframes always do and restart the clock; other frames do when at least
@@ -162,7 +164,7 @@ def sample_frames(frames: DataFrame, interval_s: int, per_file: bool = False, cl
     the time of the frame kept last before these, for frames ahead of the first keyframe.
     """
     light = _frames_only(frames).where("part = 0").select("frame_no", "part", "t", "keyframe", *(["file"] if per_file else []))
-    f = _with_reset(light, per_file, reset_index(frames, per_file))
+    f = _with_reset(light, per_file, reset_index(frames, per_file) if index is None else index)
     walk = F.array_sort(F.collect_list(F.struct("frame_no", "t", F.coalesce("keyframe", F.lit(False)).alias("k"))))
     begun = F.lit(0).cast("long")
     if clock is not None:
@@ -218,9 +220,9 @@ def _frames_only(frames: DataFrame) -> DataFrame:
     return kept.withColumn("part", F.coalesce("part", F.lit(0))) if "part" in kept.columns else kept.withColumn("part", F.lit(0))
 
 
-def change_events(frames: DataFrame, per_file: bool = False) -> DataFrame:
+def change_events(frames: DataFrame, per_file: bool = False, index: DataFrame | None = None) -> DataFrame:
     """(reset_no, frame_no, _step, op, id, vehicle): additions, then removals, then updates of a frame."""
-    f = _with_reset(_frames_only(frames), per_file)
+    f = _with_reset(_frames_only(frames), per_file, index)
     vehicle = f.schema["new"].dataType.elementType
     row = lambda step, op, id_, v: F.struct(F.lit(step).alias("_step"), F.lit(op).alias("op"), id_.alias("id"), v.cast(vehicle).alias("vehicle"))
     adds = F.transform("new", lambda v: row(0, "new", v["id"], v))
@@ -306,25 +308,28 @@ def _at_frames(lives: DataFrame, kept: DataFrame) -> DataFrame:
     return placed.select(F.col("_k.frame_no").alias("frame_no"), F.col("_k.frame_ts").alias("frame_ts"), "id", *fields)
 
 
-def replay_step(frames: DataFrame, interval_s: int, fleet: DataFrame | None, clock: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def replay_step(
+    frames: DataFrame, interval_s: int, fleet: DataFrame | None, clock: DataFrame | None, hold: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(snapshots, fleet, clock): frames that may begin anywhere, replayed on from the state that earlier ones left.
 
     ``fleet`` holds the vehicles alive (id and fields), one row each; ``clock`` one row (last) with the time of the frame kept
     last. Both are None at the start. The fleet enters as additions ahead of the first frame, in interval 0, which a
-    keyframe among these frames ends like any other. Without frames the state stays as it is.
+    keyframe among these frames ends like any other. Without frames the state stays as it is. ``hold`` may keep
+    what is read several times.
     """
-    f = _frames_only(frames)
-    events = change_events(frames)
+    index = hold(reset_index(frames))
+    events = change_events(frames, index=index)
     kind = events.schema["vehicle"].dataType
     if fleet is not None:
         vehicle = F.struct(*[F.col(c).cast(kind[c].dataType).alias(c) for c in kind.names])
         old = fleet.select(F.lit(0).cast("long").alias("reset_no"), F.lit(-1).cast("long").alias("frame_no"), F.lit(0).alias("_step"), F.lit("new").alias("op"), "id", vehicle.alias("vehicle"))
         events = events.unionByName(old)
-    lives = vehicle_lives(events)
-    kept = sample_frames(frames, interval_s, clock=clock)
-    newest = reset_index(f).agg(F.coalesce(F.max("reset_no"), F.lit(0)).alias("reset_no"))
+    lives = hold(vehicle_lives(events))
+    kept = hold(sample_frames(frames, interval_s, clock=clock, index=index))
+    newest = index.agg(F.coalesce(F.max("reset_no"), F.lit(0)).alias("reset_no"))
     alive = lives.where("to_frame is null").join(small(newest), "reset_no", "left_semi").select("id", *[c for c in kind.names if c != "id"])
-    times = kept.select(F.col("frame_no"), F.col("frame_ts").alias("last"))
+    times = kept.select("frame_no", F.col("frame_ts").alias("last"))
     if clock is not None:
         times = times.unionByName(clock.select(F.lit(-1).cast("long").alias("frame_no"), "last"))
     return _at_frames(lives, kept), alive, times.agg(F.max_by("last", "frame_no").alias("last"))

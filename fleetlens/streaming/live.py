@@ -176,15 +176,24 @@ def replay_batch(batch: DataFrame, batch_id: int, out: str, state: str, interval
     once. The last is forgotten ``keep_s`` after.
     """
     fleet, clock, seen = (Versions(f"{state.rstrip('/')}/{n}") for n in ("fleet", "clock", "seen"))
-    reported = seen.before(batch, batch_id)
-    snapshots, alive, last = capture.replay_step(batch, interval_s, fleet.before(batch, batch_id), clock.before(batch, batch_id))
-    fresh = capture.observations(snapshots)
-    if reported is not None:
-        fresh = fresh.join(reported.select("vehicle_id", "ts"), ["vehicle_id", "ts"], "left_anti")
-    _write_batch(fresh, out, batch_id)
+    reported, held = seen.before(batch, batch_id), []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist())  # a lost block is derived again
+        return held[-1]
+
+    try:
+        snapshots, alive, last = capture.replay_step(batch, interval_s, fleet.before(batch, batch_id), clock.before(batch, batch_id), hold)
+        fresh = capture.observations(snapshots)
+        if reported is not None:
+            fresh = fresh.join(reported.select("vehicle_id", "ts"), ["vehicle_id", "ts"], "left_anti")
+        _write_batch(fresh, out, batch_id)
+        fleet.write(alive, batch_id)
+        clock.write(last, batch_id)
+    finally:
+        for df in held:
+            df.unpersist()
     done = batch.sparkSession.read.parquet(f"{out.rstrip('/')}/batch={batch_id}").select("vehicle_id", "ts", "frame_ts")
-    fleet.write(alive, batch_id)
-    clock.write(last, batch_id)
     every = done if reported is None else done.unionByName(reported)
     newest = every.groupBy("vehicle_id").agg(F.max_by(F.struct("ts", "frame_ts"), F.struct("frame_ts", "ts")).alias("o")).select("vehicle_id", "o.*")
     now = every.agg(F.max("frame_ts").alias("_now")).withColumn("_k", F.lit(0))
