@@ -20,6 +20,7 @@ COVERAGE_GAP = 0.15
 SHORT_TURN_MARGIN = 0.05
 MIN_TRIPS = 3
 RETIRE_DAYS = 7
+FIRST_WAVE = 8
 
 ROUTE = ["line", "route_id"]
 
@@ -135,7 +136,7 @@ SPREAD_WIDTH = 5.0
 def _measures(proj: DataFrame) -> DataFrame:
     """Distance along and offset as (measure, value) rows, so that one quantile pass serves both."""
     pair = lambda name: F.struct(F.lit(name).alias("measure"), F.col(name).alias("value"))
-    keys = [c for c in proj.columns if c in (*BY_SHAPE, "trip_day")]
+    keys = [c for c in proj.columns if c in (*BY_SHAPE, "trip_day", "day_no")]
     return proj.select(*keys, F.inline(F.array(pair("along_m"), pair("offset_m"))))
 
 
@@ -305,13 +306,15 @@ def resolve_lifecycle(
     """Branch map over a recording: each route's branch at the first day its evidence suffices.
 
     Evidence starts on the day after a route is first seen and ends at its
-    retirement. Every (route, day with new evidence) is judged from cumulated
-    counters and histograms in one job; the earliest success counts. ``points``
+    retirement. Days with new evidence are judged in waves, the first 8 of a route that has
+    trips enough, then the next 24, the next 96 and so on, each only for routes still open; the
+    earliest success counts. A wave adds up the days before it at once, so no day after a route's resolution
+    is judged beyond its wave and the rows read stay below 4/3 of the evidence. ``points``
     are trip points; ``days`` holds trip_day and day_no; ``store`` writes an
     intermediate table to shared storage.
     """
-    trips = trip_days(points)
-    spans = pending_spans(trips, days, retire_days)
+    trips = store(trip_days(points), "trip-days")
+    spans = store(pending_spans(trips, days, retire_days), "spans")
     calendar = days.select("trip_day", "day_no")
     dated = trips.join(small(calendar), "trip_day")
     openings = (
@@ -328,32 +331,19 @@ def resolve_lifecycle(
     ).withColumnRenamed("day_no", "trip_day")
     proj = store(candidate_projection(keyed, openings, cands, tol, contained_m), "evidence")
 
-    upto = Window.orderBy("day_no").rowsBetween(Window.unboundedPreceding, 0)
     daily = used.groupBy(*ROUTE, "day_no").agg(F.count(F.lit(1)).alias("_t"), F.sum("n_points").alias("_p"))
-    by_route = upto.partitionBy(*ROUTE)
-    evidence = daily.select(*ROUTE, "day_no", F.sum("_t").over(by_route).alias("n_trips"), F.sum("_p").over(by_route).alias("n_points")).join(openings, ROUTE)
-
-    counters = proj.groupBy(*BY_SHAPE, F.col("trip_day").alias("day_no")).agg(
-        F.sum("vote").alias("_v"), F.sum("contained").alias("_c"), F.count(F.lit(1)).alias("_n")
-    )
-    by_shape = upto.partitionBy(*BY_SHAPE)
-    plain = counters.select(
-        *BY_SHAPE,
-        "day_no",
-        (F.sum("_v").over(by_shape) / F.sum("_n").over(by_shape)).alias("vote_frac"),
-        (F.sum("_c").over(by_shape) / F.sum("_n").over(by_shape)).alias("containment"),
-    )
-    q = exact_quantiles_by_day(_measures(proj), [*BY_SHAPE, "measure"], "trip_day", "value", SPREAD, width=SPREAD_WIDTH)
-    by_day = [*BY_SHAPE, "day_no"]
-    spread = _spread(q.withColumnRenamed("trip_day", "day_no"), by_day, branch_lengths(cands))
-    scores = plain.join(spread, by_day).join(small(branch_table(cands).drop("direction_id")), ["line", "shape_key"])
-    verdicts = resolve_routes(evidence, scores, cands, [*ROUTE, "day_no"], **thresholds)
-    solved = (
-        verdicts.where("status = 'resolved'")
-        .groupBy(*ROUTE)
-        .agg(F.min_by(F.struct(F.col("day_no").alias("resolved_no"), "shape_key", "short_name", "shape_id", "name", "confidence", "method", "assignment_type"), "day_no").alias("s"))
-        .select(*ROUTE, "s.*")
-    )
+    by_route = Window.partitionBy(*ROUTE).orderBy("day_no").rowsBetween(Window.unboundedPreceding, 0)
+    evidence = daily.select(*ROUTE, "day_no", F.sum("_t").over(by_route).alias("n_trips"), F.sum("_p").over(by_route).alias("n_points"))
+    evidence = evidence.where(F.col("n_trips") >= thresholds.get("min_trips", MIN_TRIPS)).withColumn("_turn", F.row_number().over(by_route))
+    evidence = store(evidence.join(openings, ROUTE), "turns")
+
+    solved, low, high = None, 1, FIRST_WAVE
+    still_open = evidence
+    while solved is None or not still_open.isEmpty():
+        found = store(_first_success(proj, still_open.where(F.col("_turn") <= high).drop("_turn"), cands, thresholds), "solved")
+        solved = found if solved is None else solved.unionByName(found)
+        low, high = high + 1, 4 * high
+        still_open = evidence.where(F.col("_turn") >= low).join(solved.select(*ROUTE), ROUTE, "left_anti")
     name_of = lambda c: small(days.select(F.col("day_no").alias(f"{c}_no"), F.col("trip_day").alias(c)))
     out = (
         spans.join(openings, ROUTE)
@@ -372,6 +362,28 @@ def resolve_lifecycle(
     )
 
 
+def _first_success(proj: DataFrame, wave: DataFrame, cands: DataFrame, thresholds: dict) -> DataFrame:
+    """Routes resolved on a day of ``wave`` (route and day_no with the evidence up to it), judged on everything up to that day."""
+    span = wave.groupBy(*ROUTE).agg(F.min("day_no").alias("_first"), F.max("day_no").alias("_last"))
+    rows = proj.join(small(span), ROUTE).where("trip_day <= _last")
+    rows = rows.withColumn("day_no", F.greatest("trip_day", "_first")).drop("trip_day", "_first", "_last")
+    counters = rows.groupBy(*BY_SHAPE, "day_no").agg(F.sum("vote").alias("_v"), F.sum("contained").alias("_c"), F.count(F.lit(1)).alias("_n"))
+    by_shape = Window.partitionBy(*BY_SHAPE).orderBy("day_no").rowsBetween(Window.unboundedPreceding, 0)
+    plain = counters.select(
+        *BY_SHAPE,
+        "day_no",
+        (F.sum("_v").over(by_shape) / F.sum("_n").over(by_shape)).alias("vote_frac"),
+        (F.sum("_c").over(by_shape) / F.sum("_n").over(by_shape)).alias("containment"),
+    )
+    q = exact_quantiles_by_day(_measures(rows), [*BY_SHAPE, "measure"], "day_no", "value", SPREAD, width=SPREAD_WIDTH)
+    by_day = [*BY_SHAPE, "day_no"]
+    spread = _spread(q, by_day, branch_lengths(cands))
+    scores = plain.join(spread, by_day).join(small(branch_table(cands).drop("direction_id")), ["line", "shape_key"])
+    verdicts = resolve_routes(wave, scores, cands, [*ROUTE, "day_no"], **thresholds)
+    first = F.min_by(F.struct(F.col("day_no").alias("resolved_no"), "shape_key", "short_name", "shape_id", "name", "confidence", "method", "assignment_type"), "day_no")
+    return verdicts.where("status = 'resolved'").groupBy(*ROUTE).agg(first.alias("s")).select(*ROUTE, "s.*")
+
+
 def resolution_summary(result: DataFrame, cands: DataFrame) -> DataFrame:
     """Long report: totals, resolved per branch and method, pending per reason, branches without a route."""
     totals = result.groupBy("line").agg(
