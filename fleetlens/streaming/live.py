@@ -11,7 +11,8 @@ vehicle leaves with the first cycle that doesn't list it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,6 +64,22 @@ def _write_batch(rows: DataFrame, out: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
 
 
+@contextmanager
+def holding() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Keep tables that a batch reads several times until it is done; a lost block is derived again."""
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return held[-1]
+
+    try:
+        yield hold
+    finally:
+        for df in held:
+            df.unpersist()
+
+
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
     def run(batch: DataFrame, batch_id: int) -> None:
         # a batch is read several times; a lost block is read again from the source
@@ -176,13 +193,8 @@ def replay_batch(batch: DataFrame, batch_id: int, out: str, state: str, interval
     once. The last is forgotten ``keep_s`` after.
     """
     fleet, clock, seen = (Versions(f"{state.rstrip('/')}/{n}") for n in ("fleet", "clock", "seen"))
-    reported, held = seen.before(batch, batch_id), []
-
-    def hold(df: DataFrame) -> DataFrame:
-        held.append(df.persist())  # a lost block is derived again
-        return held[-1]
-
-    try:
+    reported = seen.before(batch, batch_id)
+    with holding() as hold:
         snapshots, alive, last = capture.replay_step(batch, interval_s, fleet.before(batch, batch_id), clock.before(batch, batch_id), hold)
         fresh = capture.observations(snapshots)
         if reported is not None:
@@ -190,9 +202,6 @@ def replay_batch(batch: DataFrame, batch_id: int, out: str, state: str, interval
         _write_batch(fresh, out, batch_id)
         fleet.write(alive, batch_id)
         clock.write(last, batch_id)
-    finally:
-        for df in held:
-            df.unpersist()
     done = batch.sparkSession.read.parquet(f"{out.rstrip('/')}/batch={batch_id}").select("vehicle_id", "ts", "frame_ts")
     every = done if reported is None else done.unionByName(reported)
     newest = every.groupBy("vehicle_id").agg(F.max_by(F.struct("ts", "frame_ts"), F.struct("frame_ts", "ts")).alias("o")).select("vehicle_id", "o.*")
@@ -216,7 +225,8 @@ def stream_arrivals(
     def each(batch: DataFrame, batch_id: int) -> None:
         live = refresh_fleet(batch, batch_id, versions, order or ["ts"], cycle)
         at = now if now is not None else int(live.agg(F.max("ts")).first()[0] or 0)
-        _write_batch(arrival_board(requests, live, shapes, paths, lookup, at), out, batch_id)
+        with holding() as hold:
+            _write_batch(arrival_board(requests, live, shapes, paths, lookup, at, hold=hold), out, batch_id)
 
     return _start(stream, each, checkpoint, once)
 
