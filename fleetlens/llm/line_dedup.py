@@ -12,6 +12,7 @@ from fleetlens.llm.workspace import Workspace
 
 SIZE = 8  # characters in a shingle
 BANDS, ROWS = 12, 3
+GROUP = 3  # bands whose keys are shuffled together
 SAMPLE = 32  # a signature is taken of SAMPLE to 2 * SAMPLE shingles, chosen by their hash
 MARGIN = 1.3  # lines whose counts of different shingles differ by less have a sampling level in common
 # Fixed random words, one a band. The shingle whose hash is nearest to a word in XOR distance is the
@@ -53,7 +54,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, h1, h2, bands) per line and sampling level.
+    """(doc_id, line_no, h1, h2, n, bands) per line and sampling level; n counts its different shingles.
 
     A line takes the level of its count of different shingles and that of a count 1.3 times
     as large. Counts of lines of similarity 0.8 differ by 1.25 at most, so these have a level in common.
@@ -61,14 +62,14 @@ def _signatures(lines: DataFrame) -> DataFrame:
     """
     sets = lines.select("doc_id", "line_no", "h1", "h2", _shingles(F.col("line")).alias("set")).withColumn("n", F.size("set"))
     levels = F.array_distinct(F.array(_level(F.col("n")), _level(F.col("n") * MARGIN)))
-    each = sets.select("doc_id", "line_no", "h1", "h2", "set", F.explode(levels).alias("level"))
-    each = each.select("doc_id", "line_no", "level", "h1", "h2", F.posexplode("set").alias("i", "h"))
+    each = sets.select("doc_id", "line_no", "h1", "h2", "n", "set", F.explode(levels).alias("level"))
+    each = each.select("doc_id", "line_no", "level", "h1", "h2", "n", F.posexplode("set").alias("i", "h"))
     each = each.where("(h & (shiftleft(1L, level) - 1)) = 0 or i = 0")
     rows = [F.xxhash64("h", F.lit(k)) for k in range(ROWS)]
     low = [F.min(rows[k].bitwiseXOR(F.lit(p))).alias(f"m{b}_{k}") for b, p in enumerate(PROBES) for k in range(ROWS)]
-    signed = each.groupBy("doc_id", "line_no", "level").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), *low)
+    signed = each.groupBy("doc_id", "line_no", "level").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("n").alias("n"), *low)
     keys = [F.xxhash64("level", F.lit(b), *(f"m{b}_{k}" for k in range(ROWS))) for b in range(BANDS)]
-    return signed.select("doc_id", "line_no", "h1", "h2", F.array(*keys).alias("bands"))
+    return signed.select("doc_id", "line_no", "h1", "h2", "n", F.array(*keys).alias("bands"))
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, ws: Workspace | None = None) -> DataFrame:
@@ -103,14 +104,19 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = found.select(F.col("w.h1").alias("id"), F.btrim("w.line", F.lit(" \t\r")).alias("body"))
         return found.where(F.xxhash64("body") == F.col("id"))
 
-    buckets = table.select(F.explode("bands").alias("key"), F.col("h1").alias("id"))
+    # a few bands at a time: their keys are what is shuffled most
+    some = [F.slice("bands", b + 1, GROUP) for b in range(0, BANDS, GROUP)]
+    buckets = [table.select(F.explode(bands).alias("key"), F.col("h1").alias("id"), "n") for bands in some]
     linked = link(buckets, fetch, _compare, ws, num, den)
     at = at.distinct().join(nodes.select("h1"), "h1", "left_semi")
     at = at.join(linked.withColumnRenamed("id", "h1"), "h1", "left").select("doc_id", "line_no", F.coalesce("component", "h1").alias("component"))
     at = ws.store(at, "placed")
+    ws.drop("lines", "nodes")
     groups = at.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     late = at.join(groups.select("component", "first"), "component").where(F.struct("doc_id", "line_no") > F.col("first"))
-    return ws.store(late.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("drop")), "drop")
+    out = ws.store(late.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("drop")), "drop")
+    ws.drop("placed")
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:

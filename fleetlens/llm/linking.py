@@ -10,7 +10,7 @@ from collections.abc import Callable
 from itertools import count
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.workspace import Workspace
@@ -62,7 +62,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def link(
-    buckets: DataFrame,
+    buckets: DataFrame | list[DataFrame],
     fetch: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame], DataFrame],
     ws: Workspace,
@@ -73,7 +73,9 @@ def link(
 ) -> DataFrame:
     """Components (id, component) of the links between ids that share a bucket.
 
-    ``buckets``: (key, id). ``fetch`` maps a table of ids to (id, body). ``verify`` maps
+    ``buckets``: (key, id), or several such tables without common keys, which are
+    shuffled one after the other. Where they also have ``n``, the size of the id's set, pairs whose sizes alone rule a
+    link out (den * smaller < num * larger) are not compared. ``fetch`` maps a table of ids to (id, body). ``verify`` maps
     (a, b, a_body, b_body) to (a, b, common, both): the size of the intersection of the
     two sets, and the sum of their sizes. Two ids are linked if den * |A & B| >= num * |A | B|.
 
@@ -90,10 +92,20 @@ def link(
     No bucket, member or pair is dropped, so the components are those of all
     links between ids with a common bucket.
     """
-    multi = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last")
-    multi = ws.store(multi.select("key", "leader"), "multi")
-    hits = ws.store(buckets.join(multi, "key").select("key", "id", "leader").distinct(), "hits")
-    ws.drop("multi")
+    hits, sized = None, False
+    for g, part in enumerate(buckets if isinstance(buckets, list) else [buckets]):
+        sized = "n" in part.columns
+        first = F.struct("id", "n") if sized else F.struct("id")
+        multi = part.groupBy("key").agg(F.min(first).alias("leader"), F.max("id").alias("last")).where("leader.id <> last")
+        multi = ws.store(multi.select("key", F.col("leader.id").alias("leader"), *([F.col("leader.n").alias("leader_n")] if sized else [])), f"multi-{g}")
+        part = ws.store(part.join(multi, "key").select("key", "id", "leader", *(["n", "leader_n"] if sized else [])).distinct(), f"hits-{g}")
+        ws.drop(f"multi-{g}")
+        hits = part if hits is None else hits.unionByName(part)
+    parts = g + 1
+
+    def fits(a: str, b: str) -> Column:
+        return F.col(a) * den >= F.col(b) * num if sized else F.lit(True)
+
     bodies = ws.store(fetch(hits.select("id").distinct()), "bodies")
 
     def compare(pairs: DataFrame, name: str) -> DataFrame:
@@ -102,16 +114,16 @@ def link(
         return ws.store(verify(both.select("a", "b", "a_body", "b_body")), name)
 
     linked = F.expr(f"({den}L + {num}L) * common >= {num}L * both")
-    star = compare(hits.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "star")
+    star = compare(hits.where("id <> leader").where(fits("n", "leader_n") & fits("leader_n", "n")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "star")
     found = ws.store(components(star.where(linked), ws), "found")
 
     far = (1 - F.col("common") / (F.col("both") - F.col("common"))).alias("far")
-    member = hits.join(star.select(F.col("a").alias("id"), F.col("b").alias("leader"), far), ["id", "leader"]).join(found, "id", "left")
-    member = member.select("key", "id", "far", F.coalesce("component", "id").alias("component"))
+    member = hits.join(star.select(F.col("a").alias("id"), F.col("b").alias("leader"), far), ["id", "leader"], "left" if sized else "inner").join(found, "id", "left")
+    member = member.select("key", "id", "far", *(["n"] if sized else []), F.coalesce("component", "id").alias("component"))
     split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
     split = split.where("low <> high").select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     rest = ws.store(member.join(split, "key"), "open")
-    ws.drop("hits")
+    ws.drop("star", *(f"hits-{g}" for g in range(parts)))
     if rest.isEmpty():
         return found
     if dense is not None:
@@ -121,16 +133,22 @@ def link(
         spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "id", "body")
         more = dense(spread)
         known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        return ws.store(components(known.unionByName(more), ws, "joined"), "linked")
+        out = ws.store(components(known.unionByName(more), ws, "joined"), "linked")
+        ws.drop("bodies", "open", "found")
+        return out
     rest = rest.join(rest.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")  # an id has a key for each band
     left = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = left.select("key", "part", *(F.col(c).alias(f"a_{c}") for c in ("id", "far", "component", "keys")))
+    carried = ("id", "far", "component", "keys", *(["n"] if sized else []))
+    left = left.select("key", "part", *(F.col(c).alias(f"a_{c}") for c in carried))
     right = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.select("key", "part", *(F.col(c).alias(f"b_{c}") for c in ("id", "far", "component", "keys")))
+    right = right.select("key", "part", *(F.col(c).alias(f"b_{c}") for c in carried))
     same = (left["key"] == right["key"]) & (left["part"] == right["part"]) & (F.col("a_id") < F.col("b_id"))
-    near = (F.col("a_component") != F.col("b_component")) & (F.abs(F.col("a_far") - F.col("b_far")) <= 1 - num / den + 1e-9)
+    near = (F.col("a_component") != F.col("b_component")) & F.coalesce(F.abs(F.col("a_far") - F.col("b_far")) <= 1 - num / den + 1e-9, F.lit(True))
+    near &= fits("a_n", "b_n") & fits("b_n", "a_n")
     here = F.array_min(F.array_intersect("a_keys", "b_keys")) == left["key"]
     pairs = ws.store(left.join(right, same & near & here).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "pairs")
+    ws.drop("open")
     more = compare(pairs, "more").where(linked).select("a", "b")
+    ws.drop("pairs", "bodies")
     known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     return ws.store(components(known.unionByName(more), ws, "joined"), "linked")
