@@ -365,13 +365,20 @@ def with_carry(obs: DataFrame, window_s: int = CARRY_S, day: str = "day") -> Dat
 
 
 def frame_counts(frames: DataFrame) -> DataFrame:
-    """Counters per cycle; parts of one frame are summed."""
+    """Counters per cycle, and the vehicles in sight; parts of one frame are summed.
+
+    A keyframe lists its vehicles, other frames add and remove some, so the count runs on within a keyframe interval.
+    """
     sized = lambda c: F.sum(F.coalesce(F.size(c), F.lit(0)))
-    return (
+    counts = (
         _frames_only(frames)
         .groupBy("cycle_no", "t", F.coalesce("keyframe", F.lit(False)).alias("keyframe"))
         .agg(sized("new").alias("n_new"), sized("del").alias("n_del"), sized("upd").alias("n_upd"))
     )
+    cycles = counts.select(F.col("cycle_no").alias("frame_no"), "keyframe", F.lit(0).alias("part"))
+    interval = _with_reset(cycles).select(F.col("frame_no").alias("cycle_no"), "reset_no")
+    run = Window.partitionBy("reset_no").orderBy("cycle_no").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.join(interval, "cycle_no").withColumn("n_vehicles", F.sum(F.col("n_new") - F.col("n_del")).over(run)).drop("reset_no")
 
 
 def change_rates(prev: DataFrame, curr: DataFrame, fields: list[str]) -> DataFrame:

@@ -76,14 +76,16 @@ def rotation_members(lifecycle: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def reappearances(obs: DataFrame, gap: int = ABSENCE_DAYS) -> DataFrame:
-    """Ids that came back after more than ``gap`` days."""
-    days = active_days(obs).select(*ROUTE, "day")
+    """Ids that came back after more than ``gap`` days, with all directions they ever had."""
+    days = active_days(obs)
+    directions = days.groupBy(*ROUTE).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("dirs")))).alias("direction_ids"))
     prev = F.lag("day").over(Window.partitionBy(*ROUTE).orderBy("day"))
     return (
-        days.withColumn("disappeared_after", prev)
+        days.select(*ROUTE, "day").withColumn("disappeared_after", prev)
         .withColumn("gap_days", F.datediff("day", "disappeared_after"))
         .where(F.col("gap_days") > gap)
         .withColumnRenamed("day", "reappeared_on")
+        .join(directions, ROUTE)
     )
 
 

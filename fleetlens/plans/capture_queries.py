@@ -105,9 +105,16 @@ def frames(spark, sf, per_line=40):
     return cp.encode_deltas(snap_table(spark, sf), cycles(spark, sf), changes_per_line=per_line)
 
 
-@query("frame_counts", sql("select cycle_no, t, keyframe, n_new, n_del, n_upd from frame_sizes", "frame_sizes"))
+@query(
+    "frame_counts",
+    sql(
+        "select f.cycle_no, f.t, f.keyframe, f.n_new, f.n_del, f.n_upd, coalesce(n.n, 0) as n_vehicles from frame_sizes f left join (select cycle_no, count(*) as n from numbered group by cycle_no) n using (cycle_no)",
+        "frame_sizes",
+        "numbered",
+    ),
+)
 def frame_counts(spark, sf):
-    return cp.frame_counts(frames(spark, sf)).select("cycle_no", "t", "keyframe", *[F.col(c).cast("long").alias(c) for c in ("n_new", "n_del", "n_upd")])
+    return cp.frame_counts(frames(spark, sf)).select("cycle_no", "t", "keyframe", *[F.col(c).cast("long").alias(c) for c in ("n_new", "n_del", "n_upd", "n_vehicles")])
 
 
 @query("encode_deltas", sql("select cycle_no, id, op from changes", "changes"))

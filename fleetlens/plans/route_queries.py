@@ -365,14 +365,17 @@ def rotation_members(spark, sf):
 @query(
     "reappearances",
     sql(
-        """select line, route_id, disappeared_after, day as reappeared_on, cast(date_diff('day', cast(disappeared_after as date), cast(day as date)) as integer) as gap_days from (
-        select *, lag(day) over (partition by line, route_id order by day) as disappeared_after from (select distinct line, route_id, day from rid_obs))
+        """select line, route_id, array_to_string(l.dirs, ',') as direction_ids, disappeared_after, day as reappeared_on, cast(date_diff('day', cast(disappeared_after as date), cast(day as date)) as integer) as gap_days from (
+        select *, lag(day) over (partition by line, route_id order by day) as disappeared_after from (select distinct line, route_id, day from rid_obs)) join rid_life l using (line, route_id)
         where date_diff('day', cast(disappeared_after as date), cast(day as date)) > 5""",
         "rid_obs",
+        "rid_life",
     ),
 )
 def reappearances(spark, sf):
-    return ri.reappearances(rid_obs(spark, sf)).select("line", "route_id", "disappeared_after", "reappeared_on", "gap_days")
+    out = ri.reappearances(rid_obs(spark, sf))
+    named = F.concat_ws(",", F.transform("direction_ids", lambda d: d.cast("string"))).alias("direction_ids")
+    return out.select("line", "route_id", named, "disappeared_after", "reappeared_on", "gap_days")
 
 
 @query("dual_direction", sql("select line, route_id from rid_life where len(dirs) > 1", "rid_life"))

@@ -74,7 +74,8 @@ def peak_frames(spark, sf):
 def date_range(spark, sf):
     p = tb.pings(spark, sf)
     per_day = p.groupBy(F.to_date("day").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    calendar = filters.day_span(per_day)
+    ends = per_day.agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
+    calendar = filters.date_range(spark, *ends)
     return calendar.join(per_day, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,36 @@ def record_done(processed: DataFrame, rows: DataFrame) -> DataFrame:
     return processed.select("line", "day").distinct().join(counts, ["line", "day"], "left").fillna(0, ["n_rows"])
 
 
+LOG = "line string, day string, n_rows long"
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of all committed runs; none before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(LOG).parquet(path) if there else spark.createDataFrame([], LOG)
+
+
+def build_pending(wanted: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, log: str) -> DataFrame:
+    """One run of the incremental build; the log entries it adds.
+
+    ``make`` derives the training rows of the (line, day) pairs it is given. Pairs that the log holds are left out. Their
+    partitions are written first, replacing what a broken run may have left there; the run counts
+    as soon as its entries are appended, which a single commit of the writer does.
+    """
+    spark = wanted.sparkSession
+    todo = pending_partitions(wanted, read_log(spark, log))
+    known = [tuple(r) for r in todo.collect()]  # pairs of a line and a day: one run's worth of partitions
+    if not known:
+        return spark.createDataFrame([], LOG)
+    todo = spark.createDataFrame(known, "line string, day string")
+    write_training(make(todo), path)
+    # partition values come back as dates where they look like dates
+    back = spark.read.parquet(path).select(F.col("line").cast("string").alias("line"), F.date_format(F.to_date("day"), "yyyy-MM-dd").alias("day"))
+    record_done(todo, back.join(small(todo), ["line", "day"], "left_semi")).select("line", "day", "n_rows").write.mode("append").parquet(log)
+    return read_log(spark, log).join(small(todo), ["line", "day"], "left_semi")
+
+
 def list_done_days(manifest: DataFrame, lines: list[str]) -> DataFrame:
     return manifest.where(F.col("line").isin(lines)).select("day").distinct().orderBy("day")
 
