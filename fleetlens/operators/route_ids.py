@@ -46,26 +46,27 @@ def rotation_events(lifecycle: DataFrame, first_day: DataFrame, min_new: int = M
     """Days on which at least ``min_new`` ids of a line appear, and what became of the older ids.
 
     ``first_day``: one row with the recording's first day, which never counts.
-    Ids are first counted per (line, first day, last day), so the range join
-    runs on calendar days, not on ids.
+    Ids are counted per (line, first day) and per (line, last day); running sums over a line's days
+    then give how many came before an event, how many had gone by then and how long the others last,
+    so no id or span meets an event.
     """
-    born = lifecycle.groupBy("line", F.col("first_seen").alias("day")).agg(F.count(F.lit(1)).alias("n_new"))
+    born = lifecycle.groupBy("line", F.col("first_seen").alias("day")).agg(F.count(F.lit(1)).alias("n_new"), F.max("last_seen").alias("_until"))
+    # an id is gone from the day after its last on; only ids born before an event count, and those are all whose last day lies before it
+    ended = lifecycle.groupBy("line", F.date_format(F.date_add(F.to_date("last_seen"), 1), "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("_ended"))
     start = first_day.select(F.col("day").alias("_start")).withColumn("_k", F.lit(0))
-    events = (
-        born.where(F.col("n_new") >= min_new).withColumn("_k", F.lit(0)).join(small(start), "_k").where("day <> _start").drop("_k", "_start")
-    )
-    spans = lifecycle.groupBy("line", "first_seen", "last_seen").agg(F.count(F.lit(1)).alias("n"))
-    older = events.join(spans, "line").where("first_seen < day")
-    still = F.col("last_seen") >= F.col("day")
-    counts = older.groupBy("line", "day").agg(
-        F.sum(F.when(~still, F.col("n")).otherwise(0)).alias("n_gone"),
-        F.sum(F.when(still, F.col("n")).otherwise(0)).alias("n_still_active"),
-        F.max(F.when(still, F.datediff("last_seen", "day")).otherwise(0)).alias("max_overlap_days"),
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return events.join(counts, ["line", "day"], "left").select(
-        "line", "day", "n_new", zero("n_gone"), zero("n_still_active"), zero("max_overlap_days")
+    days = born.join(ended, ["line", "day"], "full").fillna(0, ["n_new", "_ended"])
+    upto = Window.partitionBy("line").orderBy("day")  # a row per day with a change
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    swept = days.withColumns(
+        {
+            "_came": F.coalesce(F.sum("n_new").over(before), F.lit(0)),
+            "n_gone": F.sum("_ended").over(upto.rowsBetween(Window.unboundedPreceding, 0)),
+            "_longest": F.max("_until").over(before),
+        }
     )
+    events = swept.where(F.col("n_new") >= min_new).withColumn("_k", F.lit(0)).join(small(start), "_k").where("day <> _start")
+    overlap = F.greatest(F.coalesce(F.datediff("_longest", "day"), F.lit(0)), F.lit(0))
+    return events.select("line", "day", "n_new", "n_gone", (F.col("_came") - F.col("n_gone")).alias("n_still_active"), overlap.alias("max_overlap_days"))
 
 
 def rotation_members(lifecycle: DataFrame, events: DataFrame) -> DataFrame:
