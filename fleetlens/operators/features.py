@@ -429,10 +429,20 @@ def _named(name: str):
     return lambda s: F.struct(F.lit(name).alias("name"), s["x"].alias("x"))
 
 
-def profile(train: DataFrame, cols: list[str], arrays: dict[str, tuple[str, int, int]] | None = None, p: float = 0.99, width: float = 0.01) -> DataFrame:
+def profile(
+    train: DataFrame,
+    cols: list[str],
+    arrays: dict[str, tuple[str, int, int]] | None = None,
+    p: float = 0.99,
+    width: float = 0.01,
+    ranges: dict[str, tuple[float, float]] | None = None,
+    scales: dict[str, float] | None = None,
+) -> DataFrame:
     """Per column or array component: count, NaN, infinite, min, max, mean and p99 of finite values.
 
-    ``arrays``: name → (array column, stride, component).
+    ``arrays``: name → (array column, stride, component). Also the finite values (``n_valid``), those of them outside
+    ``ranges``: name → (low, high), bounds included (``n_outside``, 0 without a range), and the greatest magnitude
+    after division by ``scales``: name → divisor (``max_abs``). Nulls count in ``n`` alone.
     """
     parts = [F.array(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x"))) for c in cols]
     for name, (col, stride, k) in (arrays or {}).items():
@@ -441,15 +451,25 @@ def profile(train: DataFrame, cols: list[str], arrays: dict[str, tuple[str, int,
     long = train.select(F.explode(F.concat(*parts)).alias("e")).select("e.*")
     bad = F.isnan("x") | (F.abs("x") == float("inf"))
     ok = F.when(~bad, F.col("x"))
+    outside = F.lit(False)
+    for name, (low, high) in (ranges or {}).items():
+        outside = outside | ((F.col("name") == name) & ~bad & ~F.col("x").between(low, high))
+    divisor = F.lit(1.0)
+    for name, by in (scales or {}).items():
+        divisor = F.when(F.col("name") == name, F.lit(float(by))).otherwise(divisor)
     stats = long.groupBy("name").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.isnan("x"), 1).otherwise(0)).alias("n_nan"),
         F.sum(F.when(F.abs("x") == float("inf"), 1).otherwise(0)).alias("n_inf"),
+        F.count(ok).alias("n_valid"),
+        F.count_if(outside).alias("n_outside"),
         F.min(ok).alias("min"),
         F.max(ok).alias("max"),
         F.avg(ok).alias("mean"),
+        F.max(F.abs(ok) / divisor).alias("max_abs"),
     )
-    return stats.join(exact_quantiles(long.where(~bad), ["name"], "x", {"p99": p}, width=width), "name", "left")
+    # a column is one group, as large as the table
+    return stats.join(exact_quantiles(long.where(~bad), ["name"], "x", {"p99": p}, width=width, narrow=True), "name", "left")
 
 
 def sample_pairs(rows: DataFrame, m: int = 8, seed: int = 42, keys: list[str] | None = None) -> DataFrame:

@@ -13,9 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.session import shared_dir
+
 BROADCAST_LIMIT_BYTES = 64 << 20
 BROADCAST_LIMIT_ROWS = 200_000
 BUCKET_LIMIT = 1 << 20
+# asked to narrow, a bucket with more different values than this is cut by digits before it is ordered
+SORTED_VALUES = 1 << 16
+DIGIT_BITS = 16
+CELL_BITS = 12
 HOUR_S = 3600
 
 
@@ -51,6 +57,13 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     return F.broadcast(df) if is_small(df, limit) else df
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows from a table in the shared folder: computed once, whoever reads them and whichever executor is lost."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucket(col: Column, width: float) -> Column:
     return F.floor(col / F.lit(width))
 
@@ -163,12 +176,17 @@ def exact_quantiles(
     probs: dict[str, float],
     width: float = 1.0,
     method: str = "linear",
+    narrow: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group without gathering a group.
 
-    Equal values are counted first, a fixed-width histogram locates the buckets
-    that hold the wanted ranks, and only those buckets are ordered.
-    ``method``: "linear" interpolates between neighbours, "index" takes the
+    Equal values are counted first, a histogram locates the buckets that hold the
+    wanted ranks, and only those buckets are ordered. A bucket is at most ``width``
+    wide within 2^20 widths of zero and at most 2^-12 of its values everywhere.
+    ``narrow`` is for groups that may crowd more different values than a task
+    should order into that: the counted values are stored, buckets measured, and
+    large ones cut by the digits of their bits until at most 2^16 values are left.
+    The result is the same. ``method``: "linear" interpolates between neighbours, "index" takes the
     element at floor(n·p).
     """
     g = list(groups) or ["_all"]
@@ -179,16 +197,19 @@ def exact_quantiles(
         df.where(F.col(value).isNotNull())
         .groupBy(*g, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", F.least(F.greatest(bucket(F.col("_v"), width), F.lit(-BUCKET_LIMIT)), F.lit(BUCKET_LIMIT)))
+        .withColumn("_b", _cell(F.col("_v"), width))
     )
+    if narrow:
+        counted = stored(counted, "quantiles")
     ordered = Window.partitionBy(*g).orderBy("_b")
     hist = (
         counted.groupBy(*g, "_b")
-        .agg(F.sum("_n").alias("_bn"))
+        .agg(F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_values"))
         .withColumn("_before", F.coalesce(F.sum("_bn").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_total", F.sum("_bn").over(Window.partitionBy(*g)))
     )
-    picked = _pick(counted, hist, g, _wanted_ranks(probs, F.col("_total"), method))
+    targets = _targets(hist, [*g, "_b"], _wanted_ranks(probs, F.col("_total"), method), "_values")
+    picked = _standing(counted, targets, g, narrow)
     out = picked.groupBy(*g).agg(*_interpolated(names))
     return out.select(*groups, *names)
 
@@ -209,23 +230,79 @@ def _wanted_ranks(probs: dict[str, float], total: Column, method: str) -> Column
     return F.array(*wanted)
 
 
-def _pick(counted: DataFrame, hist: DataFrame, g: list[str], ranks: Column) -> DataFrame:
-    """Values standing at the wanted ranks: g, _v, i, side, frac."""
+def value_key(x: Column) -> Column:
+    """A long that orders doubles as they order themselves: the bits of the magnitude, negative below zero.
+
+    Both zeros give 0; NaN stands above infinity. Every step is exact: scaling by
+    a power of two and the difference of two numbers of one binade don't round.
+    """
+    a = F.abs(x)
+    # a logarithm may round across a power of two, so the exponent is corrected by comparison
+    guess = F.least(F.floor(F.log2(a)), F.lit(1023)).cast("int")
+    guess = guess + F.when(F.pow(F.lit(2.0), guess) > a, -1).otherwise(0)
+    exponent = guess + F.when((guess < 1023) & (F.pow(F.lit(2.0), guess + 1) <= a), 1).otherwise(0)
+    fraction = a * F.pow(F.lit(2.0), -exponent) - 1.0
+    normal = (exponent + 1023).cast("long") * F.lit(1 << 52) + (fraction * float(1 << 52)).cast("long")
+    tiny = (a * 2.0**537 * 2.0**537).cast("long")
+    size = (
+        F.when(F.isnan(x), F.lit((1 << 63) - 1))
+        .when(a == float("inf"), F.lit(2047 << 52))
+        .when(a < 2.0**-1022, tiny)
+        .otherwise(normal)
+    )
+    return F.when((x < 0) & ~F.isnan(x), -size).otherwise(size)
+
+
+def _targets(hist: DataFrame, keys: list[str], ranks: Column, values: str) -> DataFrame:
+    """Buckets that hold a wanted rank, with what precedes them."""
     inside = F.filter(
         ranks, lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_before") + F.col("_bn"))
     )
-    targets = hist.select(*g, "_b", "_before", inside.alias("_want")).where(F.size("_want") > 0)
-    run = Window.partitionBy(*g, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        counted.join(targets, [*g, "_b"])
-        .withColumn("_at", F.col("_before") + F.coalesce(F.sum("_n").over(run), F.lit(0)))
-        .select(
-            *g,
-            "_v",
-            F.explode(
-                F.filter("_want", lambda t: (t["rank"] >= F.col("_at")) & (t["rank"] < F.col("_at") + F.col("_n")))
-            ).alias("_t"),
+    return hist.select(*keys, "_before", F.col(values).alias("_values"), inside.alias("_want")).where(F.size("_want") > 0)
+
+
+def _cell(x: Column, width: float) -> Column:
+    """Histogram bucket: the leading bits of the value's key, then its multiple of the width."""
+    leading = F.shiftright(value_key(x), 52 - CELL_BITS)
+    multiple = F.least(F.greatest(bucket(x, width), F.lit(-BUCKET_LIMIT)), F.lit(BUCKET_LIMIT)) + BUCKET_LIMIT
+    return leading * F.lit(4 * BUCKET_LIMIT) + multiple
+
+
+def _standing(counted: DataFrame, targets: DataFrame, g: list[str], narrow: bool) -> DataFrame:
+    """Values at the wanted ranks: g, _v, i, side, frac. ``counted``: g, _b, _v, _n with each value once.
+
+    To narrow, one number is read first: the most values of a bucket to be ordered. Beyond the
+    limit the values' keys are cut by 16 bits after the other, each time keeping only
+    the parts that hold a wanted rank; the last cut leaves at most 2^16 values a part.
+    """
+    keys = [*g, "_b"]
+    rows = counted.join(targets.drop("_values"), keys)
+    if not narrow or (targets.agg(F.max("_values").alias("n")).first()["n"] or 0) <= SORTED_VALUES:
+        return _ordered(rows, keys)
+    rows = rows.withColumn("_key", value_key(F.col("_v"))).withColumn("_part", F.lit(0).cast("long"))
+    part = [*keys, "_part"]
+    for shift in range(64 - DIGIT_BITS, 0, -DIGIT_BITS):
+        rows = stored(rows, "quantile-digits")
+        digit = F.shiftright("_key", shift)
+        hist = rows.groupBy(*part, digit.alias("_digit")).agg(
+            F.sum("_n").alias("_bn"), F.first("_before").alias("_base"), F.first("_want").alias("_ranks")
         )
+        run = Window.partitionBy(*part).orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
+        hist = hist.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_bn").over(run), F.lit(0)))
+        hist = hist.drop("_part").withColumnRenamed("_digit", "_part").withColumn("_values", F.lit(0))
+        kept = _targets(hist, part, F.col("_ranks"), "_values").drop("_values")
+        rows = rows.select(*keys, "_v", "_n", "_key", digit.alias("_part")).join(kept, part)
+    return _ordered(rows, part)
+
+
+def _ordered(rows: DataFrame, part: list[str]) -> DataFrame:
+    """The wanted ranks of parts small enough to be ordered in one task."""
+    run = Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    g = [c for c in part if c not in ("_b", "_part")]
+    here = F.filter("_want", lambda t: (t["rank"] >= F.col("_at")) & (t["rank"] < F.col("_at") + F.col("_n")))
+    return (
+        rows.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_n").over(run), F.lit(0)))
+        .select(*g, "_v", F.explode(here).alias("_t"))
         .select(*g, "_v", "_t.i", "_t.side", "_t.frac")
     )
 
@@ -253,39 +330,27 @@ def exact_quantiles_by_day(
     counted = (
         df.groupBy(*g, day, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", F.least(F.greatest(bucket(F.col("_v"), width), F.lit(-BUCKET_LIMIT)), F.lit(BUCKET_LIMIT)))
+        .withColumn("_b", _cell(F.col("_v"), width))
     )
-    per_day = counted.groupBy(*g, "_b", day).agg(F.sum("_n").alias("_dn"))
+    per_day = counted.groupBy(*g, "_b", day).agg(F.sum("_n").alias("_dn"), F.count(F.lit(1)).alias("_dv"))
     days = per_day.select(*g, F.col(day).alias("_asof")).distinct()
     hist = (
         per_day.join(days, g)
         .where(F.col(day) <= F.col("_asof"))
         .groupBy(*g, "_asof", "_b")
-        .agg(F.sum("_dn").alias("_bn"))
+        .agg(F.sum("_dn").alias("_bn"), F.sum("_dv").alias("_values"))
     )
     ga = [*g, "_asof"]
     ordered = Window.partitionBy(*ga).orderBy("_b")
     hist = hist.withColumn(
         "_before", F.coalesce(F.sum("_bn").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).withColumn("_total", F.sum("_bn").over(Window.partitionBy(*ga)))
-    ranks = _wanted_ranks(probs, F.col("_total"), "linear")
-    inside = F.filter(
-        ranks, lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_before") + F.col("_bn"))
-    )
-    targets = hist.select(*ga, "_b", "_before", inside.alias("_want")).where(F.size("_want") > 0)
-    run = Window.partitionBy(*ga, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    targets = _targets(hist, [*ga, "_b"], _wanted_ranks(probs, F.col("_total"), "linear"), "_values")
     seen = (
-        counted.join(targets, [*g, "_b"])
+        counted.join(targets.select(*ga, "_b"), [*g, "_b"])
         .where(F.col(day) <= F.col("_asof"))
-        .groupBy(*ga, "_b", "_v", "_before", "_want")
+        .groupBy(*ga, "_b", "_v")
         .agg(F.sum("_n").alias("_n"))
-        .withColumn("_at", F.col("_before") + F.coalesce(F.sum("_n").over(run), F.lit(0)))
     )
-    picked = seen.select(
-        *ga,
-        "_v",
-        F.explode(
-            F.filter("_want", lambda t: (t["rank"] >= F.col("_at")) & (t["rank"] < F.col("_at") + F.col("_n")))
-        ).alias("_t"),
-    ).select(*ga, "_v", "_t.i", "_t.side", "_t.frac")
+    picked = _standing(seen, targets, ga, False)
     return picked.groupBy(*ga).agg(*_interpolated(names)).withColumnRenamed("_asof", day)

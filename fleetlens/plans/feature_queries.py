@@ -416,20 +416,22 @@ PROFILED = ["dist_remaining_m", "dist_along_norm", "observed_eta_s"]
 @query(
     "profile",
     sql(
-        f"""select name, count(*) as n, cast(0 as bigint) as n_nan, cast(0 as bigint) as n_inf, {rq('min(x)', 'min', 4)}, {rq('max(x)', 'max', 4)}, {rq('avg(x)', 'mean', 4)}, {rq('quantile_cont(x, 0.99)', 'p99', 4)} from (
-        select 'dist_remaining_m' as name, dist_remaining_m as x from eta union all select 'dist_along_norm', dist_along_norm from eta union all select 'observed_eta_s', observed_eta_s from eta) group by name
-        union all select 'traj_speed', (select count(*)*10 from feat), 0, 0, {rq('least(min(v), 0)', 'min', 4)}, {rq('max(v)', 'max', 4)}, {rq('sum(v)/(select count(*)*10 from feat)', 'mean', 4)},
-        {rq('quantile_cont(v, 0.99)', 'p99', 4)} from (select h.speed as v from feat p join feat h on h.vehicle_id = p.vehicle_id and h.trip_no = p.trip_no and h.pos between p.pos - 9 and p.pos
-          union all select 0.0 from (select unnest(range(0, 10 - traj_len)) from traj))""",
+        f"""select name, count(*) as n, cast(0 as bigint) as n_nan, cast(0 as bigint) as n_inf, count(*) as n_valid, cast(sum(case when x < lo or x > hi then 1 else 0 end) as bigint) as n_outside,
+        {rq('min(x)', 'min', 4)}, {rq('max(x)', 'max', 4)}, {rq('avg(x)', 'mean', 4)}, {rq('max(abs(x)/unit)', 'max_abs', 4)}, {rq('quantile_cont(x, 0.99)', 'p99', 4)} from (
+        select 'dist_remaining_m' as name, dist_remaining_m as x, 0.0 as lo, 5000.0 as hi, 1000.0 as unit from eta union all select 'dist_along_norm', dist_along_norm, 0.0, 0.5, 1.0 from eta union all select 'observed_eta_s', observed_eta_s, -1e18, 1e18, 1.0 from eta
+        union all select 'traj_speed', h.speed, -1e18, 10.0, 30.0 from feat p join feat h on h.vehicle_id = p.vehicle_id and h.trip_no = p.trip_no and h.pos between p.pos - 9 and p.pos
+        union all select 'traj_speed', 0.0, -1e18, 10.0, 30.0 from (select unnest(range(0, 10 - traj_len)) from traj)) group by name""",
         "eta",
         "traj",
     ),
 )
 def profile(spark, sf):
-    pairs = fx.profile(eta(spark, sf), PROFILED)
+    pairs = fx.profile(eta(spark, sf), PROFILED, ranges={"dist_remaining_m": (0.0, 5000.0), "dist_along_norm": (0.0, 0.5)}, scales={"dist_remaining_m": 1000.0})
     pts = fx.trajectory(fx.point_scalars(fx.renumber(tb.projected_table(spark, sf).where("mapped"))))
-    both = pairs.unionByName(fx.profile(pts, [], {"traj_speed": ("traj_flat", 3, 1)}))
-    return both.select("name", "n", "n_nan", "n_inf", *[r(c, 4).alias(c) for c in ("min", "max", "mean", "p99")])
+    speeds = fx.profile(pts, [], {"traj_speed": ("traj_flat", 3, 1)}, ranges={"traj_speed": (-1e18, 10.0)}, scales={"traj_speed": 30.0})
+    return pairs.unionByName(speeds).select(
+        "name", "n", "n_nan", "n_inf", "n_valid", "n_outside", *[r(c, 4).alias(c) for c in ("min", "max", "mean", "max_abs", "p99")]
+    )
 
 
 MD5 = "md5(concat_ws('|', '42', vehicle_id, trip_no, p_pos, f_pos))"

@@ -2,6 +2,7 @@
 
 import bisect
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -94,3 +95,30 @@ def test_bracketing_neighbours_match_bisect(spark):
         above = track[j] if j < len(track) else None
         assert (tuple(got[i]["below"]) if got[i]["below"] else None) == below
         assert (tuple(got[i]["above"]) if got[i]["above"] else None) == above
+
+
+def test_value_key_orders_like_the_bits(spark):
+    xs = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 2.0**-1022 - 5e-324, 1.0, 1.0 - 2.0**-53, 1.0 + 2.0**-52, 1.7976931348623157e308, float("inf"), -float("inf")]
+    xs += [2.0**e * f for e in range(-1040, 1023, 7) for f in (1.0, 1 - 2.0**-53, 1 + 2.0**-52)] + [RNG.gauss(0, 1) * 10.0 ** RNG.randrange(-300, 300) for _ in range(3000)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", scale.value_key(F.col("x")).alias("k")).collect()
+    bits = lambda x: struct.unpack("<q", struct.pack("<d", abs(x)))[0] * (-1 if x < 0 else 1)
+    assert [(r["x"], r["k"]) for r in got] == [(x, bits(x)) for x in xs]
+
+
+@pytest.mark.parametrize("spread", ["dense", "beyond", "huge"])
+def test_quantiles_of_buckets_too_large_to_order(spark, monkeypatch, spread):
+    """Nine tenths of a hot key's values lie in one histogram bucket or past its ends."""
+    monkeypatch.setattr(scale, "SORTED_VALUES", 1)
+    far = {"dense": lambda: RNG.random() / 1e6, "beyond": lambda: 1e9 + RNG.gauss(0, 1e5), "huge": lambda: -(10.0 ** RNG.randrange(10, 300)) * RNG.random()}[spread]
+    rows = [("hot", far() if RNG.random() < 0.9 else RNG.gauss(0, 100)) for _ in range(4000)] + [("cold", float(i)) for i in range(7)] + [("hot", 3.5)] * 300
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    probs = {"p1": 0.01, "p50": 0.5, "p99": 0.99, "p0": 0.0, "p100": 1.0}
+    for narrow in (True, False):
+        got = {r["k"]: r for r in scale.exact_quantiles(df, ["k"], "x", probs, width=100.0, narrow=narrow).collect()}
+        for k in ("hot", "cold"):
+            xs = [x for key, x in rows if key == k]
+            assert [got[k][n] for n in probs] == pytest.approx([np.quantile(xs, p) for p in probs.values()], rel=1e-12)
+    days = df.withColumn("d", (F.abs(F.hash("x")) % 4).cast("int"))
+    seen = [(r["k"], r["d"], r["x"]) for r in days.collect()]
+    for r in scale.exact_quantiles_by_day(days, ["k"], "d", "x", {"m": 0.7}).collect():
+        assert r["m"] == pytest.approx(np.quantile([x for k, d, x in seen if k == r["k"] and d <= r["d"]], 0.7), rel=1e-12)

@@ -213,6 +213,9 @@ def test_profile_counts_bad_numbers(spark):
     row = fx.profile(spark.createDataFrame([(x,) for x in xs], "x double"), ["x"]).first()
     assert (row["n"], row["n_nan"], row["n_inf"], row["min"], row["max"]) == (6, 1, 1, 1.0, 10.0)
     assert row["p99"] == pytest.approx(np.percentile([1, 2, 3, 10], 99))
+    two = spark.createDataFrame([(x, -x) for x in xs] + [(None, 40.0)], "x double, y double")
+    got = {r["name"]: r for r in fx.profile(two, ["x", "y"], ranges={"x": (2.0, 9.0)}, scales={"y": 10.0}).collect()}
+    assert [(got[c]["n"], got[c]["n_valid"], got[c]["n_outside"], got[c]["max_abs"]) for c in "xy"] == [(7, 4, 2, 10.0), (7, 5, 0, 4.0)]
 
 
 def test_grid_projection_equals_full_projection(spark):
