@@ -319,15 +319,17 @@ def file_stats(spark, sf):
     return rec.file_stats(raw_lines(spark, sf), ["event_id"]).select(*STAT_COLS.split(", "))
 
 
-cte("day_sizes", "select day, cast(sum(length(text) + 1) as bigint)*case when day < '2024-01-05' then 100 else 10000 end as bytes from raw_lines group by day", "raw_lines")
+cte("day_sizes", "select day, cast(sum(strlen(text) + 1) as bigint) as bytes from raw_lines group by day", "raw_lines")
 
 
 def day_sizes(spark, sf):
-    f = raw_lines(spark, sf).groupBy("day").agg(F.sum(F.length("text") + 1).alias("bytes"))
-    return f.withColumn("bytes", F.col("bytes") * F.when(F.col("day") < "2024-01-05", 100).otherwise(10000))
+    """Sizes of the files that the recorded lines of each day are written to."""
+    path = shared_dir(spark, "days")
+    raw_lines(spark, sf).select("day", "text").write.partitionBy("day").text(path)
+    return rec.file_sizes(fr.scan_lines(spark, path))
 
 
-LIMIT = 5_000_000
+LIMIT = 20_700
 
 
 @query(

@@ -22,6 +22,13 @@ from fleetlens.sources import sinks
 # ---- shapes and maps -------------------------------------------------------------------------
 
 
+def written(spark, docs, purpose):
+    """Folder of the documents' files."""
+    path = shared_dir(spark, purpose)
+    ss.write_documents(docs, path)
+    return path
+
+
 @query(
     "read_shapes",
     sql(
@@ -31,13 +38,12 @@ from fleetlens.sources import sinks
     ),
 )
 def read_shapes(spark, sf):
-    """Shape documents written as JSON and scanned back, one document per line."""
-    path = shared_dir(spark, "shapes")
+    """Shape documents written as JSON files and read back."""
     own = own_shapes(spark, sf)
     first = own.agg(F.min("branch_pos").alias("_h0")).withColumn("_k", F.lit(0))
     # the list position replaces branch_pos on reading; the hour is kept in the colour-free name
-    ss.shapes_document(own.withColumn("name", F.col("branch_pos").cast("string"))).select("line", F.col("text").alias("value")).repartition("line").write.partitionBy("line").text(path)
-    back = ss.parse_shapes(spark.read.text(path).select(F.col("value").alias("text")), ["39", "26"])
+    docs = ss.shapes_document(own.withColumn("name", F.col("branch_pos").cast("string")))
+    back = ss.read_shapes(spark, written(spark, docs, "shapes"), ["39", "26"])
     check = lambda f: F.aggregate(F.transform("points", lambda p, i: p[f] * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return back.withColumn("_k", F.lit(0)).join(small(first), "_k").select(
         "line", "shape_id", (F.col("name").cast("int") - F.col("_h0")).alias("hour"), F.size("points").cast("long").alias("n_points"),
@@ -67,7 +73,7 @@ def label_docs(spark, sf):
 
 @query("read_label_map", sql("select suffix, line, agency from label_doc where coalesce(line, '') <> ''", "label_doc"))
 def read_label_map(spark, sf):
-    return ss.parse_label_map(label_docs(spark, sf))
+    return ss.read_label_map(spark, written(spark, label_docs(spark, sf), "labels"))
 
 
 @query(
@@ -94,7 +100,7 @@ def branch_docs(spark, sf):
         F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 5 == 1, "").otherwise(F.concat(F.lit("s"), k % 13)).alias("shape_id"),
         F.lit("active").alias("status"),
     )
-    per_line = tb.table(spark, sf, "part").groupBy(F.col("p_size").cast("string").alias("line"), F.floor(k / 64).alias("doc")).agg(F.collect_list(entry).alias("entries"))
+    per_line = tb.table(spark, sf, "part").groupBy(F.col("p_size").cast("string").alias("line"), F.floor(k / 3200).alias("doc")).agg(F.collect_list(entry).alias("entries"))
     return per_line.select(F.to_json(F.struct(F.map_from_arrays(F.array("line"), F.array(F.struct("entries"))).alias("lines"))).alias("text"))
 
 
@@ -105,7 +111,7 @@ def branch_docs(spark, sf):
     ),
 )
 def read_branch_map(spark, sf):
-    return ss.parse_branch_map(branch_docs(spark, sf)).select("line", "route_id", "direction_id", "shape_id")
+    return ss.read_branch_map(spark, written(spark, branch_docs(spark, sf), "branches")).select("line", "route_id", "direction_id", "shape_id")
 
 
 @query(
@@ -114,11 +120,11 @@ def read_branch_map(spark, sf):
 )
 def read_families(spark, sf):
     s = tb.table(spark, sf, "supplier")
-    kids = s.groupBy(F.col("s_nationkey").cast("string").alias("line"), F.concat(F.lit("P"), F.col("s_suppkey") % 3).alias("parent"), F.floor(F.col("s_suppkey") / 64).alias("d")).agg(
+    kids = s.groupBy(F.col("s_nationkey").cast("string").alias("line"), F.concat(F.lit("P"), F.col("s_suppkey") % 3).alias("parent"), F.floor(F.col("s_suppkey") / 4800).alias("d")).agg(
         F.collect_list(F.concat(F.lit("C"), "s_suppkey")).alias("kids")
     )
     docs = kids.select(F.to_json(F.struct("line", F.lit("test").alias("description"), F.map_from_arrays(F.array("parent"), F.array("kids")).alias("families"))).alias("text"))
-    return ss.parse_families(docs)
+    return ss.read_families(spark, written(spark, docs, "families"))
 
 
 # ---- schedule import: routes from part, trips from orders, paths and stops from lineitem -----------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import schemas
+from fleetlens.operators.scale import number_rows
 
 
 def _document(spark: SparkSession, path: str) -> DataFrame:
@@ -89,8 +90,13 @@ def available_lines(shapes: DataFrame) -> DataFrame:
     return shapes.select("line").distinct().orderBy("line")
 
 
-def shapes_document(shapes: DataFrame) -> DataFrame:
-    """Inverse of ``parse_shapes``: one JSON text per line."""
+def shapes_document(shapes: DataFrame, per_document: int = 64) -> DataFrame:
+    """Inverse of ``parse_shapes``: JSON texts of one line each, of at most ``per_document`` of its branches.
+
+    A line of more branches has several documents; a branch's place is then counted in its own.
+    """
+    sliced = shapes.withColumn("_slice", F.pmod(F.xxhash64("shape_id"), F.lit(256)))
+    shapes = number_rows(sliced, ["line"], "_slice", ["branch_pos", "shape_id"], "_no").withColumn("_doc", F.floor(F.col("_no") / per_document))
     branch = F.struct(
         "branch_pos",
         F.col("name"),
@@ -102,7 +108,7 @@ def shapes_document(shapes: DataFrame) -> DataFrame:
     )
     drop_pos = lambda b: F.struct(b["name"], b["shortName"], b["shapeId"], b["direction"], b["points"], b["stops"])
     return (
-        shapes.groupBy("line")
+        shapes.groupBy("line", "_doc")
         .agg(F.first("color").alias("color"), F.array_sort(F.collect_list(branch)).alias("ramales"))
         .select(
             "line",
@@ -111,3 +117,8 @@ def shapes_document(shapes: DataFrame) -> DataFrame:
             ).alias("text"),
         )
     )
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """A file per JSON text, as the readers of this module expect."""
+    docs.select(F.col("text").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
