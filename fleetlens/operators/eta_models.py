@@ -318,6 +318,8 @@ def compare_runs(runs: DataFrame) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Metrics files, one document each; the run is the folder ``run=...`` a file lies in, else its name."""
     from fleetlens.schemas import RUN_METRICS_JSON
 
-    return spark.read.schema(RUN_METRICS_JSON).json(path, multiLine=True).withColumn("run", F.col("_metadata.file_name"))
+    files = spark.read.schema(RUN_METRICS_JSON).json(path, multiLine=True)
+    return files if "run" in files.columns else files.withColumn("run", F.col("_metadata.file_name"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlens import schemas
 from fleetlens.operators import eta_models as em
 from fleetlens.operators import features as fx
 from fleetlens.operators.temporal import temporal_split
@@ -191,7 +192,15 @@ def gtfs_branches(spark, sf):
     # a third of the stops bear ids that no trip calls at, so that the trips' own are unknown
     stops = part.select(F.when(pk % 3 != 0, name("p", pk)).otherwise(name("q", pk)).alias("stop_id"), F.col("p_name").alias("stop_name"), F.lit(-34.6).alias("stop_lat"), F.lit(-58.4).alias("stop_lon"))
     refs = orders.where(ok % 11 == 0).select(name("s", ok).alias("shape_id"), F.concat(F.lit("Xs"), ok).alias("ref"))
-    b = rel.gtfs_branches(routes, trips, shapes, times, stops, refs, GTFS_LINES)
+    path = shared_dir(spark, "schedule")
+    for table, rows in {"routes": routes, "trips": trips, "shapes": shapes, "stop_times": times, "stops": stops}.items():
+        # the columns of the format, in its order
+        cols = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in spark.createDataFrame([], schemas.GTFS[table]).columns]
+        rows.select(*cols).write.option("header", True).csv(f"{path}/{table}.txt")
+    feed = rel.read_gtfs(spark, path)
+    # a feed of several files has no line order; the number in an id stands for it
+    placed = lambda t, c: feed[t].withColumn("pos", F.substring(c, 2, 20).cast("long"))
+    b = rel.gtfs_branches(placed("routes", "route_id"), placed("trips", "trip_id"), feed["shapes"], feed["stop_times"], feed["stops"], refs, GTFS_LINES)
     check = F.aggregate("points", F.lit(0.0), lambda a, p: a + p["lat"])
     return b.select(
         "line", "color", "name", "direction", "shape_id", "short_name", F.size("points").cast("long").alias("n_points"), r(check, 5).alias("lat_check"),
