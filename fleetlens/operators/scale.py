@@ -21,7 +21,6 @@ BUCKET_LIMIT = 1 << 20
 # asked to narrow, a bucket with more different values than this is cut by digits before it is ordered
 SORTED_VALUES = 1 << 16
 DIGIT_BITS = 16
-CELL_BITS = 12
 HOUR_S = 3600
 
 
@@ -181,8 +180,8 @@ def exact_quantiles(
     """Exact quantiles per group without gathering a group.
 
     Equal values are counted first, a histogram locates the buckets that hold the
-    wanted ranks, and only those buckets are ordered. A bucket is at most ``width``
-    wide within 2^20 widths of zero and at most 2^-12 of its values everywhere.
+    wanted ranks, and only those buckets are ordered. A bucket is ``width`` wide
+    within 2^20 widths of zero and 2^-12 of its values or less beyond.
     ``narrow`` is for groups that may crowd more different values than a task
     should order into that: the counted values are stored, buckets measured, and
     large ones cut by the digits of their bits until at most 2^16 values are left.
@@ -262,10 +261,10 @@ def _targets(hist: DataFrame, keys: list[str], ranks: Column, values: str) -> Da
 
 
 def _cell(x: Column, width: float) -> Column:
-    """Histogram bucket: the leading bits of the value's key, then its multiple of the width."""
-    leading = F.shiftright(value_key(x), 52 - CELL_BITS)
-    multiple = F.least(F.greatest(bucket(x, width), F.lit(-BUCKET_LIMIT)), F.lit(BUCKET_LIMIT)) + BUCKET_LIMIT
-    return leading * F.lit(4 * BUCKET_LIMIT) + multiple
+    """Histogram bucket: the multiple of the width, beyond 2^20 widths 4096 steps to each doubling."""
+    q = x / F.lit(float(width))
+    far = F.floor(F.least(F.log2(F.abs(q)), F.lit(1100.0)) * 4096.0) + BUCKET_LIMIT
+    return F.when(q >= BUCKET_LIMIT, far).when(q <= -BUCKET_LIMIT, -far).otherwise(F.floor(q))
 
 
 def _standing(counted: DataFrame, targets: DataFrame, g: list[str], narrow: bool) -> DataFrame:
