@@ -146,13 +146,22 @@ def encode_deltas(
 
 
 def recording(frames: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Frames and gap records in file order: ``frame_no`` sorts gaps right before their keyframe."""
+    """Frames and gap records in file order: ``frame_no`` sorts gaps right before their keyframe.
+
+    Only counts per cycle are ordered, so that no task gathers the lists of the lines. Lines of
+    one cycle and part, of which there is one by rule, are numbered among themselves.
+    """
     f = frames.withColumn("_rank", F.col("part") + 1)
     g = gaps.withColumn("_rank", F.lit(0)).withColumn("part", F.lit(0))
-    both = f.unionByName(g, allowMissingColumns=True).withColumn("_b", bucket(F.col("cycle_no"), CYCLES_PER_BUCKET))
-    both = both.withColumn("_start", F.when(F.col("part") == 0, 1).otherwise(0))
-    numbered = running_total(both, [], "_b", ["cycle_no", "_rank"], "_start", "frame_no")
-    return numbered.withColumn("frame_no", F.col("frame_no") - 1).drop("_b", "_rank", "_start")
+    both = f.unionByName(g, allowMissingColumns=True)
+    begins = lambda df: df.groupBy("cycle_no").agg(F.count_if(F.col("part") == 0).alias("_n"))
+    cycles = begins(f).withColumnRenamed("_n", "_f").join(begins(g).withColumnRenamed("_n", "_g"), "cycle_no", "full_outer").na.fill(0, ["_f", "_g"])
+    cycles = cycles.withColumns({"_b": bucket(F.col("cycle_no"), CYCLES_PER_BUCKET), "_starts": F.col("_f") + F.col("_g")})
+    cycles = running_total(cycles, [], "_b", ["cycle_no"], "_starts", "_upto").select("cycle_no", "_f", "_g", (F.col("_upto") - F.col("_starts")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("cycle_no", "_rank").orderBy(*(["t"] if "t" in both.columns else ["part"])))
+    own = F.when(F.col("_rank") == 0, F.col("_place")).when(F.col("_rank") == 1, F.col("_g") + F.col("_place")).otherwise(F.col("_g") + F.col("_f"))
+    numbered = both.withColumn("_place", place).join(small(cycles), "cycle_no").withColumn("frame_no", F.col("_before") + own - 1)
+    return numbered.drop("_rank", "_place", "_f", "_g", "_before")
 
 
 def sample_frames(frames: DataFrame, interval_s: int, per_file: bool = False, clock: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:

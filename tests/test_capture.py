@@ -111,6 +111,22 @@ def test_replay_inverts_encoding(spark, per_line, every):
     assert got == {(tops[r[0]], r[1]): (r[2], r[3]) for r in rows}
 
 
+def test_recording_is_not_gathered_to_be_numbered(spark):
+    """Gaps come right before their frame, parts share a number, and the lines lie in several partitions."""
+    rows = [(T0 + 30 * c + (900 if c > 5 else 0), f"v{v}", float(c), T0 + 30 * c) for c in range(12) for v in range(9)]
+    snaps = spark.createDataFrame(rows, "frame_ts long, id string, lat double, ts long")
+    cycles = cp.mark_keyframes(cp.number_cycles(snaps), every=4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frames = cp.recording(cp.encode_deltas(snaps, cycles, changes_per_line=3), cp.gap_records(cycles))
+        got = frames.select("cycle_no", "part", F.coalesce("gap", F.lit(False)).alias("gap"), "frame_no", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {r["frame_no"] for r in got if r["gap"]} == {6}
+    assert {(r["cycle_no"], r["frame_no"]) for r in got if not r["gap"]} == {(c, c + (c > 5)) for c in range(12)}
+    assert max(r["part"] for r in got) > 1 and len({r["p"] for r in got}) > 1
+
+
 def test_unchanged_vehicle_emits_nothing(spark):
     rows = [(T0 + 30 * c, "a", 1.0, T0 + 30 * c) for c in range(3)]
     snaps = spark.createDataFrame(rows, "frame_ts long, id string, lat double, ts long")
