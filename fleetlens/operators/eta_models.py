@@ -190,7 +190,7 @@ def evaluate_eta(pred: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("eta_s") < 0, 1).otherwise(0)).alias("n_negative"),
         *[F.avg(F.when(near == b, F.col("err"))).alias(f"mae_{b}") for b in ("0_500m", "500m_2km", "2km_plus")],
     )
-    q = exact_quantiles(pred, [], "err", {"p50_s": 0.5, "p90_s": 0.9, "p99_s": 0.99}, width=1.0, method="index")
+    q = exact_quantiles(pred, [], "err", {"p50_s": 0.5, "p90_s": 0.9, "p99_s": 0.99}, width=1.0, method="index", narrow=True)
     return m.withColumn("_k", F.lit(0)).join(q.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
 
 
@@ -253,7 +253,7 @@ def error_by_bucket(pred: DataFrame, by: str = "dist_remaining_m", edges: list[i
         F.avg(signed).alias("bias_s"),
         (F.avg(F.when(signed < 0, 1.0).otherwise(0.0)) * 100).alias("under_pct"),
     )
-    return m.join(exact_quantiles(b, ["bucket"], "err", {"p50_s": 0.5, "p90_s": 0.9}, width=1.0), "bucket")
+    return m.join(exact_quantiles(b, ["bucket"], "err", {"p50_s": 0.5, "p90_s": 0.9}, width=1.0, narrow=True), "bucket")
 
 
 def threshold_grid(pred: DataFrame, etas: list[int], dists: list[int], arriving_s: float = 90.0) -> DataFrame:

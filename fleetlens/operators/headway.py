@@ -29,7 +29,7 @@ def trip_spans(points: DataFrame) -> DataFrame:
     """Trips and the median, P10 and P90 of the covered distance."""
     spans = points.groupBy(*TRIP).agg((F.max("along_m") - F.min("along_m")).alias("span_m"))
     n = spans.agg(F.count(F.lit(1)).alias("n_trips")).withColumn("_k", F.lit(0))
-    q = exact_quantiles(spans, [], "span_m", {"p50_m": 0.5, "p10_m": 0.1, "p90_m": 0.9}, width=10.0)
+    q = exact_quantiles(spans, [], "span_m", {"p50_m": 0.5, "p10_m": 0.1, "p90_m": 0.9}, width=10.0, narrow=True)
     return n.join(q.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
 
 
@@ -85,7 +85,7 @@ def passages(points: DataFrame, step_m: float = CHECKPOINT_M) -> DataFrame:
     last = F.least(F.floor(F.col("along_m") / step_m), F.ceil(F.col("length_m") / step_m) - 1).cast("int")
     at = pairs.where(first <= last).select(*TRIP, "shape_id", "ts", "event_id", "along_m", d0.alias("d0"), t0.alias("t0"), F.explode(F.sequence(first, last)).alias("checkpoint"))
     ck = F.col("checkpoint") * F.lit(float(step_m))
-    at = at.withColumn("passed_at", F.col("t0") + (ck - F.col("d0")) / (F.col("along_m") - F.col("d0")) * (F.col("ts") - F.col("t0")))
+    at = at.withColumn("passed_at", F.col("t0") + (ck - F.col("d0")) / F.when(F.col("along_m") > F.col("d0"), F.col("along_m") - F.col("d0")) * (F.col("ts") - F.col("t0")))
     return at.groupBy(*TRIP, "shape_id", "checkpoint").agg(F.min_by("passed_at", F.struct("ts", "event_id")).alias("passed_at"))
 
 
@@ -117,7 +117,7 @@ def headway_stats(hw: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
         share(h >= 600).alias("share_over_10min"),
         share(h > 3600).alias("share_over_1h"),
     )
-    q = exact_quantiles(scoped, ["scope"], "headway_s", {f"p{p}_s": p / 100 for p in (10, 25, 50, 75, 90, 95)}, width=10.0)
+    q = exact_quantiles(scoped, ["scope"], "headway_s", {f"p{p}_s": p / 100 for p in (10, 25, 50, 75, 90, 95)}, width=10.0, narrow=True)
     return stats.join(q, "scope")
 
 
@@ -129,9 +129,10 @@ def interp_error(points: DataFrame) -> DataFrame:
     d1, t1 = F.col("back.along_m"), F.col("back.ts")
     d2, t2 = F.col("along_m"), F.col("ts")
     ok = chain.where((d0 < d1) & (d1 < d2) & (t2 > t0))
-    errors = ok.select(F.abs(t0 + (d1 - d0) / (d2 - d0) * (t2 - t0) - t1).alias("error_s"))
+    # the filter may be evaluated after the quotient, so that one guards itself
+    errors = ok.select(F.abs(t0 + (d1 - d0) / F.when(d2 > d0, d2 - d0) * (t2 - t0) - t1).alias("error_s"))
     stats = errors.agg(
         F.count(F.lit(1)).alias("n"), F.avg("error_s").alias("mean_s"), *[share(F.col("error_s") < s).alias(f"share_under_{s}s") for s in (10, 30, 60)]
     ).withColumn("_k", F.lit(0))
-    q = exact_quantiles(errors, [], "error_s", {f"p{p}_s": p / 100 for p in (50, 75, 90, 95, 99)}, width=1.0)
+    q = exact_quantiles(errors, [], "error_s", {f"p{p}_s": p / 100 for p in (50, 75, 90, 95, 99)}, width=1.0, narrow=True)
     return stats.join(q.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
