@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,10 +21,13 @@ WINDOW = 5  # tokens
 LITERALS = 2  # tokens of a window that aren't placeholders, at least
 NUM, DEN = 80, 100  # share of an item's tokens that matched windows cover
 FILTER_BITS = 24  # the filter of benchmark windows has this many address bits, whatever the benchmark's size
-KNOWN = 400_000  # tokens that a worker keeps
+KNOWN = 200_000  # tokens that a worker keeps
+TOGETHER = 1 << 19  # characters of texts that are gone through together, about
 NUMBER, UNIT, NAME = np.uint64(1), np.uint64(2), np.uint64(3)
 EDGES = regex.compile(r"^[^\p{L}\p{N}%°€$£]+|[^\p{L}\p{N}%°€$£]+$")
-END = regex.compile(r"[.!?:][\"'»”)\]]*$")
+MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c not in "%$")  # what EDGES takes off an ASCII token
+CLOSING = "\"'»”)]"
+ENDS = (".", "!", "?", ":")
 DIGITS = regex.compile(r"^[$€£]?[-+]?\p{N}")
 # Signs and names of common units, taken as such behind a number.
 UNITS = frozenset(
@@ -44,32 +48,40 @@ class Tokens(dict):
         at = len(self)
         if at == len(self.word):
             self.word, self.kind = np.concatenate([self.word] * 2), np.concatenate([self.kind] * 2)
-        bare = EDGES.sub("", raw) or raw
+        # the plain string methods do what the patterns do, where they can, in a fraction of the time
+        if raw.isascii():
+            bare = raw if raw.isalnum() else raw.strip(MARKS) or raw
+        else:
+            bare = EDGES.sub("", raw) or raw
         low = bare.lower()
-        number = bool(DIGITS.match(bare))
-        self.kind[at] = number | 2 * (low in UNITS) | 4 * (not number and bare[:1].isupper()) | 8 * bool(END.search(raw))
+        number = not bare[0].isalpha() and bool(DIGITS.match(bare))
+        end = raw.rstrip(CLOSING).endswith(ENDS)
+        self.kind[at] = number | 2 * (low in UNITS) | 4 * (not number and bare[:1].isupper()) | 8 * end
         self.word[at] = xxhash.xxh64_intdigest(low) | 8  # never the number of a placeholder
         self[raw] = at
         return at
 
-    def canonical(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: its code (a placeholder's number, or the word's hash), the word's hash, whether it is a placeholder.
+    def canonical(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's tokens end and, per token of all texts, one text behind the other: its code (a placeholder's number, or the word's hash), the word's hash, whether it is a placeholder.
 
         Numbers are <number>; a unit behind a number is <unit>; a word with a
         capital that doesn't open the text or a sentence is <name>. Case and outer marks don't count.
         """
         if len(self) > KNOWN:
             self.clear()
-        raw = (text or "").split()
-        at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+        raw = [(t or "").split() for t in texts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(sizes)
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(raw)), np.int64, sizes.sum())
         word, kind = self.word[at], self.kind[at]
+        first = np.zeros(len(at), bool)
+        first[(ends - sizes)[sizes > 0]] = True
         number = (kind & 1) > 0
-        behind = np.concatenate([[False], number[:-1]]) if len(at) else number
-        opens = np.concatenate([[True], (kind[:-1] & 8) > 0]) if len(at) else number
-        unit = ((kind & 2) > 0) & behind
+        unit = ((kind & 2) > 0) & np.roll(number, 1) & ~first
+        opens = np.roll((kind & 8) > 0, 1) | first
         name = ((kind & 4) > 0) & ~opens & ~unit
         code = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, word)))
-        return code, word, number | unit | name
+        return ends, code, word, number | unit | name
 
 
 TOKENS = Tokens()
@@ -83,31 +95,38 @@ def _hashes(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _windows(text: str | None) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray, int]:
-    """Up to three forms of each window, all tokens' hashes and placeholders, the window's size.
+def _windows(texts: list[str | None], table: np.ndarray | None) -> Iterator[tuple[int, int, int, list[int], int, list[int]]]:
+    """(text's number, position, hash, what stands in the slots, the text's tokens, slot values held as words) of each window in up to three forms.
 
-    A form is the windows' hashes, their positions and the tokens that are placeholders in it: none (every window), numbers and units, names too
-    (windows that have such tokens and enough others).
+    The tokens that are placeholders in a form are: none (every window), numbers and units, names too
+    (windows that have such tokens and enough others). Only windows that pass the filter ``table``, if there is one.
+    The texts are gone through together: each numpy call has the tokens of all.
     """
-    code, word, slot = TOKENS.canonical(text)
-    size = min(WINDOW, len(code))
-    if not size:
-        return [], word, slot, size
+    ends, code, word, slot = TOKENS.canonical(texts)
+    sizes = np.diff(ends, prepend=0)
+    left = np.repeat(ends, sizes) - np.arange(len(word))  # tokens from here to the text's end
     name = code == NAME
     amount = slot & ~name
-
-    def held(marks: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(marks)])
-        return total[size:] - total[: len(total) - size]
-
-    slots, names, least = held(slot), held(name), min(LITERALS, size)
-    plain = shingles(word, WINDOW)
-    forms = [(plain, np.arange(len(plain)), np.zeros(len(word), bool))]
-    at = np.flatnonzero((slots > 0) & (size - slots >= least))
-    forms.append((_hashes(code, at, size), at, slot))
-    at = np.flatnonzero((names > 0) & (slots > names) & (size - slots + names >= least))
-    forms.append((_hashes(np.where(amount, code, word), at, size), at, amount))
-    return forms, word, slot, size
+    words_and_names = np.where(amount, code, word)
+    none = np.zeros(len(word), bool)
+    slots_to, names_to = (np.concatenate([[0], np.cumsum(marks)]) for marks in (slot, name))
+    for size in range(1, WINDOW + 1):
+        # a text of fewer tokens is one window
+        at = np.flatnonzero(left >= WINDOW) if size == WINDOW else (ends - sizes)[sizes == size]
+        slots, names = (total[at + size] - total[at] for total in (slots_to, names_to))
+        least = min(LITERALS, size)
+        some = at[(slots > 0) & (size - slots >= least)]
+        few = at[(names > 0) & (slots > names) & (size - slots + names >= least)]
+        for codes, where, open_ in ((word, at, none), (code, some, slot), (words_and_names, few, amount)):
+            hashes = shingles(codes, WINDOW)[where] if codes is word and size == WINDOW and len(where) else _hashes(codes, where, size)
+            if table is not None:
+                keep = table[hashes & np.uint64((1 << FILTER_BITS) - 1)]
+                hashes, where = hashes[keep], where[keep]
+            text = np.searchsorted(ends, where, side="right")
+            for k, p, h in zip(text.tolist(), where.tolist(), hashes.view(np.int64).tolist()):
+                here, free = word[p : p + size].view(np.int64), open_[p : p + size]
+                n = int(sizes[k])
+                yield k, p - int(ends[k]) + n, h, here[free].tolist(), n, here[slot[p : p + size] & ~free].tolist()
 
 
 def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
@@ -115,6 +134,20 @@ def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)], names)
 
 
+def _together(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+    """Keys and texts of a batch, some whole texts at a time."""
+    keys, texts, held = [], [], 0
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        keys.append(key)
+        texts.append(text.as_py())
+        held += len(texts[-1] or "")
+        if held >= TOGETHER:
+            yield keys, texts
+            keys, texts, held = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def _emit(names: list[str], wanted: np.ndarray | None):
     """Windows of the texts, with the hashes of what stands in their slots and of slot values that they hold as words; only those that pass the filter, if there is one."""
 
@@ -122,15 +155,8 @@ def _emit(names: list[str], wanted: np.ndarray | None):
         table = None if wanted is None else np.unpackbits(wanted).view(bool)
         for batch in batches:
             out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                forms, word, slot, size = _windows(text.as_py())
-                for hashes, at, open_ in forms:
-                    if table is not None:
-                        keep = table[hashes & np.uint64((1 << FILTER_BITS) - 1)]
-                        hashes, at = hashes[keep], at[keep]
-                    for h, p in zip(hashes.view(np.int64).tolist(), at.tolist()):
-                        here, free = word[p : p + size].view(np.int64), open_[p : p + size]
-                        out.append((key, p, h, here[free].tolist(), len(word), here[slot[p : p + size] & ~free].tolist()))
+            for keys, texts in _together(batch):
+                out += [(keys[k], *rest) for k, *rest in _windows(texts, table)]
             yield _rows(names, out)
 
     return run
