@@ -11,11 +11,13 @@ from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 1_000_000  # pre-tokens whose ids a worker keeps; those used since the last million new ones are kept longer
+CACHED = 200_000  # pre-tokens whose ids a worker keeps; those used since as many new ones came are kept longer
+BYTES = 1 << 20  # of texts encoded at a time, about: what a worker holds doesn't grow with the rows of a batch
 LONG = 64  # longer pre-tokens, in bytes, aren't kept
 
 
@@ -221,19 +223,30 @@ def encoder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about BYTES of text; a text is never cut."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype("int64")
+    group = (sizes.cumsum() - sizes) // BYTES
+    at = [0, *(k for k in range(1, len(group)) if group[k] != group[k - 1]), len(group)]
+    for start, end in zip(at, at[1:]):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def _encode(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         for batch in batches:
-            counts, digests, decoded, ids = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                packed = bpe.encode(text)
-                counts.append(len(packed) // 4)
-                digests.append(hashlib.sha256(packed).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode(packed)).hexdigest())
-                ids.append(packed)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
+            for part in _parts(batch):
+                counts, digests, decoded, ids = [], [], [], []
+                for text in part.column(1):
+                    packed = bpe.encode(text.as_py())
+                    counts.append(len(packed) // 4)
+                    digests.append(hashlib.sha256(packed).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.decode(packed)).hexdigest())
+                    ids.append(packed)
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
 
     return run
 
