@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 CACHED = 200_000  # pre-tokens whose ids a worker keeps; those used since as many new ones came are kept longer
 BYTES = 1 << 20  # of texts encoded at a time, about: what a worker holds doesn't grow with the rows of a batch
-LONG = 64  # longer pre-tokens, in bytes, aren't kept
+BITS = 6
+LONG = 1 << BITS  # longer pre-tokens, in bytes, aren't kept
 
 
 class RankQueue:
@@ -82,72 +83,35 @@ class ByteBPE:
         self.table = pa.array([self.bytes.get(k) for k in range(self.width)], pa.large_binary())
 
     def _merge_short(self, piece: bytes) -> list[int]:
-        """As ``merge``, with a bitmap of positions for a bucket, so that the leftmost one is a find-first-set, too.
-
-        Positions of one rank are taken one after the other until a lower rank turns up.
-        """
+        """As ``merge``, with one heap of rank and position, for a piece has a handful of pairs."""
         pair, width, start = self.pairs.get, self.width, self.start
-        n, top, rows, buckets = len(piece), 0, {}, {}
-        ids = [self.single[b] for b in piece]
+        n = len(piece)
+        ids = [self.single[b] for b in piece]  # -1 where a merge has taken the position
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         rank_at = [start[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        queue = [rank << BITS | i for i, rank in enumerate(rank_at) if rank >= 0]
         rank_at.append(-1)
-        for i, rank in enumerate(rank_at):
-            if rank >= 0:
-                if rank in buckets:
-                    buckets[rank] |= 1 << i
-                else:
-                    buckets[rank] = 1 << i
-                    row = rank >> 8
-                    rows[row] = rows.get(row, 0) | 1 << (rank & 255)
-                    top |= 1 << row
-        while top:
-            row = (top & -top).bit_length() - 1
-            bits = rows[row]
-            low = (bits & -bits).bit_length() - 1
-            rank = row << 8 | low
-            places, lower = buckets[rank], False
-            while places and not lower:
-                i = (places & -places).bit_length() - 1
-                places &= places - 1
-                if rank_at[i] != rank:
-                    continue  # the pair has changed since
-                gone = after[i]
-                ids[i], right, rank_at[gone] = rank, after[gone], -1
-                after[i], left = right, before[i]
-                now = -1
-                if right < n:
-                    before[right] = i
-                    now = pair(rank * width + ids[right], -1)
-                rank_at[i] = now
-                at = i
-                while True:
-                    if now == rank:
-                        places |= 1 << at
-                    elif now >= 0:
-                        if now in buckets:
-                            buckets[now] |= 1 << at
-                        else:
-                            buckets[now] = 1 << at
-                            rows[now >> 8] = rows.get(now >> 8, 0) | 1 << (now & 255)
-                            top |= 1 << (now >> 8)
-                        lower |= now < rank
-                    if left < 0:
-                        break
-                    now = rank_at[left] = pair(ids[left] * width + rank, -1)
-                    at, left = left, -1
-            if places:
-                buckets[rank] = places
-            else:
-                del buckets[rank]
-                rows[row] &= ~(1 << low)
-                if not rows[row]:
-                    top &= ~(1 << row)
-        out, i = [], 0
-        while i < n:
-            out.append(ids[i])
-            i = after[i]
-        return out
+        heapq.heapify(queue)
+        push, pop = heapq.heappush, heapq.heappop
+        while queue:
+            lowest = pop(queue)
+            rank, i = lowest >> BITS, lowest & (1 << BITS) - 1
+            if rank_at[i] != rank:
+                continue  # the pair has changed since
+            gone = after[i]
+            ids[i], ids[gone], rank_at[gone] = rank, -1, -1
+            after[i], now = (right := after[gone]), -1
+            if right < n:
+                before[right] = i
+                now = pair(rank * width + ids[right], -1)
+                if now >= 0:
+                    push(queue, now << BITS | i)
+            rank_at[i], left = now, before[i]
+            if left >= 0:
+                now = rank_at[left] = pair(ids[left] * width + rank, -1)
+                if now >= 0:
+                    push(queue, now << BITS | left)
+        return [k for k in ids if k >= 0]
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the lowest rank first, the leftmost of equal ones first."""
