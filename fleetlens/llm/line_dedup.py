@@ -107,7 +107,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a few bands at a time: their keys are what is shuffled most
     some = [F.slice("bands", b + 1, GROUP) for b in range(0, BANDS, GROUP)]
     buckets = [table.select(F.explode(bands).alias("key"), F.col("h1").alias("id"), "n") for bands in some]
-    linked = link(buckets, fetch, _compare, ws, num, den)
+    linked = link(buckets, fetch, _compare, ws, num, den, elements=_shingles)
     at = at.distinct().join(nodes.select("h1"), "h1", "left_semi")
     at = at.join(linked.withColumnRenamed("id", "h1"), "h1", "left").select("doc_id", "line_no", F.coalesce("component", "h1").alias("component"))
     at = ws.store(at, "placed")

@@ -61,6 +61,32 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def rare_pairs(sets: DataFrame, ws: Workspace, num: int, den: int, block: int) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (id, component, set) of different components that hold every link between such.
+
+    Elements are put in one order for all sets, those that the fewest hold first. A link
+    shares num/den of either set, so at most n - ceil(num/den * n) elements of a set of n
+    are not shared, and the first ones up to one more hold the first shared element of
+    both. What follows that element bounds the intersection. Both are exact: no link is lost.
+    """
+    each = sets.select("id", F.explode("set").alias("h"))
+    held = each.groupBy("h").agg(F.count(F.lit(1)).alias("times"))
+    order = each.join(held, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("order"))
+    n = F.size("order")
+    first = order.select("id", n.alias("n"), F.posexplode(F.slice("order", F.lit(1), n - F.ceil(n * num / den - 1e-9).cast("int") + 1)).alias("at", "e"))
+    first = first.where("e.times > 1").select("id", F.col("e.h").alias("h"), (F.col("n") - F.col("at")).alias("left"), "n")
+    first = ws.store(first.join(sets.select("id", "component"), "id"), "prefixes")
+    several = first.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+    several = several.where("low <> high").select("h", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    first = first.join(several, "h")
+    carried = ("id", "component", "left", "n")
+    x = first.select("h", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"), *(F.col(c).alias(f"a_{c}") for c in carried))
+    y = first.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), *(F.col(c).alias(f"b_{c}") for c in carried))
+    near = F.least("a_left", "b_left") * (den + num) >= (F.col("a_n") + F.col("b_n")) * num
+    both = x.join(y, ["h", "part"]).where((F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component")) & near)
+    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
 def link(
     buckets: DataFrame | list[DataFrame],
     fetch: Callable[[DataFrame], DataFrame],
@@ -70,6 +96,7 @@ def link(
     den: int = 100,
     block: int = 256,
     dense: Callable[[DataFrame], DataFrame] | None = None,
+    elements: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Components (id, component) of the links between ids that share a bucket.
 
@@ -88,9 +115,12 @@ def link(
        Large buckets are dealt out in blocks. Where ``dense`` is given, it gets pairs of
        blocks as sorted rows (key, i, j, block, id, body) and returns links (a, b) that connect
        whatever the links between block i and block j connect; no pair leaves it else.
+       Where ``elements`` is given, which maps a body to its set, only members that share a
+       rare element are compared (see ``rare_pairs``), whatever buckets they share.
 
     No bucket, member or pair is dropped, so the components are those of all
-    links between ids with a common bucket.
+    links between ids with a common bucket (with ``elements``: between members of
+    buckets left open, too).
     """
     hits, sized = None, False
     for g, part in enumerate(buckets if isinstance(buckets, list) else [buckets]):
@@ -136,6 +166,14 @@ def link(
         out = ws.store(components(known.unionByName(more), ws, "joined"), "linked")
         ws.drop("bodies", "open", "found")
         return out
+    known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    if elements is not None:
+        sets = bodies.join(rest.select("id", "component").distinct(), "id").select("id", "component", elements(F.col("body")).alias("set"))
+        pairs = ws.store(rare_pairs(ws.store(sets, "sets"), ws, num, den, block), "pairs")
+        ws.drop("open", "sets", "prefixes")
+        more = compare(pairs, "more").where(linked).select("a", "b")
+        ws.drop("pairs", "bodies")
+        return ws.store(components(known.unionByName(more), ws, "joined"), "linked")
     rest = rest.join(rest.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")  # an id has a key for each band
     left = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     carried = ("id", "far", "component", "keys", *(["n"] if sized else []))
@@ -150,5 +188,4 @@ def link(
     ws.drop("open")
     more = compare(pairs, "more").where(linked).select("a", "b")
     ws.drop("pairs", "bodies")
-    known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     return ws.store(components(known.unionByName(more), ws, "joined"), "linked")
