@@ -13,8 +13,6 @@ from fleetlens.llm.workspace import Workspace
 SIZE = 8  # characters in a shingle
 BANDS, ROWS = 12, 3
 GROUP = 3  # bands whose keys are shuffled together
-SAMPLE = 32  # a signature is taken of SAMPLE to 2 * SAMPLE shingles, chosen by their hash
-MARGIN = 1.3  # lines whose counts of different shingles differ by less have a sampling level in common
 # Fixed random words, one a band. The shingle whose hash is nearest to a word in XOR distance is the
 # first of a random order; each row of a band hashes anew, so a band's rows don't depend on each other.
 PROBES = [random.Random(20240229 + b).getrandbits(64) - (1 << 63) for b in range(BANDS)]
@@ -29,14 +27,13 @@ def _count(units: Column) -> Column:
     return F.greatest(F.length(units) / 2 - (SIZE - 1), F.lit(1)).cast("int")
 
 
-def _level(n: Column) -> Column:
-    """How often the sample is halved for a set of n shingles."""
-    return F.greatest(F.floor(F.log2(n / SAMPLE)), F.lit(0)).cast("int")
+def _shingle(units: Column, i: Column) -> Column:
+    return F.xxhash64(F.substring(units, 2 * i - 1, F.lit(2 * SIZE)))
 
 
 def _shingles(line: Column) -> Column:
     """The set of a line. The bytes are a variable of the outer function: reading a column would copy them for every shingle."""
-    cut = lambda u: F.transform(F.sequence(F.lit(1), _count(u)), lambda i: F.xxhash64(F.substring(u, 2 * i - 1, F.lit(2 * SIZE))))
+    cut = lambda u: F.transform(F.sequence(F.lit(1), _count(u)), lambda i: _shingle(u, i))
     return F.array_distinct(F.flatten(F.transform(F.array(_units(line)), cut)))
 
 
@@ -54,22 +51,18 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, h1, h2, n, bands) per line and sampling level; n counts its different shingles.
+    """(doc_id, line_no, h1, h2, bands) per line, from the minima of all its shingles.
 
-    A line takes the level of its count of different shingles and that of a count 1.3 times
-    as large. Counts of lines of similarity 0.8 differ by 1.25 at most, so these have a level in common.
-    The first shingle is part of every sample, so none is empty.
+    Shingles are cut and hashed row by row, in generated code. One that a line repeats changes no minimum, so none is looked for.
     """
-    sets = lines.select("doc_id", "line_no", "h1", "h2", _shingles(F.col("line")).alias("set")).withColumn("n", F.size("set"))
-    levels = F.array_distinct(F.array(_level(F.col("n")), _level(F.col("n") * MARGIN)))
-    each = sets.select("doc_id", "line_no", "h1", "h2", "n", "set", F.explode(levels).alias("level"))
-    each = each.select("doc_id", "line_no", "level", "h1", "h2", "n", F.posexplode("set").alias("i", "h"))
-    each = each.where("(h & (shiftleft(1L, level) - 1)) = 0 or i = 0")
-    rows = [F.xxhash64("h", F.lit(k)) for k in range(ROWS)]
-    low = [F.min(rows[k].bitwiseXOR(F.lit(p))).alias(f"m{b}_{k}") for b, p in enumerate(PROBES) for k in range(ROWS)]
-    signed = each.groupBy("doc_id", "line_no", "level").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("n").alias("n"), *low)
-    keys = [F.xxhash64("level", F.lit(b), *(f"m{b}_{k}" for k in range(ROWS))) for b in range(BANDS)]
-    return signed.select("doc_id", "line_no", "h1", "h2", "n", F.array(*keys).alias("bands"))
+    units = lines.select("doc_id", "line_no", "h1", "h2", _units(F.col("line")).alias("units"))
+    each = units.select("doc_id", "line_no", "h1", "h2", "units", F.explode(F.sequence(F.lit(1), _count(F.col("units")))).alias("i"))
+    each = each.select("doc_id", "line_no", "h1", "h2", _shingle(F.col("units"), F.col("i")).alias("h"))
+    each = each.select("doc_id", "line_no", "h1", "h2", *(F.xxhash64("h", F.lit(k)).alias(f"r{k}") for k in range(ROWS)))
+    low = [F.min(F.col(f"r{k}").bitwiseXOR(F.lit(p))).alias(f"m{b}_{k}") for b, p in enumerate(PROBES) for k in range(ROWS)]
+    signed = each.groupBy("doc_id", "line_no", "h1", "h2").agg(*low)
+    keys = [F.xxhash64(F.lit(b), *(f"m{b}_{k}" for k in range(ROWS))) for b in range(BANDS)]
+    return signed.select("doc_id", "line_no", "h1", "h2", F.array(*keys).alias("bands"))
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, ws: Workspace | None = None) -> DataFrame:
@@ -83,35 +76,36 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one is dropped from all; a null id or text takes no part.
 
     Candidates share one of 12 bands of 3 minima, which two lines at similarity 0.8 miss
-    with a probability of about 0.002 and at 0.9 below 1e-5. Minima are taken of the shingles
-    whose hash ends in a number of zero bits that grows with the count of different ones, which leaves
-    32 to 64 of them; verification is on the full sets. Lines whose first hash
+    with a probability of about 0.002 and at 0.9 below 1e-5. Minima and
+    verification are on the full sets. Lines whose first hash
     meets another text's are left alone (their second hash tells).
     """
     ws = ws or Workspace(docs.sparkSession, "lines")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # dealt out by document first, so that the minima of a line need no exchange of their own
     table = ws.store(_signatures(_lines(docs.repartition("doc_id"))), "lines")
-    at = table.select("doc_id", "line_no", "h1", "h2")
+    at = ws.store(table.select("doc_id", "line_no", "h1", "h2"), "at")
     nodes = at.groupBy("h1").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("h2").alias("low"), F.max("h2").alias("high"))
     nodes = ws.store(nodes.where("low = high").select("h1", "first.doc_id", "first.line_no"), "nodes")
 
     def fetch(ids: DataFrame) -> DataFrame:
+        ws.drop("lines")  # all buckets are stored by now
         where = nodes.join(ids, nodes["h1"] == ids["id"], "left_semi")
         where = where.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "line_no")).alias("wanted"))
         found = docs.join(where, "doc_id").select("wanted", F.explode(F.array(F.split("text", "\n"))).alias("raw"))
         found = found.select(F.explode(F.transform("wanted", lambda w: F.struct(w["h1"], F.get("raw", w["line_no"]).alias("line")))).alias("w"))
         found = found.select(F.col("w.h1").alias("id"), F.btrim("w.line", F.lit(" \t\r")).alias("body"))
-        return found.where(F.xxhash64("body") == F.col("id"))
+        found = found.where(F.xxhash64("body") == F.col("id"))
+        return found.select("id", "body", F.size(_shingles(F.col("body"))).alias("n"))
 
     # a few bands at a time: their keys are what is shuffled most
     some = [F.slice("bands", b + 1, GROUP) for b in range(0, BANDS, GROUP)]
-    buckets = [table.select(F.explode(bands).alias("key"), F.col("h1").alias("id"), "n") for bands in some]
+    buckets = [table.select(F.explode(bands).alias("key"), F.col("h1").alias("id")) for bands in some]
     linked = link(buckets, fetch, _compare, ws, num, den, elements=_shingles)
     at = at.distinct().join(nodes.select("h1"), "h1", "left_semi")
     at = at.join(linked.withColumnRenamed("id", "h1"), "h1", "left").select("doc_id", "line_no", F.coalesce("component", "h1").alias("component"))
     at = ws.store(at, "placed")
-    ws.drop("lines", "nodes")
+    ws.drop("at", "nodes")
     groups = at.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     late = at.join(groups.select("component", "first"), "component").where(F.struct("doc_id", "line_no") > F.col("first"))
     out = ws.store(late.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("drop")), "drop")

@@ -7,6 +7,7 @@ leader or a component may hold any share of the rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from fleetlens.llm.workspace import Workspace
 
 
+SLICES = 4  # parts of the elements of open buckets that are shuffled one after the other
+
+
 def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -64,18 +68,36 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def rare_pairs(sets: DataFrame, ws: Workspace, num: int, den: int, block: int) -> DataFrame:
     """Pairs (a, b) of ``sets`` (id, component, set) of different components that hold every link between such.
 
-    Elements are put in one order for all sets, those that the fewest hold first. A link
+    Elements are put in one order for all sets: those that one component holds alone, which no
+    such pair shares (they are only counted), then those that the fewest hold. A link
     shares num/den of either set, so at most n - ceil(num/den * n) elements of a set of n
     are not shared, and the first ones up to one more hold the first shared element of
     both. What follows that element bounds the intersection. Both are exact: no link is lost.
+    Elements, then sets, are shuffled a quarter at a time.
     """
-    each = sets.select("id", F.explode("set").alias("h"))
-    held = each.groupBy("h").agg(F.count(F.lit(1)).alias("times"))
-    order = each.join(held, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("order"))
-    n = F.size("order")
-    first = order.select("id", n.alias("n"), F.posexplode(F.slice("order", F.lit(1), n - F.ceil(n * num / den - 1e-9).cast("int") + 1)).alias("at", "e"))
-    first = first.where("e.times > 1").select("id", F.col("e.h").alias("h"), (F.col("n") - F.col("at")).alias("left"), "n")
-    first = ws.store(first.join(sets.select("id", "component"), "id"), "prefixes")
+    each = sets.select("id", "component", F.explode("set").alias("h"))
+
+    def united(name: str, build: Callable[[int], DataFrame]) -> DataFrame:
+        tables = [ws.store(build(g), f"{name}-{g}") for g in range(SLICES)]
+        return reduce(DataFrame.unionByName, tables)
+
+    def count_held(g: int) -> DataFrame:
+        held = each.where(F.pmod("h", F.lit(SLICES)) == g).groupBy("h")
+        held = held.agg(F.count(F.lit(1)).alias("times"), F.min("component").alias("low"), F.max("component").alias("high"))
+        return held.where("low <> high").select("h", "times")
+
+    held = united("held", count_held)
+
+    def prefixes(g: int) -> DataFrame:
+        here = F.pmod(F.xxhash64("id"), F.lit(SLICES)) == g
+        order = each.where(here).select("id", "h").join(held, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("order"))
+        order = order.join(sets.where(here).select("id", "component", F.size("set").alias("n")), "id").withColumn("own", F.col("n") - F.size("order"))
+        some = F.greatest(F.col("n") - F.ceil(F.col("n") * num / den - 1e-9).cast("int") + 1 - F.col("own"), F.lit(0))
+        first = order.select("id", "component", "n", "own", F.posexplode(F.slice("order", F.lit(1), some)).alias("at", "e"))
+        return first.select("id", F.col("e.h").alias("h"), (F.col("n") - F.col("own") - F.col("at")).alias("left"), "n", "component")
+
+    first = united("prefixes", prefixes)
+    ws.drop(*(f"held-{g}" for g in range(SLICES)))
     several = first.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
     several = several.where("low <> high").select("h", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     first = first.join(several, "h")
@@ -102,7 +124,8 @@ def link(
 
     ``buckets``: (key, id), or several such tables without common keys, which are
     shuffled one after the other. Where they also have ``n``, the size of the id's set, pairs whose sizes alone rule a
-    link out (den * smaller < num * larger) are not compared. ``fetch`` maps a table of ids to (id, body). ``verify`` maps
+    link out (den * smaller < num * larger) are not compared. ``fetch`` maps a table of ids to (id, body), or to (id, body, n) with the
+    same use of n. ``verify`` maps
     (a, b, a_body, b_body) to (a, b, common, both): the size of the intersection of the
     two sets, and the sum of their sizes. Two ids are linked if den * |A & B| >= num * |A | B|.
 
@@ -137,8 +160,13 @@ def link(
         return F.col(a) * den >= F.col(b) * num if sized else F.lit(True)
 
     bodies = ws.store(fetch(hits.select("id").distinct()), "bodies")
+    measured = "n" in bodies.columns
 
     def compare(pairs: DataFrame, name: str) -> DataFrame:
+        if measured:
+            for end in ("a", "b"):
+                pairs = pairs.join(bodies.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n")), end)
+            pairs = pairs.where(F.col("a_n") * den >= F.col("b_n") * num).where(F.col("b_n") * den >= F.col("a_n") * num)
         both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("a_body")), "a")
         both = both.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("b_body")), "b")
         return ws.store(verify(both.select("a", "b", "a_body", "b_body")), name)
@@ -148,7 +176,7 @@ def link(
     found = ws.store(components(star.where(linked), ws), "found")
 
     far = (1 - F.col("common") / (F.col("both") - F.col("common"))).alias("far")
-    member = hits.join(star.select(F.col("a").alias("id"), F.col("b").alias("leader"), far), ["id", "leader"], "left" if sized else "inner").join(found, "id", "left")
+    member = hits.where("id <> leader").join(star.select(F.col("a").alias("id"), F.col("b").alias("leader"), far), ["id", "leader"], "left" if sized or measured else "inner").join(found, "id", "left")
     member = member.select("key", "id", "far", *(["n"] if sized else []), F.coalesce("component", "id").alias("component"))
     split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
     split = split.where("low <> high").select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
@@ -168,9 +196,11 @@ def link(
         return out
     known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     if elements is not None:
-        sets = bodies.join(rest.select("id", "component").distinct(), "id").select("id", "component", elements(F.col("body")).alias("set"))
-        pairs = ws.store(rare_pairs(ws.store(sets, "sets"), ws, num, den, block), "pairs")
-        ws.drop("open", "sets", "prefixes")
+        members = ws.store(bodies.join(rest.select("id", "component").distinct(), "id").select("id", "component", "body"), "members")
+        ws.drop("open")
+        sets = members.select("id", "component", elements(F.col("body")).alias("set"))
+        pairs = ws.store(rare_pairs(sets, ws, num, den, block), "pairs")
+        ws.drop("members", *(f"prefixes-{g}" for g in range(SLICES)))
         more = compare(pairs, "more").where(linked).select("a", "b")
         ws.drop("pairs", "bodies")
         return ws.store(components(known.unionByName(more), ws, "joined"), "linked")
