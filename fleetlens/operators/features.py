@@ -229,8 +229,8 @@ def passage_neighbours(points: DataFrame, limit_m: float = 150.0) -> DataFrame:
     )
 
 
-def interp_passage(below: Column, above: Column, dist: Column, ts: Column) -> Column:
-    """struct(seconds, found) since the previous bus passed ``dist``, seen from time ``ts``.
+def passage_age(below: Column, above: Column, dist: Column, ts: Column) -> Column:
+    """Seconds since the previous bus passed ``dist``, seen from time ``ts``; null where no ping tells.
 
     Between two pings the time is interpolated; otherwise the nearer-indexed
     ping within 250 m counts, the one below first.
@@ -239,12 +239,17 @@ def interp_passage(below: Column, above: Column, dist: Column, ts: Column) -> Co
     at = below["tie"] + (dist - below["at"]) / F.when(span > 0, span).otherwise(1.0) * (above["tie"] - below["tie"])
     bracketed = below.isNotNull() & above.isNotNull() & (span > 0) & (at < ts)
     usable = lambda p: p.isNotNull() & (F.abs(p["at"] - dist) <= NEAR_PING_M) & (p["tie"] < ts)
-    since = (
-        F.when(bracketed, ts - at).when(usable(below), (ts - below["tie"]).cast("double")).when(usable(above), (ts - above["tie"]).cast("double"))
-    )
-    return F.struct(
-        F.least(F.coalesce(since, F.lit(PASSAGE_CAP_S)), F.lit(PASSAGE_CAP_S)).alias("seconds"), since.isNotNull().alias("found")
-    )
+    return F.when(bracketed, ts - at).when(usable(below), (ts - below["tie"]).cast("double")).when(usable(above), (ts - above["tie"]).cast("double"))
+
+
+def capped_passage(age: Column) -> Column:
+    """struct(seconds, found) of a passage's age: capped, and the cap where there is none."""
+    return F.struct(F.least(F.coalesce(age, F.lit(PASSAGE_CAP_S)), F.lit(PASSAGE_CAP_S)).alias("seconds"), age.isNotNull().alias("found"))
+
+
+def interp_passage(below: Column, above: Column, dist: Column, ts: Column) -> Column:
+    """struct(seconds, found) since the previous bus passed ``dist``, in one expression."""
+    return capped_passage(passage_age(below, above, dist, ts))
 
 
 def future_pairs(points: DataFrame, p_cols: list[str], f_cols: list[str], min_m: float = MIN_AHEAD_M, block: int = PAIR_BLOCK) -> DataFrame:
@@ -309,9 +314,12 @@ def eta_rows(features: DataFrame, arrays: bool = True) -> DataFrame:
     """The ETA table: one row per (P, F) pair with the training columns, plus line, day and keys."""
     own = [*SCALARS, *([c for c in ("traj_flat", "traj_len", "fleet_flat", "n_fleet") if c in features.columns] if arrays else [])]
     pairs = future_pairs(features, own, ["passages"])
-    around = F.try_element_at("f_passages", F.col("prev.seq"))
-    since = interp_passage(around["below"], around["above"], F.col("f_along_m"), F.col("ts"))
-    out = pairs.withColumn("_since", F.when(F.col("prev").isNotNull() & around.isNotNull(), since))
+    # looked up once and in steps: written as one expression, the generated method is too long for the JVM to compile
+    pairs = pairs.withColumn("_around", F.try_element_at("f_passages", F.col("prev.seq"))).drop("f_passages")
+    pairs = pairs.withColumns({"_below": F.col("_around.below"), "_above": F.col("_around.above")})
+    age = passage_age(F.col("_below"), F.col("_above"), F.col("f_along_m"), F.col("ts"))
+    pairs = pairs.withColumn("_age", F.when(F.col("prev").isNotNull() & F.col("_around").isNotNull(), age))
+    out = pairs.withColumn("_since", capped_passage(F.col("_age")))
     return out.select(
         F.col("shape_id").alias("ramal_id"),
         "seg_idx",
@@ -326,8 +334,8 @@ def eta_rows(features: DataFrame, arrays: bool = True) -> DataFrame:
         "time_since_start",
         "ts_age_s",
         *[F.col(c) for c in ("traj_flat", "traj_len", "fleet_flat", "n_fleet") if c in own],
-        F.coalesce("_since.seconds", F.lit(PASSAGE_CAP_S)).alias("time_since_last_bus_s"),
-        F.coalesce("_since.found", F.lit(False)).alias("last_bus_found"),
+        F.col("_since.seconds").alias("time_since_last_bus_s"),
+        F.col("_since.found").alias("last_bus_found"),
         "line",
         "day",
         *TRIP,

@@ -38,27 +38,33 @@ def segment_trips(
         obs.withColumn("_b", bucket(F.col("ts"), bucket_s))
         .withColumn("_p", F.lag(cur).over(local))
         .withColumn("_cut", F.when(F.col("_p").isNull(), 0).otherwise(_is_cut(F.col("_p"), cur, gap_s)))
-        .withColumns({"_piece": F.sum("_cut").over(running), "_row": F.row_number().over(local)})
+        .withColumns(
+            {
+                "_piece": F.sum("_cut").over(running),
+                "_row": F.row_number().over(local),
+                "_first": (F.col("_cut") == 1) | (F.row_number().over(local) == 1),
+                "_final": F.coalesce(F.lead("_cut").over(local), F.lit(1)) == 1,
+            }
+        )
         .drop("_p", "_cut")
     )
+    # a piece is told by its first and its last row, which follow each other where no other row is left
     header = F.struct(
         F.col("route_id").alias("trip_route_id"), F.col("direction_id").alias("trip_direction_id"), F.col("ts").alias("trip_start_ts")
     )
-    pieces = rows.groupBy("vehicle_id", "_b", "_piece").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_row").alias("_first_row"),
-        F.min_by(cur, F.struct(*order)).alias("_head"),
-        F.max_by(cur, F.struct(*order)).alias("_tail"),
-        F.min_by(header, F.struct(*order)).alias("_header"),
-    )
+    ends = rows.where("_first or _final").select("vehicle_id", "_b", "_piece", "_row", "_first", "_final", cur.alias("_head"), header.alias("_header"))
+    rows = rows.drop("_first", "_final")
+    by_row = Window.partitionBy("vehicle_id").orderBy("_b", "_row")
+    ends = ends.withColumns({"_last": F.lag("_head").over(by_row), "_next": F.lead("_row").over(by_row)}).where("_first")
+    pieces = ends.withColumn("_n", (F.when(F.col("_final"), F.col("_row")).otherwise(F.col("_next")) - F.col("_row") + 1).cast("long"))
+    pieces = pieces.withColumnRenamed("_row", "_first_row").drop("_first", "_final", "_next")
     by_vehicle = Window.partitionBy("vehicle_id").orderBy("_b", "_piece")
     by_trip = Window.partitionBy("vehicle_id", "trip_no").orderBy("_b", "_piece")
     whole = by_trip.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = by_trip.rowsBetween(Window.unboundedPreceding, -1)
     last = F.col("_last")
     pieces = (
-        pieces.withColumn("_last", F.lag("_tail").over(by_vehicle))
-        .withColumn("_new", F.when(last.isNull(), 0).when(F.col("_piece") > 0, 1).otherwise(_is_cut(last, F.col("_head"), gap_s)))
+        pieces.withColumn("_new", F.when(last.isNull(), 0).when(F.col("_piece") > 0, 1).otherwise(_is_cut(last, F.col("_head"), gap_s)))
         .withColumn("trip_no", F.sum("_new").over(by_vehicle).cast("long"))
         .withColumns(
             {
