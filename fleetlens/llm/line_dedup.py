@@ -13,6 +13,7 @@ from fleetlens.llm.workspace import Workspace
 SIZE = 8  # characters in a shingle
 BANDS, ROWS = 12, 3
 GROUP = 3  # bands whose keys are shuffled together
+STEP = 8  # shingles of a row, whose minima are taken before the line's
 # Fixed random words, one a band. The shingle whose hash is nearest to a word in XOR distance is the
 # first of a random order; each row of a band hashes anew, so a band's rows don't depend on each other.
 PROBES = [random.Random(20240229 + b).getrandbits(64) - (1 << 63) for b in range(BANDS)]
@@ -27,13 +28,13 @@ def _count(units: Column) -> Column:
     return F.greatest(F.length(units) / 2 - (SIZE - 1), F.lit(1)).cast("int")
 
 
-def _shingle(units: Column, i: Column) -> Column:
-    return F.xxhash64(F.substring(units, 2 * i - 1, F.lit(2 * SIZE)))
+def _shingle(units: Column, byte: Column) -> Column:
+    return F.xxhash64(F.substring(units, byte, F.lit(2 * SIZE)))
 
 
 def _shingles(line: Column) -> Column:
     """The set of a line. The bytes are a variable of the outer function: reading a column would copy them for every shingle."""
-    cut = lambda u: F.transform(F.sequence(F.lit(1), _count(u)), lambda i: _shingle(u, i))
+    cut = lambda u: F.transform(F.sequence(F.lit(1), 2 * _count(u) - 1, F.lit(2)), lambda byte: _shingle(u, byte))
     return F.array_distinct(F.flatten(F.transform(F.array(_units(line)), cut)))
 
 
@@ -53,16 +54,20 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _signatures(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, h1, h2, bands) per line, from the minima of all its shingles.
 
-    Shingles are cut and hashed row by row, in generated code. One that a line repeats changes no minimum, so none is looked for.
+    Shingles are cut and hashed STEP a row, in generated code; the last row of a line may take its last one again.
+    One that a line repeats changes no minimum, so none is looked for.
     """
-    units = lines.select("doc_id", "line_no", "h1", "h2", _units(F.col("line")).alias("units"))
-    each = units.select("doc_id", "line_no", "h1", "h2", "units", F.explode(F.sequence(F.lit(1), _count(F.col("units")))).alias("i"))
-    each = each.select("doc_id", "line_no", "h1", "h2", _shingle(F.col("units"), F.col("i")).alias("h"))
-    each = each.select("doc_id", "line_no", "h1", "h2", *(F.xxhash64("h", F.lit(k)).alias(f"r{k}") for k in range(ROWS)))
-    low = [F.min(F.col(f"r{k}").bitwiseXOR(F.lit(p))).alias(f"m{b}_{k}") for b, p in enumerate(PROBES) for k in range(ROWS)]
-    signed = each.groupBy("doc_id", "line_no", "h1", "h2").agg(*low)
+    line = ("doc_id", "line_no", "h1", "h2")
+    units = lines.select(*line, _units(F.col("line")).alias("units"))
+    each = units.select(*line, "units", F.explode(F.sequence(F.lit(1), _count(F.col("units")), F.lit(STEP))).alias("i"))
+    at = [F.least(F.col("i") + j, _count(F.col("units"))) for j in range(STEP)]
+    each = each.select(*line, *(_shingle(F.col("units"), 2 * i - 1).alias(f"g{j}") for j, i in enumerate(at)))
+    each = each.select(*line, *(F.xxhash64(f"g{j}", F.lit(k)).alias(f"r{k}_{j}") for k in range(ROWS) for j in range(STEP)))
+    least = lambda k, p: F.least(*(F.col(f"r{k}_{j}").bitwiseXOR(F.lit(p)) for j in range(STEP)))
+    low = [F.min(least(k, p)).alias(f"m{b}_{k}") for b, p in enumerate(PROBES) for k in range(ROWS)]
+    signed = each.groupBy(*line).agg(*low)
     keys = [F.xxhash64(F.lit(b), *(f"m{b}_{k}" for k in range(ROWS))) for b in range(BANDS)]
-    return signed.select("doc_id", "line_no", "h1", "h2", F.array(*keys).alias("bands"))
+    return signed.select(*line, F.array(*keys).alias("bands"))
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, ws: Workspace | None = None) -> DataFrame:
@@ -76,7 +81,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one is dropped from all; a null id or text takes no part.
 
     Candidates share one of 12 bands of 3 minima, which two lines at similarity 0.8 miss
-    with a probability of about 0.002 and at 0.9 below 1e-5. Minima and
+    with a probability of 0.0002 and at 0.9 below 1e-5, or the smallest line of such bands. Minima and
     verification are on the full sets. Lines whose first hash
     meets another text's are left alone (their second hash tells).
     """
@@ -92,16 +97,15 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ws.drop("lines")  # all buckets are stored by now
         where = nodes.join(ids, nodes["h1"] == ids["id"], "left_semi")
         where = where.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "line_no")).alias("wanted"))
-        found = docs.join(where, "doc_id").select("wanted", F.explode(F.array(F.split("text", "\n"))).alias("raw"))
+        found = docs.join(where.hint("shuffle_hash"), "doc_id").select("wanted", F.explode(F.array(F.split("text", "\n"))).alias("raw"))
         found = found.select(F.explode(F.transform("wanted", lambda w: F.struct(w["h1"], F.get("raw", w["line_no"]).alias("line")))).alias("w"))
         found = found.select(F.col("w.h1").alias("id"), F.btrim("w.line", F.lit(" \t\r")).alias("body"))
-        found = found.where(F.xxhash64("body") == F.col("id"))
-        return found.select("id", "body", F.size(_shingles(F.col("body"))).alias("n"))
+        return found.where(F.xxhash64("body") == F.col("id"))
 
     # a few bands at a time: their keys are what is shuffled most
     some = [F.slice("bands", b + 1, GROUP) for b in range(0, BANDS, GROUP)]
     buckets = [table.select(F.explode(bands).alias("key"), F.col("h1").alias("id")) for bands in some]
-    linked = link(buckets, fetch, _compare, ws, num, den, elements=_shingles)
+    linked = link(buckets, fetch, _compare, ws, num, den, sets=_shingles)
     at = at.distinct().join(nodes.select("h1"), "h1", "left_semi")
     at = at.join(linked.withColumnRenamed("id", "h1"), "h1", "left").select("doc_id", "line_no", F.coalesce("component", "h1").alias("component"))
     at = ws.store(at, "placed")

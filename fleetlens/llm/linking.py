@@ -18,6 +18,9 @@ from fleetlens.llm.workspace import Workspace
 
 
 SLICES = 4  # parts of the elements of open buckets that are shuffled one after the other
+WORDS = 16  # of 64 bits in the sketch of a set
+BLOCK = 4096  # members of an open group that a task holds against the others
+FEW = 1 << 18  # pairs that are checked at once
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -109,6 +112,120 @@ def rare_pairs(sets: DataFrame, ws: Workspace, num: int, den: int, block: int) -
     return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(id, n, s0, s1, ...) of rows (id, set): its size, and a bit for each residue of hashed elements that tells whether an odd number have it.
+
+    An element of both sets changes both sketches alike, so two sets differ in at least as many elements as their sketches in bits.
+    """
+    each = sets.select("id", F.explode("set").alias("h")).select("id", F.xxhash64("h").alias("h"))
+    each = each.select("id", F.expr(f"shiftright(h, 6) & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    odd = [F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(WORDS)]
+    return each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *odd)
+
+
+def _apart(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return reduce(Column.__add__, (F.bit_count(F.col(f"{a}s{k}").bitwiseXOR(F.col(f"{b}s{k}"))) for k in range(WORDS)))
+
+
+def _may_link(apart: Column, both: Column, num: int, den: int) -> Column:
+    """False only where sets of ``both`` elements that differ in ``apart`` of them or more can't be linked."""
+    return apart.cast("long") * (den + num) <= both * (den - num)
+
+
+def _ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``table`` (id, ...) for both, named a_ and b_."""
+    for end in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in table.columns if c != "id")), end)
+    return pairs
+
+
+def open_pairs(members: DataFrame, shapes: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(a, b, a_component, b_component, apart): pairs of one group and different components that their sketches don't rule out.
+
+    ``members``: (leader, id, component) of the groups, ``shapes``: what ``sketches`` returns. Every pair of a group is held against
+    each other inside the join, so that only what may be a link leaves it, in the first group that has both. Large groups are dealt out in blocks.
+    """
+    members = members.join(members.groupBy("id").agg(F.collect_set("leader").alias("leaders")), "id")
+    sizes = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    full = members.join(sizes, "leader").join(shapes, "id")
+    carried = ("id", "component", "leaders", *(c for c in shapes.columns if c != "id"))
+    x = full.select("leader", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"), *(F.col(c).alias(f"a_{c}") for c in carried))
+    y = full.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), *(F.col(c).alias(f"b_{c}") for c in carried))
+    apart = _apart("a_", "b_")
+    near = (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num) & _may_link(apart, F.col("a_n") + F.col("b_n"), num, den)
+    near &= F.array_min(F.array_intersect("a_leaders", "b_leaders")) == x["leader"]
+    same = (x["leader"] == y["leader"]) & (x["part"] == y["part"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
+    both = x.join(y, same & near)
+    share = (apart / (F.col("a_n") + F.col("b_n"))).cast("float")
+    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_component", "b_component", share.alias("apart"))
+
+
+def settle(pairs: DataFrame, check: Callable[[DataFrame, str], DataFrame], ws: Workspace, few: int) -> DataFrame:
+    """Links (a, b) among ``pairs`` (see ``open_pairs``) that connect whatever all links among them connect.
+
+    ``check`` returns those of its pairs that are links. While there are more than ``few`` pairs, each component's nearest one is checked first
+    and what becomes one component needs no further check, so that a dense group isn't checked pair by pair. The others all are.
+    """
+    done: list[DataFrame] = []
+    for k in count():
+        if pairs.count() <= few:
+            break
+        ends = pairs.select(F.col("a_component").alias("c"), "apart", "a", "b").unionByName(pairs.select(F.col("b_component").alias("c"), "apart", "a", "b"))
+        best = ends.groupBy("c").agg(F.min(F.struct("apart", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
+        best = ws.store(best, f"nearest-{k}")
+        links = check(best, f"links-{k}")
+        done.append(links)
+        joined = components(links.join(pairs, ["a", "b"]).select(F.col("a_component").alias("a"), F.col("b_component").alias("b")), ws, f"merged-{k}")
+        left = pairs.join(best, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            to = joined.select(F.col("id").alias(f"{end}_component"), F.col("component").alias("to"))
+            left = left.join(to, f"{end}_component", "left").withColumn(f"{end}_component", F.coalesce("to", f"{end}_component")).drop("to")
+        pairs = ws.store(left.where("a_component <> b_component").select("a", "b", "a_component", "b_component", "apart"), f"unsettled-{k}")
+        ws.drop(f"nearest-{k}", f"unsettled-{k - 1}")
+        if links.isEmpty():
+            break
+    done.append(check(pairs.select("a", "b"), "more"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _link_by_sketches(
+    buckets: list[DataFrame], fetch: Callable, verify: Callable, ws: Workspace, num: int, den: int, sets: Callable[[Column], Column],
+) -> DataFrame:
+    """``link`` with ``sets``: nothing but ids and leaders is kept of the buckets, and sketches come before bodies."""
+    parts = []
+    for g, part in enumerate(buckets):
+        multi = part.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last")
+        multi = ws.store(multi.select("key", "leader"), f"multi-{g}")
+        parts.append(ws.store(part.join(multi, "key").select("id", "leader").distinct(), f"hits-{g}"))
+        ws.drop(f"multi-{g}")
+    hits = ws.store(reduce(DataFrame.unionByName, parts).distinct(), "hits")
+    ws.drop(*(f"hits-{g}" for g in range(len(parts))))
+    bodies = ws.store(fetch(hits.select("id").distinct()).select("id", "body"), "bodies")
+    shapes = ws.store(sketches(bodies.select("id", sets(F.col("body")).alias("set"))), "sketches")
+    linked = F.expr(f"({den}L + {num}L) * common >= {num}L * both")
+
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        return ws.store(verify(_ends(pairs, bodies).select("a", "b", "a_body", "b_body")).where(linked).select("a", "b"), name)
+
+    held = _ends(hits.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")), shapes)
+    star = check(held.where(_may_link(_apart("a_", "b_"), F.col("a_n") + F.col("b_n"), num, den)).select("a", "b"), "star")
+    found = ws.store(components(star, ws), "found")
+    member = hits.where("id <> leader").join(found, "id", "left").select("leader", "id", F.coalesce("component", "id").alias("component"))
+    split = member.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    rest = ws.store(member.join(split.select("leader"), "leader"), "open")
+    ws.drop("star", "hits")
+    if rest.isEmpty():
+        ws.drop("bodies", "sketches", "open")
+        return found
+    pairs = ws.store(open_pairs(rest, shapes, num, den, BLOCK), "unsettled--1")
+    more = settle(pairs, check, ws, max(FEW, shapes.count()))
+    known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    out = ws.store(components(known.unionByName(more), ws, "joined"), "linked")
+    ws.drop("bodies", "sketches", "open", "found")
+    return out
+
+
 def link(
     buckets: DataFrame | list[DataFrame],
     fetch: Callable[[DataFrame], DataFrame],
@@ -119,6 +236,7 @@ def link(
     block: int = 256,
     dense: Callable[[DataFrame], DataFrame] | None = None,
     elements: Callable[[Column], Column] | None = None,
+    sets: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Components (id, component) of the links between ids that share a bucket.
 
@@ -140,11 +258,15 @@ def link(
        whatever the links between block i and block j connect; no pair leaves it else.
        Where ``elements`` is given, which maps a body to its set, only members that share a
        rare element are compared (see ``rare_pairs``), whatever buckets they share.
+       Where ``sets`` is given, which maps a body to its set, buckets with the same leader are one group, and
+       only pairs that the sketches of their sets don't rule out are verified (see ``open_pairs``, ``settle``).
 
     No bucket, member or pair is dropped, so the components are those of all
     links between ids with a common bucket (with ``elements``: between members of
-    buckets left open, too).
+    buckets left open, too; with ``sets``: between ids whose buckets have one leader, too).
     """
+    if sets is not None:
+        return _link_by_sketches(buckets if isinstance(buckets, list) else [buckets], fetch, verify, ws, num, den, sets)
     hits, sized = None, False
     for g, part in enumerate(buckets if isinstance(buckets, list) else [buckets]):
         sized = "n" in part.columns
