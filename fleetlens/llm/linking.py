@@ -201,7 +201,8 @@ def _link_by_sketches(
         ws.drop(f"multi-{g}")
     hits = ws.store(reduce(DataFrame.unionByName, parts).distinct(), "hits")
     ws.drop(*(f"hits-{g}" for g in range(len(parts))))
-    bodies = ws.store(fetch(hits.select("id").distinct()).select("id", "body"), "bodies")
+    # an id that comes twice would cancel itself in its sketch
+    bodies = ws.store(fetch(hits.select("id").distinct()).select("id", "body").dropDuplicates(["id"]), "bodies")
     shapes = ws.store(sketches(bodies.select("id", sets(F.col("body")).alias("set"))), "sketches")
     linked = F.expr(f"({den}L + {num}L) * common >= {num}L * both")
 

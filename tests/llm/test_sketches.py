@@ -100,3 +100,13 @@ def test_variants_of_a_line_under_an_unlike_leader(llm):
     docs = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     duplicate_lines(docs, ws=Noted(llm, "variants"))
     assert rows["open"] > 300 and 0 < rows["unsettled--1"] < 600 * 599 / 2 / 8, rows
+
+
+def test_bodies_that_come_twice(llm):
+    """Documents that share an id and a text, and one of their ids with another text."""
+    draw = random.Random(6)
+    words = ["".join(draw.choice("aeioustrn") for _ in range(6)) for _ in range(40)]
+    first, second = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(1, first), (1, first), (2, second), (2, second), (2, "short"), (3, second + "x")]
+    got = duplicate_lines(llm.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["drop"] for r in got} == {2: [0], 3: [0]}
